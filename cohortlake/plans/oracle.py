@@ -156,3 +156,72 @@ def registry_row(prefix: str = "", legacy: bool = False) -> str:
         f"{registry_mortality(p + 'survival_raw', p + 'vital_raw')} as mortality_1yr",
         "cast(null as double) as response",
     ])
+
+
+def nested_lookup_cte(f: str = "f") -> str:
+    """Per-case ECOG/Karnofsky maxima and prior-treatment flag from the flat follow-up rows."""
+    pt = f"lower({clean('prior_treatment')})"
+    return (f"select cast(case_id as varchar) as k, "
+            f"case when case_id % 10 = 0 then null else max({num('ecog')}) end as ecog_max, "
+            f"case when case_id % 10 = 0 then null else max({num('karnofsky')}) end as karnofsky_max, "
+            f"case when bool_or(coalesce({pt} = 'yes', false)) then 1.0::double "
+            f"when bool_or(coalesce({pt} = 'no', false)) then 0.0::double end as prior_treatment "
+            f"from {f} group by case_id")
+
+
+def patient_flags_cte(m: str = "m", patient_expr: str = "patient_id") -> str:
+    g = gene("gene")
+    return (f"select {patient_expr} as pid, case when bool_or({g} = 'EGFR') then 'Exon19del' else 'Wild_type' end "
+            f"as egfr_mutation from {m} where {g} is not null group by {patient_expr}")
+
+
+def sample_flags_cte(m: str = "m", sample_expr: str = "cast(sample_key as varchar)") -> str:
+    g = gene("gene")
+    return (f"select {sample_expr} as sid, case when bool_or(coalesce({g} = 'EGFR', false)) then 'Exon19del' "
+            f"else 'Wild_type' end as egfr_mutation from {m} group by {sample_expr}")
+
+
+def case_canonical(c: str = "c", n: str = "n", pf: str = "pf", ecog_col: str = "ecog_all_null") -> str:
+    """GDC rows in canonical form (needs CTEs c = case_raw, n = nested lookups, pf = patient flags)."""
+    ecog = (f"(case when (select count({ecog_col}) from {c}) = 0 then {n}.ecog_max "
+            f"else {num(c + '.' + ecog_col)} end)")
+    karn = (f"(case when (select count(karnofsky_best) from {c}) = 0 then {n}.karnofsky_max "
+            f"else {num(c + '.karnofsky_best')} end)")
+    perf = f"coalesce({ecog}, least(4.0, greatest(0.0, round_even((100.0 - {karn}) / 20.0, 0))))"
+    return (f"select concat('GDC:', cast({c}.case_id as varchar)) as row_id, 'GDC' as source, "
+            f"coalesce(cast({c}.project_id as varchar), 'GDC') as source_study, cast({c}.case_id as varchar) as case_id, "
+            f"cast(null as varchar) as sample_id, {num(c + '.age_at_diagnosis_days')} / 365.25 as age, "
+            f"{sex(c + '.gender')} as sex, cast(null as varchar) as race_recode, cast(null as varchar) as marital_status, "
+            f"{histology(c + '.primary_diagnosis')} as histology, {stage(c + '.tumor_stage')} as cancer_stage, "
+            f"cast(null as varchar) as t_stage, cast(null as varchar) as n_stage, cast(null as varchar) as m_stage, "
+            f"{perf} as performance_status, cast(null as double) as tumor_size_mm, cast(null as double) as mets_lung_dx, "
+            f"{n}.prior_treatment as chemotherapy_cycles, cast(null as varchar) as radiation_recode, "
+            f"cast(null as double) as treatment_delay_days, {pf}.egfr_mutation as egfr_mutation, "
+            f"{case_mortality(c + '.vital_status', c + '.days_to_death', c + '.days_to_last_follow_up')} as mortality_1yr, "
+            f"{case_response(c + '.tf_tumor_free_count', c + '.wt_with_tumor_count', c + '.best_disease_response')} as response "
+            f"from {c} left join {n} on cast({c}.case_id as varchar) = {n}.k "
+            f"left join {pf} on {c}.submitter_id = {pf}.pid")
+
+
+def eav_pivot_cte(e: str = "e") -> str:
+    return (f"select sample_id, patient_id, study_id, "
+            f"min_by(value, seq) filter (where attr = 'AGE_AT_SEQ_REPORTED_YEARS') as AGE_AT_SEQ_REPORTED_YEARS, "
+            f"min_by(value, seq) filter (where attr = 'PREDOMINANT_HISTOLOGIC_SUBTYPE') as PREDOMINANT_HISTOLOGIC_SUBTYPE, "
+            f"min_by(value, seq) filter (where attr = 'PATHOLOGIC_STAGE') as PATHOLOGIC_STAGE "
+            f"from {e} where value is not null and sample_id is not null and patient_id is not null "
+            f"and study_id is not null group by sample_id, patient_id, study_id")
+
+
+def study_canonical(p: str = "p", sf: str = "sfl") -> str:
+    """cBio rows in canonical form (needs CTEs p = pivot, sfl = sample flags)."""
+    return (f"select concat_ws(':', 'cBio', {p}.study_id, {p}.patient_id, {p}.sample_id) as row_id, 'cBio' as source, "
+            f"{p}.study_id as source_study, {p}.patient_id as case_id, {p}.sample_id as sample_id, "
+            f"{num(p + '.AGE_AT_SEQ_REPORTED_YEARS')} as age, cast(null as varchar) as sex, "
+            f"cast(null as varchar) as race_recode, cast(null as varchar) as marital_status, "
+            f"{histology(p + '.PREDOMINANT_HISTOLOGIC_SUBTYPE')} as histology, {stage(p + '.PATHOLOGIC_STAGE')} as cancer_stage, "
+            f"cast(null as varchar) as t_stage, cast(null as varchar) as n_stage, cast(null as varchar) as m_stage, "
+            f"cast(null as double) as performance_status, cast(null as double) as tumor_size_mm, "
+            f"cast(null as double) as mets_lung_dx, cast(null as double) as chemotherapy_cycles, "
+            f"cast(null as varchar) as radiation_recode, cast(null as double) as treatment_delay_days, "
+            f"{sf}.egfr_mutation as egfr_mutation, cast(null as double) as mortality_1yr, cast(null as double) as response "
+            f"from {p} left join {sf} on {p}.sample_id = {sf}.sid")

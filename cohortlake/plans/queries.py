@@ -175,3 +175,174 @@ def _coverage_sql(src: str) -> str:
 def q_registry_coverage(spark, sf):
     """Flagship: registry export -> recode -> label -> useful-row filter -> coverage."""
     return E.coverage(L.keep_useful_rows(H.registry_cohort(X.registry_export(spark, sf))))
+
+
+# ---------------------------------------------------------------- cases
+
+CASES = _cte(c="case_raw")
+CASES_FULL = _cte(c="case_raw", f="follow_up_raw", m="mutation_raw")
+
+
+def _patient_flags(spark, sf):
+    """E3 over the mutation recipe, patient ids re-keyed to the case submitter ids."""
+    m = X.mutation_raw(spark, sf).withColumn("patient_id", F.concat(F.lit("SUB"), F.substring("patient_id", 2, 64)))
+    return E.patient_mutation_flags(m)
+
+
+def _sample_flags(spark, sf):
+    """E2 over the mutation recipe, sample ids re-keyed to the study sample ids."""
+    m = X.mutation_raw(spark, sf).withColumn("sample_id", F.concat(F.lit("S"), F.col("sample_key").cast("string")))
+    return E.sample_mutation_flags(m)
+
+
+@query("label_case_mortality", CASES + f"select case_id, vital_status, "
+       f"{O.case_mortality('vital_status', 'days_to_death', 'days_to_last_follow_up')} as mortality_1yr from c")
+def q_case_mortality(spark, sf):
+    c = X.case_raw(spark, sf)
+    return c.select("case_id", "vital_status", L.case_mortality(F.col("vital_status"), F.col("days_to_death"),
+                                                                F.col("days_to_last_follow_up")).alias("mortality_1yr"))
+
+
+@query("label_case_response", CASES + f"select case_id, "
+       f"{O.case_response('tf_tumor_free_count', 'wt_with_tumor_count', 'best_disease_response')} as response from c")
+def q_case_response(spark, sf):
+    c = X.case_raw(spark, sf)
+    return c.select("case_id", L.case_response(F.col("tf_tumor_free_count"), F.col("wt_with_tumor_count"),
+                                               F.col("best_disease_response")).alias("response"))
+
+
+@query("days_to_years", CASES + f"select case_id, {O.num('age_at_diagnosis_days')} / 365.25 as age_years from c")
+def q_days_to_years(spark, sf):
+    c = X.case_raw(spark, sf)
+    return c.select("case_id", E.days_to_years(F.col("age_at_diagnosis_days")).alias("age_years"))
+
+
+@query("karnofsky_to_ecog", CASES + "select case_id, coalesce(ecog_half_null, least(4.0, greatest(0.0, "
+       "round_even((100.0 - karnofsky_best) / 20.0, 0)))) as performance_status from c")
+def q_karnofsky_to_ecog(spark, sf):
+    c = X.case_raw(spark, sf)
+    return c.select("case_id", E.karnofsky_to_ecog(F.col("ecog_half_null"), F.col("karnofsky_best"))
+                    .alias("performance_status"))
+
+
+@query("follow_up_maxima", _cte(f="follow_up_raw") + "select cast(k as varchar) as case_id, ecog_max, karnofsky_max "
+       "from (" + O.nested_lookup_cte("f") + ")")
+def q_follow_up_maxima(spark, sf):
+    """E4 over nested case documents."""
+    return E.follow_up_maxima(X.nested_cases(spark, sf))
+
+
+@query("prior_treatment_flag", _cte(f="follow_up_raw") + "select k as case_id, prior_treatment from ("
+       + O.nested_lookup_cte("f") + ")")
+def q_prior_treatment(spark, sf):
+    """E5 over nested case documents."""
+    return E.prior_treatment_flag(X.nested_cases(spark, sf))
+
+
+@query("column_level_fallback", CASES + ", f as (" + X.duck("follow_up_raw") + "), n as (" + O.nested_lookup_cte("f")
+       + ") select cast(c.case_id as varchar) as case_id, "
+       "case when (select count(ecog_all_null) from c) = 0 then n.ecog_max else ecog_all_null end as ecog_from_all_null, "
+       "case when (select count(ecog_half_null) from c) = 0 then n.ecog_max else ecog_half_null end as ecog_from_half_null "
+       "from c left join n on cast(c.case_id as varchar) = n.k")
+def q_column_fallback(spark, sf):
+    """B13 + E6: lookup used only when the whole primary column is NULL."""
+    c = X.case_raw(spark, sf)
+    looked = E.lookup_join(c, E.follow_up_maxima(X.nested_cases(spark, sf)), "case_id", "case_id", ["ecog_max"])
+    return looked.select(F.col("case_id").cast("string").alias("case_id"),
+                         E.column_fallback(c, F.col("ecog_all_null"), F.col("ecog_max")).alias("ecog_from_all_null"),
+                         E.column_fallback(c, F.col("ecog_half_null"), F.col("ecog_max")).alias("ecog_from_half_null"))
+
+
+_CASE_CANON = (CASES_FULL + ", n as (" + O.nested_lookup_cte("f") + "), pf as ("
+               + O.patient_flags_cte("m", "concat('SUB', substr(patient_id, 2))") + ") ")
+
+
+def _case_canon_spark(spark, sf):
+    return H.case_cohort(X.case_raw(spark, sf), X.nested_cases(spark, sf), _patient_flags(spark, sf),
+                         ecog_col="ecog_all_null")
+
+
+@query("case_canonical", _CASE_CANON + O.case_canonical())
+def q_case_canonical(spark, sf):
+    """A2/A3 shapes -> canonical GDC rows."""
+    return _case_canon_spark(spark, sf)
+
+
+# ---------------------------------------------------------------- studies and mutations
+
+@query("eav_pivot", _cte(e="eav_raw") + O.eav_pivot_cte("e"))
+def q_eav_pivot(spark, sf):
+    return E.eav_pivot(X.eav_raw(spark, sf))
+
+
+@query("sample_mutation_flags", _cte(m="mutation_raw") + "select sid as sample_id, egfr_mutation from ("
+       + O.sample_flags_cte("m") + ")")
+def q_sample_flags(spark, sf):
+    return E.sample_mutation_flags(X.mutation_raw(spark, sf).withColumnRenamed("sample_key", "sample_id"))
+
+
+@query("patient_mutation_flags", _cte(m="mutation_raw") + "select pid as patient_id, egfr_mutation from ("
+       + O.patient_flags_cte("m") + ")")
+def q_patient_flags(spark, sf):
+    return E.patient_mutation_flags(X.mutation_raw(spark, sf))
+
+
+_STUDY_CANON = (_cte(e="eav_raw", m="mutation_raw") + ", p as (" + O.eav_pivot_cte("e") + "), sfl as ("
+                + O.sample_flags_cte("m", "concat('S', cast(sample_key as varchar))") + ") ")
+
+
+def _study_canon_spark(spark, sf):
+    return H.study_cohort(X.eav_raw(spark, sf), _sample_flags(spark, sf))
+
+
+@query("study_canonical", _STUDY_CANON + O.study_canonical())
+def q_study_canonical(spark, sf):
+    """A4 shape -> canonical cBio rows (E1 + E6 sample lookup)."""
+    return _study_canon_spark(spark, sf)
+
+
+# ---------------------------------------------------------------- union and reports
+
+_ALL = (REG + ", c as (" + X.duck("case_raw") + "), f as (" + X.duck("follow_up_raw") + "), m as ("
+        + X.duck("mutation_raw") + "), e as (" + X.duck("eav_raw") + "), n as (" + O.nested_lookup_cte("f")
+        + "), pf as (" + O.patient_flags_cte("m", "concat('SUB', substr(patient_id, 2))") + "), p as ("
+        + O.eav_pivot_cte("e") + "), sfl as (" + O.sample_flags_cte("m", "concat('S', cast(sample_key as varchar))")
+        + "), h0 as (select concat('SEER:', cast(row_id as varchar)) as row_id, 'SEER' as source, "
+        "'SEER_LUNG_EXPORTNEW' as source_study, cast(null as varchar) as case_id, cast(null as varchar) as sample_id, "
+        + O.registry_row() + " from r union all " + O.case_canonical() + " union all " + O.study_canonical()
+        + "), h as (select * from h0 where " + _USEFUL_OR + ") ")
+
+
+def harmonized(spark, sf) -> DataFrame:
+    """E7 + D4 over the three canonical sources."""
+    return H.harmonize([H.registry_cohort(X.registry_export(spark, sf)), _case_canon_spark(spark, sf),
+                        _study_canon_spark(spark, sf)])
+
+
+@query("harmonized_union", _ALL + "select * from h")
+def q_harmonized(spark, sf):
+    return harmonized(spark, sf)
+
+
+@query("harmonized_coverage", _ALL + _coverage_sql("h"))
+def q_harmonized_coverage(spark, sf):
+    return E.coverage(harmonized(spark, sf))
+
+
+@query("harmonized_value_counts", _ALL + "select 'source' as \"column\", cast(source as varchar) as value, "
+       "count(*) as n from h group by 1, 2 union all select 'mortality_1yr', cast(mortality_1yr as varchar), count(*) "
+       "from h group by 1, 2 union all select 'response', cast(response as varchar), count(*) from h group by 1, 2")
+def q_value_counts(spark, sf):
+    """E9 (NULL group kept)."""
+    return E.value_counts(harmonized(spark, sf), ["source", "mortality_1yr", "response"])
+
+
+@query("readiness_summary", _ALL + "select count(*) as total_rows_harmonized, count(mortality_1yr) as "
+       "rows_mortality_ready, count(response) as rows_response_ready, "
+       + ", ".join(f"cast(count_if({c}) as bigint) as {a}" for c, a in [
+           ("source = 'SEER'", "rows_seer"), ("source = 'GDC'", "rows_gdc"), ("source = 'cBio'", "rows_cbio"),
+           ("mortality_1yr = 1.0", "mortality_pos"), ("mortality_1yr = 0.0", "mortality_neg"),
+           ("response = 1.0", "response_pos"), ("response = 0.0", "response_neg")]) + " from h")
+def q_readiness(spark, sf):
+    """E10."""
+    return E.readiness(harmonized(spark, sf))
