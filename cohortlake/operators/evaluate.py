@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import cumulative_before, prob_bucket
+from .ordered import cumulative_before, prob_bucket, signed_log_bucket
 
 # --- fixed values -------------------------------------------------------------
 THRESHOLD_GRID = [float(x) for x in np.linspace(0.2, 0.8, 61)]  # sweep grid (numpy doubles)
@@ -71,14 +71,17 @@ def _score_counts(df: DataFrame, y: str, p: str, groups: Sequence[str]) -> DataF
             .agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg")))
 
 
-def roc_auc(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[str] = ()) -> DataFrame:
+def roc_auc(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[str] = (),
+            probabilities: bool = True) -> DataFrame:
     """Mann-Whitney AUC with ties counted as 1/2; NULL when a class is absent.
 
     Rows collapse to distinct scores first; negatives below each score come
-    from a two-level running sum, never a global window.
+    from a two-level running sum, never a global window.  Scores that are not
+    probabilities (``probabilities=False``) use a signed log-scale bucket.
     """
     d = _score_counts(df, y, p, groups)
-    c = cumulative_before(d, "_s", ["neg"], prob_bucket(F.col("_s")), groups)
+    bucket = prob_bucket(F.col("_s")) if probabilities else signed_log_bucket(F.col("_s"))
+    c = cumulative_before(d, "_s", ["neg"], bucket, groups)
     num = F.col("pos").cast("double") * (2.0 * F.col("neg_before") + F.col("neg"))
     agg = c.groupBy(*groups).agg(F.sum(num).alias("_num"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     auc = F.when((F.col("_p") > 0) & (F.col("_n") > 0),
@@ -157,7 +160,8 @@ def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", exact: bool = T
     q = F.array(*[F.lit(v) for v in CALIBRATION_QUANTILES])
     pct = F.percentile(F.col(p), q) if exact else F.percentile_approx(F.col(p), q, 100000)
     edges = df.select(pct).scalar()
-    b = F.size(F.filter(edges, lambda e: e < F.col(p)))
+    # bin = number of inner edges strictly below p (no higher-order function over a subquery)
+    b = sum(F.when(F.element_at(edges, i + 1) < F.col(p), 1).otherwise(0) for i in range(len(CALIBRATION_QUANTILES)))
     return (df.groupBy(b.alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(p)).alias("mean_predicted"),
                  F.avg(F.col(y).cast("double")).alias("fraction_positive")))

@@ -28,7 +28,8 @@ HASH_BUCKET_HEX = 3         # 16**3 = 4096 hash-prefix buckets for stratified ra
 
 def prob_bucket(key: Column, n: int = PROB_BUCKETS) -> Column:
     """Monotone bucket for a key in [0, 1]; values outside clip to the end buckets."""
-    return F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(key * n).cast("int")))
+    clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), key.cast("double")))
+    return F.least(F.lit(n - 1), F.floor(clipped * n)).cast("int")
 
 
 def duration_bucket(key: Column, n: int = DURATION_BUCKETS) -> Column:
@@ -36,6 +37,13 @@ def duration_bucket(key: Column, n: int = DURATION_BUCKETS) -> Column:
     return F.least(F.lit(n - 1), F.floor(F.log2(F.lit(1.0) + F.greatest(key, F.lit(0.0))) * 64).cast("int"))
 
 
+def signed_log_bucket(key: Column, n: int = DURATION_BUCKETS) -> Column:
+    """Monotone bucket for any real key: sign(x) * log2(1 + |x|) on a fixed grid, centred at n/2."""
+    x = key.cast("double")
+    v = F.signum(x) * F.log2(F.lit(1.0) + F.abs(x)) * 32
+    return F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(v) + n // 2)).cast("int")
+
+
 def cumulative_before(df: DataFrame, key: str, measures: Sequence[str], bucket: Column,
                       groups: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Add ``<m>_before``: sum of ``m`` over rows that precede this row in key order.

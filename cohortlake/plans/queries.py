@@ -346,3 +346,243 @@ def q_value_counts(spark, sf):
 def q_readiness(spark, sf):
     """E10."""
     return E.readiness(harmonized(spark, sf))
+
+
+# ---------------------------------------------------------------- evaluation
+
+from ..operators import evaluate as V  # noqa: E402
+from ..operators import sampling as S  # noqa: E402
+from ..operators import uncertainty as U  # noqa: E402
+
+SC = _cte(s="scored")
+
+
+def _r(c: str, alias: str | None = None):
+    return F.round(F.col(c), DIGITS).alias(alias or c)
+
+
+def _rs(c: str, alias: str | None = None) -> str:
+    return f"round({c}, {DIGITS}) as {alias or c}"
+
+
+def _counts_sql(src: str, thr: str) -> str:
+    return (f"select count_if(p >= {thr} and y = 1) as tp, count_if(p >= {thr} and y = 0) as fp, "
+            f"count_if(p < {thr} and y = 0) as tn, count_if(p < {thr} and y = 1) as fn, "
+            f"avg(power(p - y, 2)) as brier from {src}")
+
+
+def _metrics_sql(tp="tp", fp="fp", tn="tn", fn="fn") -> str:
+    return (f"case when {tp}+{fp}+{tn}+{fn} > 0 then ({tp}+{tn})::double/({tp}+{fp}+{tn}+{fn}) else 0.0 end as accuracy, "
+            f"case when {tp}+{fn} > 0 and {tn}+{fp} > 0 then ({tp}::double/({tp}+{fn}) + {tn}::double/({tn}+{fp}))/2 "
+            f"when {tp}+{fn} > 0 then {tp}::double/({tp}+{fn}) when {tn}+{fp} > 0 then {tn}::double/({tn}+{fp}) "
+            f"else 0.0 end as balanced_accuracy, "
+            f"case when {tp}+{fp} > 0 then {tp}::double/({tp}+{fp}) else 0.0 end as precision, "
+            f"case when {tp}+{fn} > 0 then {tp}::double/({tp}+{fn}) else 0.0 end as recall, "
+            f"case when 2*{tp}+{fp}+{fn} > 0 then 2.0*{tp}/(2*{tp}+{fp}+{fn}) else 0.0 end as f1")
+
+
+@query("threshold_metrics", SC + "select " + ", ".join(_rs(m) for m in V.METRIC_NAMES + ["brier"]) + " from (select "
+       + _metrics_sql() + ", brier from (" + _counts_sql("s", "0.5") + "))")
+def q_threshold_metrics(spark, sf):
+    """I1 + I3."""
+    m = V.threshold_metrics(X.scored(spark, sf))
+    return m.select(*[_r(c) for c in V.METRIC_NAMES + ["brier"]])
+
+
+_AUC_SQL = ("select round(sum(pos * (2.0 * neg_before + neg)) / (2.0 * sum(pos) * sum(neg)), 9) as auc from ("
+            "select pos, neg, coalesce(sum(neg) over (order by p rows between unbounded preceding and 1 preceding), 0) "
+            "as neg_before from (select p, sum(y) as pos, sum(1 - y) as neg from s group by p))")
+
+
+@query("roc_auc", SC + _AUC_SQL)
+def q_roc_auc(spark, sf):
+    """I2."""
+    return V.roc_auc(X.scored(spark, sf)).select(_r("auc"))
+
+
+@query("roc_auc_orders", "with s as (select o_orderkey as row_id, o_totalprice as p, case when o_orderpriority in "
+       "('1-URGENT','2-HIGH') then 1 else 0 end as y from orders) " + _AUC_SQL.replace("from s group by p",
+                                                                                   "from s group by p"))
+def q_roc_auc_orders(spark, sf):
+    """I2 on raw order prices as scores (unbounded scores, log-scale buckets)."""
+    o = X.table(spark, sf, "orders").select(
+        F.col("o_totalprice").alias("p"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0).alias("y"))
+    return V.roc_auc(o, probabilities=False).select(_r("auc"))
+
+
+@query("brier_score", SC + "select round(avg(power(p - y, 2)), 9) as brier from s")
+def q_brier(spark, sf):
+    """I3."""
+    return V.brier(X.scored(spark, sf)).select(_r("brier"))
+
+
+_GRID_SQL = "[" + ", ".join(repr(t) for t in V.THRESHOLD_GRID) + "]"
+
+
+@query("best_threshold", SC + ", g as (select unnest(range(61)) as i), t as (select i, " + _GRID_SQL
+       + "[i + 1] as threshold from g), c as (select t.i, t.threshold, count_if(s.p >= t.threshold and s.y = 1) as tp, "
+       "count_if(s.p >= t.threshold and s.y = 0) as fp, count_if(s.p < t.threshold and s.y = 0) as tn, "
+       "count_if(s.p < t.threshold and s.y = 1) as fn from t, s group by t.i, t.threshold), "
+       "m as (select i, threshold, " + _metrics_sql() + " from c) "
+       "select threshold, " + ", ".join(_rs(x) for x in V.METRIC_NAMES) + " from m order by f1 desc, accuracy desc, "
+       "case when threshold = 0.5 then -1 else i end asc limit 1")
+def q_best_threshold(spark, sf):
+    """I6 (the oracle brute-forces every threshold against every row)."""
+    b = V.best_threshold(X.scored(spark, sf))
+    return b.select("threshold", *[_r(c) for c in V.METRIC_NAMES])
+
+
+@query("roc_curve", SC + ", d as (select p, sum(y) as pos, sum(1 - y) as neg from s group by p), "
+       "c as (select p, sum(pos) over (order by p desc) as tps, sum(neg) over (order by p desc) as fps, "
+       "sum(pos) over () as tot_pos, sum(neg) over () as tot_neg from d) "
+       "select p as threshold, cast(tps as bigint) as tps, cast(fps as bigint) as fps, round(fps / tot_neg, 9) as fpr, "
+       "round(tps / tot_pos, 9) as tpr from c")
+def q_roc_curve(spark, sf):
+    """I7."""
+    r = V.roc_curve(X.scored(spark, sf))
+    return r.select("threshold", F.col("tps").cast("bigint").alias("tps"), F.col("fps").cast("bigint").alias("fps"),
+                    _r("fpr"), _r("tpr"))
+
+
+_CAL_Q = ", ".join(repr(v) for v in V.CALIBRATION_QUANTILES)
+
+
+@query("calibration_curve", SC + ", e as (select quantile_cont(p, [" + _CAL_Q + "]) as edges from s) "
+       "select bin, count(*) as n, round(avg(p), 9) as mean_predicted, round(avg(y::double), 9) as fraction_positive "
+       "from (select p, y, len(list_filter(edges, lambda x: x < p)) as bin from s, e) group by bin")
+def q_calibration_curve(spark, sf):
+    """I8."""
+    c = V.calibration_curve(X.scored(spark, sf))
+    return c.select(F.col("bin").cast("bigint").alias("bin"), "n", _r("mean_predicted"), _r("fraction_positive"))
+
+
+_EDGES_SQL = "[" + ", ".join(repr(v) for v in V.HISTOGRAM_EDGES) + "]"
+
+
+@query("probability_histogram", SC + ", b as (select y, case when p = 1.0 then 19 else "
+       "len(list_filter(" + _EDGES_SQL + ", lambda x: x <= p)) - 1 end as bin from s where p >= 0 and p <= 1) "
+       "select y, bin, " + _EDGES_SQL + "[bin + 1] as bin_lo, " + _EDGES_SQL + "[bin + 2] as bin_hi, count(*) as n "
+       "from b group by y, bin")
+def q_probability_histogram(spark, sf):
+    """I9."""
+    h = V.probability_histogram(X.scored(spark, sf))
+    return h.select("y", F.col("bin").cast("bigint").alias("bin"), "bin_lo", "bin_hi", "n")
+
+
+@query("conformal_quantile", SC + ", sc as (select 1.0 - case when y = 1 then p else 1.0 - p end as score from s), "
+       "k as (select count(*) as n, cast(least(count(*), greatest(1, ceil((count(*) + 1) * 0.9))) as bigint) as k "
+       "from sc), o as (select score, row_number() over (order by score) as rn from sc) "
+       "select k.n, k.k, 0.1 as alpha, round(o.score, 9) as q from o, k where o.rn = k.k")
+def q_conformal_quantile(spark, sf):
+    """I11."""
+    c = U.conformal_quantile(X.scored(spark, sf))
+    return c.select("n", "k", "alpha", _r("q"))
+
+
+@query("prediction_sets", SC + ", sc as (select 1.0 - case when y = 1 then p else 1.0 - p end as score from s), "
+       "k as (select cast(least(count(*), greatest(1, ceil((count(*) + 1) * 0.9))) as bigint) as k from sc), "
+       "q as (select score as q from (select score, row_number() over (order by score) as rn from sc), k "
+       "where rn = k.k) select row_id, case when p > 0.5 then 1.0 else 0.0 end as prediction, "
+       "case when 1.0 - p >= 1.0 - q.q then 1.0 else 0.0 end as set_contains_0, "
+       "case when p >= 1.0 - q.q then 1.0 else 0.0 end as set_contains_1 from s, q")
+def q_prediction_sets(spark, sf):
+    """I12 with the I11 quantile of the same table."""
+    s = X.scored(spark, sf)
+    q = U.conformal_quantile(s).select("q").scalar()
+    return U.prediction_sets(s.select("row_id", "p"), q).select("row_id", "prediction", "set_contains_0",
+                                                                "set_contains_1")
+
+
+@query("event_time_table", _cte(c="case_raw") + ", ev as (select coalesce(" + O.num("days_to_death") + ", "
+       + O.num("days_to_last_follow_up") + ") as t, " + O.case_mortality('vital_status', 'days_to_death',
+                                                                     'days_to_last_follow_up')
+       + " as e from c), u as (select * from ev where t is not null and e is not null), "
+       "d as (select t, count(*) as c, sum(e) as d from u group by t), "
+       "r as (select t, c, d, (select count(*) from u) - coalesce(sum(c) over (order by t rows between unbounded "
+       "preceding and 1 preceding), 0) as at_risk from d), hz as (select *, d / at_risk as hazard from r), "
+       "ch as (select *, sum(hazard) over (order by t) as cumulative_hazard from hz) "
+       "select t as duration, cast(at_risk as bigint) as at_risk, d as events, c - d as censored, "
+       "round(hazard, 9) as hazard, round(cumulative_hazard, 9) as cumulative_hazard, "
+       "round(exp(-cumulative_hazard), 9) as survival from ch where (select count(*) from u) > 100")
+def q_event_time(spark, sf):
+    """duration = death days, else follow-up days; event = the D2 label."""
+    c = X.case_raw(spark, sf)
+    ev = c.select(F.coalesce(T.to_number(F.col("days_to_death")), T.to_number(F.col("days_to_last_follow_up")))
+                  .alias("duration"),
+                  L.case_mortality(F.col("vital_status"), F.col("days_to_death"),
+                                   F.col("days_to_last_follow_up")).alias("event"))
+    t = U.event_time_table(ev)
+    return t.select("duration", "at_risk", "events", "censored", _r("hazard"), _r("cumulative_hazard"),
+                    _r("survival"))
+
+
+# ---------------------------------------------------------------- sampling
+
+def _rank_sql(src: str, strata: str, seed: str, id_col: str = "row_id") -> str:
+    return (f"row_number() over (partition by {strata} order by md5(concat('{seed}:', cast({id_col} as varchar))), "
+            f"{id_col})")
+
+
+def _quota_sql(src: str, label: str, total: str) -> str:
+    return (f"select {label}, base + case when row_number() over (order by rem desc, {label} asc) <= q - sum(base) "
+            f"over () then 1 else 0 end as quota from (select {label}, nc, q, floor(q * nc / n) as base, "
+            f"(q * nc) % n as rem from (select {label}, count(*) as nc, sum(count(*)) over () as n, {total} as q "
+            f"from {src} group by {label}))")
+
+
+@query("stratified_cap", SC + ", qt as (" + _quota_sql("s", "y", "least(5000, (select count(*) from s))")
+       + "), rk as (select row_id, y, " + _rank_sql("s", "y", "42") + " as rk from s) "
+       "select rk.row_id, rk.y from rk join qt on rk.y = qt.y where rk.rk <= qt.quota")
+def q_stratified_cap(spark, sf):
+    """exactly 5,000 rows (or all when smaller), class mix kept."""
+    return S.stratified_cap(X.scored(spark, sf), "y", "row_id", 5000).select("row_id", "y")
+
+
+@query("stratified_folds", SC + "select row_id, y, cast((" + _rank_sql("s", "y", "42") + " - 1) % 3 as integer) "
+       "as fold from s")
+def q_stratified_folds(spark, sf):
+    """K=3 stratified folds."""
+    return S.stratified_folds(X.scored(spark, sf), "y", "row_id").select("row_id", "y", "fold")
+
+
+@query("order_status_folds", "with s as (select o_orderkey as row_id, o_orderstatus as y from orders) "
+       "select row_id, y, cast((" + _rank_sql("s", "y", "7") + " - 1) % 3 as integer) as fold from s")
+def q_order_status_folds(spark, sf):
+    """F2 on a 3-class label (order status), another seed."""
+    o = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("y"))
+    return S.stratified_folds(o, "y", "row_id", seed=7).select("row_id", "y", "fold")
+
+
+@query("inner_folds", SC + ", f as (select row_id, y, (" + _rank_sql("s", "y", "42") + " - 1) % 3 as fold from s), "
+       "x as (select f.row_id, f.y, o.outer_fold from f, (select unnest(range(3)) as outer_fold) o "
+       "where o.outer_fold <> f.fold) select row_id, y, cast(outer_fold as integer) as outer_fold, "
+       "cast((" + _rank_sql("x", "outer_fold, y", "42:inner") + " - 1) % 2 as integer) as inner_fold from x")
+def q_inner_folds(spark, sf):
+    """inner K=2 folds inside each outer training set."""
+    f = S.stratified_folds(X.scored(spark, sf), "y", "row_id")
+    return S.inner_folds(f, "y", "row_id").select("row_id", "y", "outer_fold", "inner_fold")
+
+
+@query("holdout_split", SC + ", qt as (" + _quota_sql("s", "y", "ceil(0.2 * (select count(*) from s))")
+       + "), rk as (select row_id, y, " + _rank_sql("s", "y", "42") + " as rk from s) "
+       "select rk.row_id, rk.y, case when rk.rk <= qt.quota then 'test' else 'train' end as split "
+       "from rk join qt on rk.y = qt.y")
+def q_holdout_split(spark, sf):
+    """stratified 80/20 holdout, test size ceil(0.2 n)."""
+    return S.holdout_split(X.scored(spark, sf), "y", "row_id").select("row_id", "y", "split")
+
+
+@query("attribution_sample", SC + "select row_id, p, y from s order by md5(concat('42:', cast(row_id as varchar))), "
+       "row_id limit 256")
+def q_attribution_sample(spark, sf):
+    """the 256-row attribution sample (the limit is the operator)."""
+    return S.attribution_sample(X.scored(spark, sf), "row_id").select("row_id", "p", "y")
+
+
+@query("class_weights", "with d as (" + X.DOC_LABELS_SQL + ") select quality, count(*) as n_class, "
+       "round(sum(count(*)) over () / (count(*) over () * count(*)), 9) as weight from d group by quality")
+def q_class_weights(spark, sf):
+    """balanced class weights on document quality labels."""
+    w = S.balanced_weights(X.doc_labels(spark, sf), "quality")
+    return w.select("quality", "n_class", _r("weight"))
