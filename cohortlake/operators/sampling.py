@@ -7,6 +7,8 @@ Randomness is md5('<seed>:<id>'), never ``rand()``: a recomputed task
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,45 +21,50 @@ HOLDOUT_FRACTION = 0.2
 ATTRIBUTION_SAMPLE = 256
 
 
-def class_quotas(df: DataFrame, label: str, total: Column) -> DataFrame:
-    """Per-class quota of ``total`` rows by largest remainder (ties: lower label first).
+def class_quotas(df: DataFrame, label: str, total_fn, by: Sequence[str] = ()) -> DataFrame:
+    """Per-class quota by largest remainder (ties: lower label first), inside each ``by`` group.
 
-    Works on the class-count table (one row per class), so the window is bounded.
+    ``total_fn`` maps the group's row count (a Column) to the number of rows
+    to take.  Works on the class-count table (one row per group x class), so
+    its windows are bounded.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    n = F.sum("_nc").over(Window.partitionBy())
-    c = counts.select(label, "_nc", n.alias("_n"), total.alias("_q"))
-    c = c.select(label, "_nc", "_n", "_q",
+    by = list(by)
+    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_nc"))
+    grp = Window.partitionBy(*by)
+    c = counts.select(*by, label, "_nc", F.sum("_nc").over(grp).alias("_n"))
+    c = c.withColumn("_q", total_fn(F.col("_n")).cast("long"))
+    c = c.select(*by, label, "_q",
                  F.floor(F.col("_q") * F.col("_nc") / F.col("_n")).alias("_base"),
                  ((F.col("_q") * F.col("_nc")) % F.col("_n")).alias("_rem"))
-    left = F.col("_q") - F.sum("_base").over(Window.partitionBy())
-    order = Window.orderBy(F.col("_rem").desc(), F.col(label).asc())
-    return c.select(label, (F.col("_base") + F.when(F.row_number().over(order) <= left, 1).otherwise(0))
+    left = F.col("_q") - F.sum("_base").over(grp)
+    order = Window.partitionBy(*by).orderBy(F.col("_rem").desc(), F.col(label).asc())
+    return c.select(*by, label, (F.col("_base") + F.when(F.row_number().over(order) <= left, 1).otherwise(0))
                     .alias("_quota"))
 
 
-def stratified_take(df: DataFrame, label: str, id_col: str, total: Column, seed=DEFAULT_SEED) -> DataFrame:
-    """Rows with per-class rank <= quota, plus a boolean ``_taken`` flag on every row."""
-    quotas = class_quotas(df, label, total)  # one row per class
-    ranked = stratified_rank(df, [label], id_col, seed)
-    return (ranked.join(F.broadcast(quotas), label)
+def stratified_take(df: DataFrame, label: str, id_col: str, total_fn, seed=DEFAULT_SEED,
+                    by: Sequence[str] = ()) -> DataFrame:
+    """All rows plus ``_taken`` (per-class rank <= quota) and ``_rank``."""
+    quotas = class_quotas(df, label, total_fn, by)  # one row per group x class
+    ranked = stratified_rank(df, [*by, label], id_col, seed)
+    return (ranked.join(F.broadcast(quotas), [*by, label])
             .withColumn("_taken", F.col("_rank") <= F.col("_quota"))
             .drop("_quota"))
 
 
-def stratified_cap(df: DataFrame, label: str, id_col: str, max_rows: int | None, seed=DEFAULT_SEED) -> DataFrame:
+def stratified_cap(df: DataFrame, label: str, id_col: str, max_rows: int | None, seed=DEFAULT_SEED,
+                   by: Sequence[str] = ()) -> DataFrame:
     """exactly ``max_rows`` rows with the class mix kept; no-op if unset, <= 0 or already small."""
     if max_rows is None or max_rows <= 0:
         return df
-    n = df.select(F.count(F.lit(1))).scalar()
-    taken = stratified_take(df, label, id_col, F.least(F.lit(max_rows).cast("long"), n), seed)
+    taken = stratified_take(df, label, id_col, lambda n: F.least(F.lit(max_rows).cast("long"), n), seed, by)
     return taken.filter("_taken").drop("_taken", "_rank")
 
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = OUTER_FOLDS, seed=DEFAULT_SEED,
-                     fold_col: str = "fold") -> DataFrame:
+                     fold_col: str = "fold", by: Sequence[str] = ()) -> DataFrame:
     """fold = (rank within class by md5(seed:id), id) - 1) mod k."""
-    return stratified_rank(df, [label], id_col, seed).withColumn(
+    return stratified_rank(df, [*by, label], id_col, seed).withColumn(
         fold_col, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
@@ -74,10 +81,9 @@ def inner_folds(df: DataFrame, label: str, id_col: str, fold_col: str = "fold",
 
 
 def holdout_split(df: DataFrame, label: str, id_col: str, test_fraction: float = HOLDOUT_FRACTION,
-                  seed=DEFAULT_SEED) -> DataFrame:
+                  seed=DEFAULT_SEED, by: Sequence[str] = ()) -> DataFrame:
     """stratified holdout; test size = ceil(test_fraction * n), split by largest remainder."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    taken = stratified_take(df, label, id_col, F.ceil(F.lit(test_fraction) * n).cast("long"), seed)
+    taken = stratified_take(df, label, id_col, lambda n: F.ceil(F.lit(test_fraction) * n), seed, by)
     return (taken.withColumn("split", F.when(F.col("_taken"), F.lit("test")).otherwise(F.lit("train")))
             .drop("_taken", "_rank"))
 

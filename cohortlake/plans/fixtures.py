@@ -177,3 +177,38 @@ def doc_labels(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     lab = table(spark, sf_dir, "labels")
     return d.join(lab, "doc_id")
+
+
+# Per-run scores: two tasks x three algorithms over `orders` (integer hashes, identical in both engines).
+_H1 = "(o_orderkey*7919+o_custkey*104729)%10007"
+_H2 = "(o_orderkey*104729+o_custkey*7919)%10007"
+RUN_SCORES = ("orders", [
+    ("row_id", "o_orderkey"),
+    ("y_mortality", f"case when {_H1} + (o_orderkey*6151)%4001 > 7000 then 1 else 0 end"),
+    ("y_response", f"case when {_H2} + (o_custkey*613)%4001 > 9000 then 1 else 0 end"),
+    ("p_mortality_lightgbm", f"cast({_H1} as double)/10007"),
+    ("p_mortality_xgboost", f"cast({_H1} + (o_orderkey*31)%2000 as double)/12007"),
+    ("p_mortality_tabnet", f"cast({_H1} + (o_orderkey*17)%6000 as double)/16007"),
+    ("p_response_lightgbm", f"cast({_H2} + (o_orderkey*29)%3000 as double)/13007"),
+    ("p_response_xgboost", f"cast({_H2} as double)/10007"),
+    ("p_response_tabnet", f"cast({_H2} + (o_orderkey*13)%8000 as double)/18007"),
+])
+RECIPES["run_scores"] = RUN_SCORES
+RUN_TASKS = ("mortality", "response")
+RUN_ALGORITHMS = ("lightgbm", "xgboost", "tabnet")
+
+
+def run_scores(spark, sf_dir) -> DataFrame:
+    """Long (task, algorithm, row_id, y, p) table: one row per order per run."""
+    w = derive(spark, sf_dir, "run_scores")
+    runs = [F.struct(F.lit(t).alias("task"), F.lit(a).alias("algorithm"), F.col(f"y_{t}").alias("y"),
+                     F.col(f"p_{t}_{a}").alias("p")) for t in RUN_TASKS for a in RUN_ALGORITHMS]
+    return w.select("row_id", F.explode(F.array(*runs)).alias("r")).select(
+        "r.task", "r.algorithm", "row_id", "r.y", "r.p")
+
+
+def duck_run_scores_long() -> str:
+    body = duck("run_scores")
+    parts = [f"select '{t}' as task, '{a}' as algorithm, row_id, y_{t} as y, p_{t}_{a} as p from rs"
+             for t in RUN_TASKS for a in RUN_ALGORITHMS]
+    return f"rs as ({body}), lg as ({' union all '.join(parts)})"

@@ -586,3 +586,157 @@ def q_class_weights(spark, sf):
     """balanced class weights on document quality labels."""
     w = S.balanced_weights(X.doc_labels(spark, sf), "quality")
     return w.select("quality", "n_class", _r("weight"))
+
+
+# ---------------------------------------------------------------- runs: fold metrics, summary, CI (H5 eval, I4, I5)
+
+from . import runs as RN  # noqa: E402
+from ..operators import serve as J  # noqa: E402
+from ..functions.catalog import DROP_FEATURES_BY_TASK  # noqa: E402
+
+_METRIC_COLS = V.METRIC_NAMES + ["auc", "brier"]
+_FOLDS_SQL = (
+    "with " + X.duck_run_scores_long()
+    + ", fo as (select *, (row_number() over (partition by task, algorithm, y order by "
+    "md5(concat('42:', cast(row_id as varchar))), row_id) - 1) % 3 as fold from lg), "
+    "fc as (select task, algorithm, fold, count_if(p >= 0.5 and y = 1) as tp, count_if(p >= 0.5 and y = 0) as fp, "
+    "count_if(p < 0.5 and y = 0) as tn, count_if(p < 0.5 and y = 1) as fn, avg(power(p - y, 2)) as brier "
+    "from fo group by task, algorithm, fold), "
+    "fd as (select task, algorithm, fold, p, sum(y) as pos, sum(1 - y) as neg from fo group by task, algorithm, fold, p), "
+    "fa as (select task, algorithm, fold, sum(pos * (2.0 * neg_before + neg)) / (2.0 * sum(pos) * sum(neg)) as auc "
+    "from (select *, coalesce(sum(neg) over (partition by task, algorithm, fold order by p rows between unbounded "
+    "preceding and 1 preceding), 0) as neg_before from fd) group by task, algorithm, fold), "
+    "fm as (select fc.task, fc.algorithm, fc.fold, " + _metrics_sql("fc.tp", "fc.fp", "fc.tn", "fc.fn")
+    + ", fc.brier, fa.auc from fc join fa on fc.task = fa.task and fc.algorithm = fa.algorithm and fc.fold = fa.fold), "
+    "sm as (select task, algorithm, "
+    + ", ".join(f"avg({m}) as {m}_mean, stddev_samp({m}) as {m}_std" for m in _METRIC_COLS)
+    + " from fm group by task, algorithm), "
+    "ci as (select task, algorithm, count(*) as n_folds, avg(auc) as mean, "
+    "case when count(*) >= 2 then greatest(0.0, avg(auc) - 1.96 * stddev_samp(auc) / sqrt(count(*))) end as lower, "
+    "case when count(*) >= 2 then least(1.0, avg(auc) + 1.96 * stddev_samp(auc) / sqrt(count(*))) end as upper "
+    "from fm where auc is not null and not isnan(auc) group by task, algorithm), "
+    "hq as (select task, algorithm, y, base + case when row_number() over (partition by task, algorithm order by "
+    "rem desc, y asc) <= q - sum(base) over (partition by task, algorithm) then 1 else 0 end as quota from ("
+    "select task, algorithm, y, q, floor(q * nc / n) as base, (q * nc) % n as rem from (select task, algorithm, y, "
+    "count(*) as nc, sum(count(*)) over (partition by task, algorithm) as n, ceil(0.2 * sum(count(*)) over "
+    "(partition by task, algorithm)) as q from lg group by task, algorithm, y))), "
+    "ht as (select lg.* from (select *, row_number() over (partition by task, algorithm, y order by "
+    "md5(concat('42:', cast(row_id as varchar))), row_id) as rk from lg) lg join hq on lg.task = hq.task "
+    "and lg.algorithm = hq.algorithm and lg.y = hq.y where lg.rk <= hq.quota), "
+    "tg as (select i, " + _GRID_SQL + "[i + 1] as threshold from (select unnest(range(61)) as i)), "
+    "tc as (select ht.task, ht.algorithm, tg.i, tg.threshold, count_if(ht.p >= tg.threshold and ht.y = 1) as tp, "
+    "count_if(ht.p >= tg.threshold and ht.y = 0) as fp, count_if(ht.p < tg.threshold and ht.y = 0) as tn, "
+    "count_if(ht.p < tg.threshold and ht.y = 1) as fn from ht, tg group by ht.task, ht.algorithm, tg.i, tg.threshold), "
+    "tm as (select task, algorithm, i, threshold, " + _metrics_sql() + " from tc), "
+    "bt as (select task, algorithm, threshold, f1 from (select *, row_number() over (partition by task, algorithm "
+    "order by f1 desc, accuracy desc, case when threshold = 0.5 then -1 else i end) as r from tm) where r = 1), "
+    "runs as (select sm.task, sm.algorithm, sm.auc_mean as auc, sm.brier_mean as brier, bt.threshold, "
+    "'ok' as status, cast(null as varchar) as error, case sm.task "
+    + " ".join(f"when '{t}' then ['dropped_features={','.join(sorted(d))}']" for t, d in DROP_FEATURES_BY_TASK.items())
+    + " end as notes from sm join bt on sm.task = bt.task and sm.algorithm = bt.algorithm) ")
+
+
+@query("fold_metrics", _FOLDS_SQL + "select task, algorithm, fold, "
+       + ", ".join(_rs(m) for m in _METRIC_COLS) + " from fm")
+def q_fold_metrics(spark, sf):
+    """Outer-fold evaluation of every run at once (the evaluation half of H5)."""
+    fm = RN.fold_metrics(X.run_scores(spark, sf))
+    return fm.select("task", "algorithm", "fold", *[_r(m) for m in _METRIC_COLS])
+
+
+@query("fold_summary", _FOLDS_SQL + "select task, algorithm, "
+       + ", ".join(f"{_rs(m + '_mean')}, {_rs(m + '_std')}" for m in _METRIC_COLS) + " from sm")
+def q_fold_summary(spark, sf):
+    """I4: fold mean and sample std of each metric, per run."""
+    s = V.fold_summary(RN.fold_metrics(X.run_scores(spark, sf)), RN.RUN, _METRIC_COLS)
+    return s.select("task", "algorithm", *[c for m in _METRIC_COLS for c in (_r(f"{m}_mean"), _r(f"{m}_std"))])
+
+
+@query("auc_confidence_interval", _FOLDS_SQL + "select task, algorithm, 'normal_approx_over_outer_folds' as method, "
+       "n_folds, round(mean, 9) as mean, round(lower, 9) as lower, round(upper, 9) as upper from ci")
+def q_auc_ci(spark, sf):
+    """I5."""
+    c = V.auc_ci(RN.fold_metrics(X.run_scores(spark, sf)), RN.RUN)
+    return c.select("task", "algorithm", "method", "n_folds", _r("mean"), _r("lower"), _r("upper"))
+
+
+@query("holdout_best_threshold", _FOLDS_SQL + "select task, algorithm, threshold, round(f1, 9) as f1 from bt")
+def q_holdout_best_threshold(spark, sf):
+    """F4 + I6 per run: best F1 threshold on each run's stratified 20 % holdout."""
+    s = X.run_scores(spark, sf)
+    test = S.holdout_split(s, "y", "row_id", by=RN.RUN).filter(F.col("split") == "test")
+    return V.best_threshold(test, groups=RN.RUN).select("task", "algorithm", "threshold", _r("f1"))
+
+
+def _runs(spark, sf):
+    return RN.runs_table(X.run_scores(spark, sf))
+
+
+@query("run_ranking", _FOLDS_SQL + "select task, algorithm, round(auc, 9) as auc, round(brier, 9) as brier, "
+       "row_number() over (partition by task order by auc desc nulls last, brier asc nulls last, algorithm desc) "
+       "as rank from runs")
+def q_run_ranking(spark, sf):
+    """J2."""
+    r = J.rank_runs(_runs(spark, sf))
+    return r.select("task", "algorithm", _r("auc"), _r("brier"), F.col("rank").cast("bigint").alias("rank"))
+
+
+_SELECTED_SQL = (", rk as (select *, row_number() over (partition by task order by auc desc nulls last, "
+                 "brier asc nulls last, algorithm desc) as rank from runs), "
+                 "sel as (select * from rk where rank = (select min(rank) from rk r2 where r2.task = rk.task "
+                 "and r2.status = 'ok')) ")
+
+
+@query("selected_runs", _FOLDS_SQL + _SELECTED_SQL + "select task, algorithm, cast(rank as bigint) as rank, "
+       "case when threshold between 0 and 1 then threshold else 0.5 end as decision_threshold from sel")
+def q_selected_runs(spark, sf):
+    """J3 + J4: first usable run per task and its decision threshold."""
+    s = J.select_runs(J.rank_runs(_runs(spark, sf)))
+    return s.select("task", "algorithm", F.col("rank").cast("bigint").alias("rank"),
+                    J.decision_threshold(F.col("threshold")).alias("decision_threshold"))
+
+
+_FEATS_SQL = ("[" + ", ".join(f"'{f}'" for f in FEATURE_ORDER) + "]")
+
+
+@query("report_features", _FOLDS_SQL + ", nf as (select task, algorithm, string_split(replace(list_filter(notes, "
+       "lambda s: starts_with(s, 'dropped_features='))[-1], 'dropped_features=', ''), ',') as dropped from runs) "
+       "select task, algorithm, array_to_string(dropped, ',') as dropped_features, "
+       "array_to_string(list_filter(" + _FEATS_SQL + ", lambda f: not list_contains(dropped, f)), ',') "
+       "as used_features from nf")
+def q_report_features(spark, sf):
+    """J1 (arrays rendered as comma-joined text for the cross-engine hash)."""
+    r = J.report_features(_runs(spark, sf))
+    return r.select("task", "algorithm", F.array_join("dropped_features", ",").alias("dropped_features"),
+                    F.array_join("used_features", ",").alias("used_features"))
+
+
+def _shared_active(spark, sf):
+    sel = J.report_features(J.select_runs(J.rank_runs(_runs(spark, sf))))
+    row = sel.agg(F.max(F.when(F.col("task") == "response", F.col("used_features"))).alias("r"),
+                  F.max(F.when(F.col("task") == "mortality", F.col("used_features"))).alias("m"))
+    return row.select(J.shared_features(F.col("r"), F.col("m")).alias("shared"))
+
+
+@query("shared_features", _FOLDS_SQL + _SELECTED_SQL + ", nf as (select task, list_filter(" + _FEATS_SQL
+       + ", lambda f: not list_contains(string_split(replace(list_filter(notes, lambda s: starts_with(s, "
+       "'dropped_features='))[-1], 'dropped_features=', ''), ','), f)) as used from sel), "
+       "pr as (select (select used from nf where task = 'response') as r, (select used from nf where "
+       "task = 'mortality') as m) select array_to_string(list_filter(" + _FEATS_SQL + ", lambda f: "
+       "list_contains(pr.r, f) and list_contains(pr.m, f)), ',') as shared from pr")
+def q_shared_features(spark, sf):
+    """J5."""
+    return _shared_active(spark, sf).select(F.array_join("shared", ",").alias("shared"))
+
+
+@query("deployment_status", _FOLDS_SQL + _SELECTED_SQL + "select (select count(*) from sel where task = 'response') > 0 "
+       "as response_model_ready, (select count(*) from sel where task = 'mortality') > 0 as mortality_model_ready, "
+       f"{len(FEATURE_ORDER)} as feature_count, "
+       "(select case when threshold between 0 and 1 then threshold else 0.5 end from sel where task = 'response') "
+       "as response_threshold, (select case when threshold between 0 and 1 then threshold else 0.5 end from sel "
+       "where task = 'mortality') as mortality_threshold, (select algorithm from sel where task = 'response') "
+       "as response_algorithm, (select algorithm from sel where task = 'mortality') as mortality_algorithm, "
+       f"'{J.READY_MODE}' as mode")
+def q_deployment_status(spark, sf):
+    """J12."""
+    return J.deployment_status(J.select_runs(J.rank_runs(_runs(spark, sf))))
