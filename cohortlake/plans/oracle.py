@@ -225,3 +225,28 @@ def study_canonical(p: str = "p", sf: str = "sfl") -> str:
             f"cast(null as varchar) as radiation_recode, cast(null as double) as treatment_delay_days, "
             f"{sf}.egfr_mutation as egfr_mutation, cast(null as double) as mortality_1yr, cast(null as double) as response "
             f"from {p} left join {sf} on {p}.sample_id = {sf}.sid")
+
+
+def normalize(dtype: str, expr: str, default) -> str:
+    """B6/B7 in DuckDB: NULL or '' -> default; ints truncate toward zero; bad text -> default."""
+    s = f"cast({expr} as varchar)"
+    if dtype in ("int", "binary"):
+        d = f"cast({int(default)} as integer)"
+        parsed = f"try_cast(trunc(try_cast({s} as double)) as integer)"
+    elif dtype == "float":
+        d = f"cast({float(default)} as double)"
+        parsed = f"try_cast({s} as double)"
+    else:
+        d = f"'{default}'"
+        parsed = s
+    return f"(case when {s} is null or {s} = '' then {d} else coalesce({parsed}, {d}) end)"
+
+
+def linear_logit(intercept: float, numeric: dict, categorical: dict) -> str:
+    parts = [repr(float(intercept))]
+    for n, w in numeric.items():
+        parts.append(f"{float(w)!r} * coalesce(cast({n} as double), 0.0)")
+    for n, table in categorical.items():
+        cases = " ".join(f"when {n} = '{k}' then {float(v)!r}" for k, v in table.items())
+        parts.append(f"(case {cases} else 0.0 end)")
+    return " + ".join(parts)

@@ -740,3 +740,190 @@ def q_shared_features(spark, sf):
 def q_deployment_status(spark, sf):
     """J12."""
     return J.deployment_status(J.select_runs(J.rank_runs(_runs(spark, sf))))
+
+
+# ---------------------------------------------------------------- payloads, scoring, attribution
+
+from ..functions.catalog import feature_order_for_task  # noqa: E402
+from ..operators import attribution as A  # noqa: E402
+
+# --- fixed values: demonstration scorers for the SQL-checkable scoring path ---
+RESPONSE_SCORER = J.LinearScorer(
+    intercept=-1.0, numeric={"age": 0.01, "chemotherapy_cycles": 0.6},
+    categorical={"histology": {"Adenocarcinoma": 0.5, "Squamous": -0.2},
+                 "cancer_stage": {"IV": -0.8, "IIIA": -0.3}, "sex": {"Female": 0.2}})
+MORTALITY_SCORER = J.LinearScorer(
+    intercept=-2.0, numeric={"age": 0.02, "tumor_size_mm": 0.008, "mets_lung_dx": 0.9, "treatment_delay_days": 0.002},
+    categorical={"cancer_stage": {"IV": 1.2, "IIIB": 0.7, "IIIA": 0.4}, "radiation_recode": {"Refused": 0.3}})
+# --- end of fixed values ---
+
+_UPLOAD_COLS = ["age", "sex", "histology", "cancer_stage", "tumor_size_mm", "mets_lung_dx", "chemotherapy_cycles",
+                "radiation_recode", "treatment_delay_days"]
+
+
+def _upload(spark, sf) -> DataFrame:
+    """A user upload: canonical registry rows as text, some cells blank or junk, some columns absent."""
+    c = H.registry_cohort(X.registry_export(spark, sf))
+    rid = F.substring_index(F.col("row_id"), ":", -1).cast("long")
+    cols = []
+    for i, n in enumerate(_UPLOAD_COLS):
+        s = F.col(n).cast("string")
+        cols.append(F.when(rid % (11 + i) == 0, F.lit("")).when(rid % (29 + i) == 0, F.lit("junk"))
+                    .otherwise(s).alias(n))
+    return c.select("row_id", *cols, F.when(rid % 5 == 0, F.lit(" ")).otherwise(F.lit("Pemetrexed")).alias("drug_name"))
+
+
+def _upload_sql() -> str:
+    cols = []
+    for i, n in enumerate(_UPLOAD_COLS):
+        cols.append(f"case when rid % {11 + i} = 0 then '' when rid % {29 + i} = 0 then 'junk' "
+                    f"else cast({n} as varchar) end as {n}")
+    return (_REG_CANON + ", up as (select row_id, " + ", ".join(cols) + ", case when rid % 5 = 0 then ' ' "
+            "else 'Pemetrexed' end as drug_name from (select *, cast(split_part(row_id, ':', 2) as bigint) as rid "
+            "from c)) ")
+
+
+def _norm_sql() -> str:
+    from ..functions.catalog import FEATURES as FS
+    return ", ".join(f"{O.normalize(f.dtype, f.name if f.name in _UPLOAD_COLS else 'cast(null as varchar)', f.default)} "
+                     f"as {f.name}" for f in FS)
+
+
+@query("payload_normalization", _upload_sql() + "select row_id, " + _norm_sql() + " from up")
+def q_payload_normalization(spark, sf):
+    """B6 + B7 + B8: typed payload, defaults for blank/absent/unparsable cells."""
+    return T.normalize_payload(_upload(spark, sf), keep=["row_id"])
+
+
+@query("feature_typing", _upload_sql() + "select row_id, "
+       + ", ".join((f"{O.num(n)} as {n}" if n in ("age", "tumor_size_mm", "mets_lung_dx", "chemotherapy_cycles",
+                                                  "treatment_delay_days")
+                    else f"case when {n} in ('None', '<NA>', 'nan') then null else {n} end as {n}")
+                   for n in _UPLOAD_COLS) + " from up")
+def q_feature_typing(spark, sf):
+    """Numerics coerced leniently, categorical sentinels nulled."""
+    return T.coerce_feature_types(_upload(spark, sf).drop("drug_name"))
+
+
+def _violations_sql() -> str:
+    from ..functions.catalog import FEATURES as FS
+    parts = []
+    for f in FS:
+        if f.name not in _UPLOAD_COLS:
+            continue
+        if f.numeric and f.minimum is not None and f.maximum is not None:
+            parts.append(f"select '{f.name}:range' as violation, count_if({f.name} < {float(f.minimum)} or "
+                         f"{f.name} > {float(f.maximum)}) as n from c")
+        if f.choices:
+            if f.numeric:
+                vals = ", ".join(str(float(v)) for v in f.choices)
+                parts.append(f"select '{f.name}:choice', count_if({f.name} is not null and {f.name} not in ({vals})) from c")
+            else:
+                vals = ", ".join(f"'{str(v).lower()}'" for v in f.choices)
+                parts.append(f"select '{f.name}:choice', count_if({f.name} is not null and lower({f.name}) not in "
+                             f"({vals})) from c")
+    return "select violation, cast(n as bigint) as n from (" + " union all ".join(parts) + ") where n > 0"
+
+
+@query("constraint_violations", _REG_CANON + _violations_sql())
+def q_constraint_violations(spark, sf):
+    """B9 re-aimed as a data-quality report: rows violating each declared range/choice."""
+    c = H.registry_cohort(X.registry_export(spark, sf)).select(*_UPLOAD_COLS)
+    from ..functions.catalog import FEATURES as FS
+    v = c.select(T.constraint_violations(FS, present=_UPLOAD_COLS).alias("v"))
+    return (v.select(F.explode("v").alias("violation")).groupBy("violation")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("task_feature_pruning", _REG_CANON + "select row_id, "
+       + ", ".join(feature_order_for_task("mortality")) + ", mortality_1yr from c where mortality_1yr is not null")
+def q_task_feature_pruning(spark, sf):
+    """B10 + A6 shape: the mortality training table keeps only the task's features and its label."""
+    c = L.labeled(H.registry_cohort(X.registry_export(spark, sf)), "mortality_1yr")
+    return c.select("row_id", *feature_order_for_task("mortality"), "mortality_1yr")
+
+
+_NORM_CTE = ", nz as (select row_id, drug_name, " + _norm_sql() + " from up) "
+_RESP_P = "1.0 / (1.0 + exp(-(" + O.linear_logit(RESPONSE_SCORER.intercept, RESPONSE_SCORER.numeric,
+                                                  RESPONSE_SCORER.categorical) + ")))"
+_MORT_P = "1.0 / (1.0 + exp(-(" + O.linear_logit(MORTALITY_SCORER.intercept, MORTALITY_SCORER.numeric,
+                                                  MORTALITY_SCORER.categorical) + ")))"
+
+
+@query("batch_scoring", _upload_sql() + _NORM_CTE + ", sc as (select row_id, drug_name, " + _RESP_P + " as p, "
+       + _MORT_P + " as pm from nz) select row_id, round(p, 9) as probability, case when p >= 0.5 then "
+       "'Positive response expected' else 'Negative response expected' end as label, "
+       "printf('%.1f%%', greatest(p, 1.0 - p) * 100.0) as confidence, case when greatest(p, 1.0 - p) >= 0.8 "
+       "then 'High' when greatest(p, 1.0 - p) >= 0.7 then 'Medium' else 'Low' end as confidence_level, "
+       "round(pm, 9) as mortality_probability, case when pm >= 0.5 then 'Higher mortality risk' else "
+       "'Lower mortality risk' end as mortality_label, coalesce(nullif(trim(drug_name), ''), 'Cisplatin') "
+       "as drug_name from sc")
+def q_batch_scoring(spark, sf):
+    """J8 + J9 + J10 + J14 with fixed linear scorers (both tasks, one pass)."""
+    out = J.score_batch(_upload(spark, sf), RESPONSE_SCORER, MORTALITY_SCORER,
+                        response_algorithm="linear", mortality_algorithm="linear")
+    return out.select("row_id", _r("probability"), "label", "confidence", "confidence_level",
+                      _r("mortality_probability"), "mortality_label", "drug_name")
+
+
+@query("availability_gate", _upload_sql() + "select row_id, cast(null as double) as probability, "
+       "'Model not trained' as label, '0.0%' as confidence, 'Low' as confidence_level, "
+       "coalesce(nullif(trim(drug_name), ''), 'Cisplatin') as drug_name, 'tree-stack-unavailable' as model_type from up")
+def q_availability_gate(spark, sf):
+    """A missing model gives typed 'not trained' rows instead of scores."""
+    out = J.score_batch(_upload(spark, sf), None, MORTALITY_SCORER,
+                        load_errors={"response": ["lightgbm: model unavailable"]})
+    return out.select("row_id", "probability", "label", "confidence", "confidence_level", "drug_name", "model_type")
+
+
+def _attr_sql(scorer: J.LinearScorer, task: str, sfx: str = "") -> str:
+    terms = {n: f"{float(w)!r} * coalesce(cast({n} as double), 0.0)" for n, w in scorer.numeric.items()}
+    for n, table in scorer.categorical.items():
+        terms[n] = "(case " + " ".join(f"when {n} = '{k}' then {float(v)!r}" for k, v in table.items()) + " else 0.0 end)"
+    t = ", ".join(f"{e} as {n}" for n, e in terms.items())
+    parts = [f"select '{task}' as task, '{n}' as feature, avg(abs(t{sfx}.{n} - m{sfx}.{n})) as mean_abs "
+             f"from t{sfx}, m{sfx}" for n in terms]
+    return (f"t{sfx} as (select {t} from nz), m{sfx} as (select " + ", ".join(f"avg({n}) as {n}" for n in terms)
+            + f" from t{sfx}), a{sfx} as (" + " union all ".join(parts) + ")")
+
+
+@query("linear_attribution", _upload_sql() + _NORM_CTE + ", " + _attr_sql(MORTALITY_SCORER, "mortality")
+       + " select feature, round(mean_abs, 9) as mean_abs from a")
+def q_linear_attribution(spark, sf):
+    """I10 (closed form for a linear scorer) over the normalized batch."""
+    nz = T.normalize_payload(_upload(spark, sf), keep=["row_id"])
+    return A.linear_attribution(nz, MORTALITY_SCORER).select("feature", _r("mean_abs"))
+
+
+@query("active_features", _FOLDS_SQL + _SELECTED_SQL + ", nf as (select task, list_filter(" + _FEATS_SQL
+       + ", lambda f: not list_contains(string_split(replace(list_filter(notes, lambda s: starts_with(s, "
+       "'dropped_features='))[-1], 'dropped_features=', ''), ','), f)) as used from sel), "
+       "pr as (select (select used from nf where task = 'response') as r, (select used from nf where "
+       "task = 'mortality') as m), sh as (select list_filter(" + _FEATS_SQL + ", lambda f: list_contains(pr.r, f) "
+       "and list_contains(pr.m, f)) as shared from pr), "
+       + (_upload_sql() + _NORM_CTE).removeprefix("with ") + ", " + _attr_sql(MORTALITY_SCORER, "mortality", "1")
+       + ", " + _attr_sql(RESPONSE_SCORER, "response", "2")
+       + ", ex as (select feature, max(mean_abs) as mx from (select * from a1 union all select * from a2) "
+       "group by feature), top as (select list(feature order by mx desc, feature asc) as extras from ex, sh "
+       "where not list_contains(sh.shared, ex.feature)), tk as (select extras[1:5] as extras from top) "
+       "select array_to_string(list_filter(" + _FEATS_SQL + ", lambda f: list_contains(sh.shared, f) or "
+       "list_contains(tk.extras, f)), ',') as active from sh, tk")
+def q_active_features(spark, sf):
+    """Shared features plus the top-5 attribution extras, catalog order."""
+    nz = T.normalize_payload(_upload(spark, sf), keep=["row_id"])
+    attr = A.linear_attribution(nz, MORTALITY_SCORER).unionByName(A.linear_attribution(nz, RESPONSE_SCORER))
+    shared = _shared_active(spark, sf)
+    extras = J.top_extra_features(attr, F.col("shared"))
+    both = shared.select("shared", extras.alias("extras"))
+    return both.select(F.array_join(J.active_features(F.col("shared"), F.col("extras")), ",").alias("active"))
+
+
+@query("input_completeness", _upload_sql() + "select feature, column_present, cast(n_supplied as bigint) as n_supplied, "
+       "cast(n - n_supplied as bigint) as n_defaulted from (" + " union all ".join(
+           (f"select '{n}' as feature, true as column_present, count_if({n} is not null and {n} <> '') as n_supplied, "
+            "count(*) as n from up") if n in _UPLOAD_COLS else
+           (f"select '{n}' as feature, false as column_present, 0 as n_supplied, count(*) as n from up")
+           for n in FEATURE_ORDER) + ")")
+def q_input_completeness(spark, sf):
+    """Per feature of the catalog, supplied vs defaulted rows of the upload."""
+    return J.input_completeness(_upload(spark, sf), FEATURE_ORDER)
