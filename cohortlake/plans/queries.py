@@ -927,3 +927,145 @@ def q_active_features(spark, sf):
 def q_input_completeness(spark, sf):
     """Per feature of the catalog, supplied vs defaulted rows of the upload."""
     return J.input_completeness(_upload(spark, sf), FEATURE_ORDER)
+
+
+# ---------------------------------------------------------------- sources and sinks (A1-A11, A13): write, then scan back
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import readers as RD  # noqa: E402
+from ..sources import writers as WR  # noqa: E402
+from pyspark.sql import types as TT  # noqa: E402
+
+
+_NA_TOKENS_SQL = ", ".join("'" + t + "'" for t in T.READER_NA_TOKENS)
+_REG_NA = ("with r0 as (" + X.duck("registry_raw") + "), r as (select row_id, "
+           + ", ".join(f"case when {c} in ({_NA_TOKENS_SQL}) then null else {c} end as {c}" for c in X.REGISTRY_SHORT)
+           + " from r0) ")
+
+
+@query("registry_csv_scan", _REG_NA + "select concat('SEER:', cast(row_id as varchar)) as row_id, 'SEER' as source, "
+       "'SEER_LUNG_EXPORTNEW' as source_study, cast(null as varchar) as case_id, cast(null as varchar) as sample_id, "
+       + O.registry_row() + " from r")
+def q_registry_csv_scan(spark, sf):
+    """A1: the export written as CSV (real headers), found among candidate paths, scanned as text, harmonized."""
+    base = scratch_path(spark, "registry")
+    X.registry_export(spark, sf).write.option("header", "true").option("escape", '"').csv(f"{base}/exportnew.csv")
+    raw = RD.first_existing_csv(spark, [f"{base}/missing/exportnew.csv", f"{base}/exportnew.csv"])
+    return H.registry_cohort(raw)
+
+
+@query("case_csv_scan", ORACLE["case_canonical"])
+def q_case_csv_scan(spark, sf):
+    """A2 + A3: case table as CSV and case documents as JSON, scanned back and harmonized."""
+    base = scratch_path(spark, "cases")
+    X.case_raw(spark, sf).write.option("header", "true").csv(f"{base}/cases_luad_lusc.csv")
+    X.nested_cases(spark, sf).write.json(f"{base}/cases_luad_lusc.json")
+    cases = RD.first_existing_csv(spark, [f"{base}/cases_luad_lusc.csv"])
+    docs = RD.read_case_documents(spark, f"{base}/cases_luad_lusc.json", multi_line=False)
+    return H.case_cohort(cases, docs, _patient_flags(spark, sf), ecog_col="ecog_all_null")
+
+
+@query("study_files_scan", _cte(e="eav_raw") + "select cast(seq as varchar) as seq, sample_id, patient_id, study_id, "
+       "attr, value, study_id as study_dir from e")
+def q_study_files_scan(spark, sf):
+    """A4: per-study EAV files in study folders; a file without the required columns is skipped."""
+    base = scratch_path(spark, "studies")
+    e = X.eav_raw(spark, sf)
+    (e.select(F.col("seq").cast("string").alias("seq"), F.col("sample_id").alias("sampleId"),
+              F.col("patient_id").alias("patientId"), F.col("study_id").alias("studyId"),
+              F.col("attr").alias("clinicalAttributeId"), "value", F.col("study_id").alias("dir"))
+     .write.partitionBy("dir").option("header", "true").csv(f"{base}/ok"))
+    e.select("seq", "sample_id").write.option("header", "true").csv(f"{base}/ok/dir=broken")
+    got = RD.read_study_tables(spark, f"{base}/ok", pattern="dir=*/*.csv")
+    return got.select("seq", F.col("sampleId").alias("sample_id"), F.col("patientId").alias("patient_id"),
+                      F.col("studyId").alias("study_id"), F.col("clinicalAttributeId").alias("attr"), "value",
+                      F.regexp_replace("study_dir", "^dir=", "").alias("study_dir"))
+
+
+@query("mutation_files_scan", _cte(m="mutation_raw") + "select sid as sample_id, egfr_mutation from ("
+       + O.sample_flags_cte("m") + ")")
+def q_mutation_files_scan(spark, sf):
+    """A5 + E2: panels found by a recursive, name-filtered listing (decoy files ignored), flagged per sample."""
+    base = scratch_path(spark, "panels")
+    m = X.mutation_raw(spark, sf).select(F.col("sample_key").cast("string").alias("sampleId"),
+                                         F.col("patient_id").alias("patientId"), "gene")
+    half = F.col("sampleId").cast("long") % 2 == 0
+    m.filter(half).write.option("header", "true").csv(f"{base}/studyA/mutations_panel_impact_mutations.csv")
+    m.filter(~half).write.option("header", "true").csv(f"{base}/nested/studyB/mutations_panel_msk_mutations.csv")
+    m.write.option("header", "true").csv(f"{base}/studyA/other_mutations.csv")  # decoy: wrong name
+    panels = RD.read_mutation_panels(spark, base)
+    return E.sample_mutation_flags(panels.withColumnRenamed("sampleId", "sample_id"))
+
+
+@query("cohort_parquet_roundtrip", _ALL + "select * from h")
+def q_cohort_roundtrip(spark, sf):
+    """The harmonized cohort written partitioned by source, read back."""
+    path = WR.write_cohort(harmonized(spark, sf), scratch_path(spark, "cohort"))
+    back = spark.read.parquet(path)
+    return back.select(*harmonized(spark, sf).columns)
+
+
+@query("training_table_scan", _ALL + "select row_id, " + ", ".join(FEATURE_ORDER) + ", mortality_1yr from h "
+       "where mortality_1yr is not null")
+def q_training_table_scan(spark, sf):
+    """A10 + A6: per-task label-ready tables written, the mortality one scanned with the required-column check."""
+    paths = WR.write_task_tables(harmonized(spark, sf), scratch_path(spark, "tasks"))
+    return RD.read_training_table(spark, paths["mortality"], "mortality")
+
+
+@query("report_files", _ALL + _coverage_sql("h"))
+def q_report_files(spark, sf):
+    """Coverage CSV and readiness JSON written; the coverage file scanned back with its schema."""
+    h = harmonized(spark, sf)
+    out = WR.write_reports(E.coverage(h), E.readiness_report(h), scratch_path(spark, "reports"))
+    schema = "column string, non_null bigint, coverage_pct double"
+    return spark.read.schema(schema).option("header", "true").csv(out["feature_coverage"])
+
+
+_RUN_REPORT_SCHEMA = TT.StructType([
+    TT.StructField("task", TT.StringType()), TT.StructField("algorithm", TT.StringType()),
+    TT.StructField("auc", TT.DoubleType()), TT.StructField("brier", TT.DoubleType()),
+    TT.StructField("threshold", TT.DoubleType()), TT.StructField("notes", TT.ArrayType(TT.StringType())),
+    TT.StructField("status", TT.StringType())])
+
+
+@query("run_report_scan", _FOLDS_SQL + "select task, algorithm, round(auc, 9) as auc, round(brier, 9) as brier, "
+       "threshold, status from runs")
+def q_run_report_scan(spark, sf):
+    """A13 + A7: run rows appended as JSON, one corrupt report beside them, scanned permissively."""
+    path = scratch_path(spark, "runs")
+    runs = _runs(spark, sf)
+    WR.append_run_reports(runs.select(*[f.name for f in _RUN_REPORT_SCHEMA.fields]), path)
+    # an unreadable report (truncated document) next to the good ones
+    runs.limit(1).select(F.lit('{"task": "mortality", "algorithm": ').alias("value")).write.mode("append").text(path)
+    got = RD.read_reports(spark, path, _RUN_REPORT_SCHEMA, multi_line=False)
+    return got.select("task", "algorithm", _r("auc"), _r("brier"), "threshold", "status")
+
+
+_UPLOAD_SCHEMA = TT.StructType([TT.StructField("row_id", TT.StringType()), TT.StructField("age", TT.DoubleType()),
+                                TT.StructField("sex", TT.StringType()), TT.StructField("tumor_size_mm", TT.DoubleType())])
+
+
+@query("upload_scan", _REG_CANON + ", u as (select row_id, cast(split_part(row_id, ':', 2) as bigint) as rid, age, sex, "
+       "tumor_size_mm from c) select row_id, case when rid % 17 = 0 or rid % 13 = 0 then true else false end "
+       "as corrupt, case when rid % 17 = 0 or rid % 13 = 0 then null else age end as age, "
+       "case when rid % 17 = 0 or rid % 13 = 0 then null else sex end as sex, "
+       "case when rid % 17 = 0 or rid % 13 = 0 then null else tumor_size_mm end as tumor_size_mm from u")
+def q_upload_scan(spark, sf):
+    """An uploaded CSV with over-long rows and unparsable numbers; bad rows are flagged, not fatal."""
+    path = scratch_path(spark, "upload")
+    c = H.registry_cohort(X.registry_export(spark, sf))
+    rid = F.substring_index("row_id", ":", -1).cast("long")
+    line = (F.when(rid % 17 == 0, F.concat_ws(",", "row_id", F.lit("1"), F.lit("x"), F.lit("2"), F.lit("extra")))
+            .when(rid % 13 == 0, F.concat_ws(",", "row_id", F.lit("sixty"), F.coalesce("sex", F.lit("")),
+                                             F.coalesce(F.col("tumor_size_mm").cast("string"), F.lit(""))))
+            .otherwise(F.concat_ws(",", "row_id", F.coalesce(F.col("age").cast("string"), F.lit("")),
+                                   F.coalesce("sex", F.lit("")),
+                                   F.coalesce(F.col("tumor_size_mm").cast("string"), F.lit("")))))
+    header = c.limit(1).select(F.lit("row_id,age,sex,tumor_size_mm").alias("value"), F.lit(0).alias("o"))
+    body = c.select(line.alias("value"), F.lit(1).alias("o"))
+    header.unionByName(body).orderBy("o").select("value").coalesce(1).write.text(path)
+    got = RD.read_upload(spark, path, _UPLOAD_SCHEMA)
+    bad = F.col("_corrupt_record").isNotNull()
+    return got.select("row_id", bad.alias("corrupt"), F.when(~bad, F.col("age")).alias("age"),
+                      F.when(~bad, F.col("sex")).alias("sex"), F.when(~bad, F.col("tumor_size_mm")).alias("tumor_size_mm"))
