@@ -1069,3 +1069,52 @@ def q_upload_scan(spark, sf):
     bad = F.col("_corrupt_record").isNotNull()
     return got.select("row_id", bad.alias("corrupt"), F.when(~bad, F.col("age")).alias("age"),
                       F.when(~bad, F.col("sex")).alias("sex"), F.when(~bad, F.col("tumor_size_mm")).alias("tumor_size_mm"))
+
+
+# ---------------------------------------------------------------- feature preparation (G1-G3) on labeled documents
+
+from ..operators import prep as P  # noqa: E402
+
+_DOCS_NULLED = ("with d0 as (" + X.DOC_LABELS_SQL + "), d as (select doc_id, quality, toxic, "
+                "case when doc_id % 7 = 0 then null else n_chars end as n_chars, "
+                "case when doc_id % 5 = 0 then null when doc_id % 11 = 0 then concat(lang, '-', cast(doc_id as varchar)) "
+                "else lang end as lang, source from d0), "
+                "f as (select *, (row_number() over (partition by quality order by md5(concat('42:', "
+                "cast(doc_id as varchar))), doc_id) - 1) % 3 as fold from d), tr as (select * from f where fold <> 0) ")
+
+
+def _docs_with_folds(spark, sf):
+    d = X.doc_labels(spark, sf)
+    d = d.select("doc_id", "quality", "toxic", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("n_chars"))
+                 .alias("n_chars"),
+                 F.when(F.col("doc_id") % 5 == 0, None)
+                 .when(F.col("doc_id") % 11 == 0, F.concat("lang", F.lit("-"), F.col("doc_id").cast("string")))
+                 .otherwise(F.col("lang")).alias("lang"), "source")
+    f = S.stratified_folds(d, "quality", "doc_id")
+    return f, f.filter(F.col("fold") != 0)
+
+
+@query("median_imputation", _DOCS_NULLED + "select doc_id, fold, coalesce(cast(n_chars as double), "
+       "(select median(cast(n_chars as double)) from tr)) as n_chars from f")
+def q_median_imputation(spark, sf):
+    """G1: median fitted on the training folds only, applied to every row."""
+    f, tr = _docs_with_folds(spark, sf)
+    return P.median_impute(tr, f, ["n_chars"]).select("doc_id", "fold", "n_chars")
+
+
+@query("unknown_fill", _DOCS_NULLED + "select doc_id, coalesce(lang, 'Unknown') as lang from f")
+def q_unknown_fill(spark, sf):
+    """G2."""
+    f, _ = _docs_with_folds(spark, sf)
+    return P.fill_unknown(f, ["lang"]).select("doc_id", "lang")
+
+
+@query("one_hot_slots", _DOCS_NULLED + ", v as (select category, cast(dense_rank() over (order by category) - 1 as "
+       "integer) as slot from (select distinct coalesce(lang, 'Unknown') as category from tr)) "
+       "select f.doc_id, 'lang' as feature, coalesce(f.lang, 'Unknown') as category, cast(v.slot as double) as slot "
+       "from f left join v "
+       "on coalesce(f.lang, 'Unknown') = v.category")
+def q_one_hot_slots(spark, sf):
+    """G3 long form: training vocabulary in alphabetical order; unseen categories get no slot."""
+    f, tr = _docs_with_folds(spark, sf)
+    return P.one_hot_slots(tr, f, "lang", "doc_id")
