@@ -30,7 +30,8 @@ INDEPENDENT_MESSAGE = "Response and mortality are predicted independently to avo
 TOP_EXTRA_FEATURES = 5
 # --- end of fixed values --------------------------------------------------------
 
-_CATALOG = F.array(*[F.lit(n) for n in FEATURE_ORDER])
+def _catalog() -> Column:
+    return F.array(*[F.lit(n) for n in FEATURE_ORDER])
 
 
 def report_features(runs: DataFrame, notes: str = "notes") -> DataFrame:
@@ -41,7 +42,7 @@ def report_features(runs: DataFrame, notes: str = "notes") -> DataFrame:
         F.when(F.col("_note").isNull(), F.array().cast("array<string>")).otherwise(
             F.filter(F.split(F.regexp_replace(F.col("_note"), f"^{DROPPED_NOTE_PREFIX}", ""), ","),
                      lambda s: s != ""))).withColumn(
-        "used_features", F.filter(_CATALOG, lambda f: ~F.array_contains(F.col("dropped_features"), f))).drop("_note")
+        "used_features", F.filter(_catalog(), lambda f: ~F.array_contains(F.col("dropped_features"), f))).drop("_note")
 
 
 def rank_runs(runs: DataFrame) -> DataFrame:
@@ -76,9 +77,9 @@ def decision_threshold(threshold: Column, default: float = DEFAULT_THRESHOLD) ->
 
 def shared_features(response_used: Column, mortality_used: Column) -> Column:
     """Features used by both tasks in catalog order; all features if that is empty or unknown."""
-    both = F.filter(_CATALOG, lambda f: F.array_contains(response_used, f) & F.array_contains(mortality_used, f))
+    both = F.filter(_catalog(), lambda f: F.array_contains(response_used, f) & F.array_contains(mortality_used, f))
     usable = response_used.isNotNull() & mortality_used.isNotNull() & (F.size(both) > 0)
-    return F.when(usable, both).otherwise(_CATALOG)
+    return F.when(usable, both).otherwise(_catalog())
 
 
 def top_extra_features(attribution: DataFrame, shared: Column, k: int = TOP_EXTRA_FEATURES) -> Column:
@@ -95,7 +96,7 @@ def top_extra_features(attribution: DataFrame, shared: Column, k: int = TOP_EXTR
 def active_features(shared: Column, extras: Column, k: int = TOP_EXTRA_FEATURES) -> Column:
     """Catalog order of shared plus the first k extras not already shared."""
     new = F.slice(F.filter(extras, lambda f: ~F.array_contains(shared, f)), 1, k)
-    return F.filter(_CATALOG, lambda f: F.array_contains(shared, f) | F.array_contains(new, f))
+    return F.filter(_catalog(), lambda f: F.array_contains(shared, f) | F.array_contains(new, f))
 
 
 def input_completeness(batch: DataFrame, active: Sequence[str]) -> DataFrame:

@@ -1118,3 +1118,78 @@ def q_one_hot_slots(spark, sf):
     """G3 long form: training vocabulary in alphabetical order; unseen categories get no slot."""
     f, tr = _docs_with_folds(spark, sf)
     return P.one_hot_slots(tr, f, "lang", "doc_id")
+
+
+# ---------------------------------------------------------------- model fitting (H1-H7, A12, I10 estimate, J8 with fitted models): rows-only
+
+from ..operators import models as MD  # noqa: E402
+from . import training as TR  # noqa: E402
+
+
+def _mortality_training(spark, sf):
+    return L.labeled(harmonized(spark, sf), "mortality_1yr")
+
+
+def _response_training(spark, sf):
+    return L.labeled(harmonized(spark, sf), "response")
+
+
+@query("nested_cv_lightgbm")
+def q_nested_cv_lightgbm(spark, sf):
+    """H1 + H5 + F7: out-of-fold predictions of the boosted family A (balanced weights), 3 outer folds."""
+    r = MD.nested_cv(_mortality_training(spark, sf), TR.config("mortality", "lightgbm", use_grid=False))
+    return r["oof"].select("row_id", "fold", "y", _r("p"))
+
+
+@query("final_fit_xgboost")
+def q_final_fit_xgboost(spark, sf):
+    """H2 + H7 + F4: family B fitted on 80 %, holdout predictions."""
+    ff = MD.final_fit(_mortality_training(spark, sf), TR.config("mortality", "xgboost"))
+    return ff["holdout"].select("row_id", "y", _r("p"))
+
+
+@query("nested_cv_tabnet")
+def q_nested_cv_tabnet(spark, sf):
+    """H3 + H5: neural family fold metrics on the response task (GDC cases)."""
+    r = MD.nested_cv(_response_training(spark, sf), TR.config("response", "tabnet"))
+    return r["fold_metrics"].select("fold", *[_r(m) for m in V.METRIC_NAMES + ["auc", "brier"]])
+
+
+@query("model_sweep")
+def q_model_sweep(spark, sf):
+    """H6: sweep tasks x algorithms; an unknown family is captured as a failed row, the rest still run."""
+    return TR.sweep({"response": _response_training(spark, sf)}, ["tabnet", "catboost"])
+
+
+@query("fitted_model_scoring")
+def q_fitted_model_scoring(spark, sf):
+    """A12 + J8-J10 + I12: fitted pipelines saved, loaded back and used to score an upload."""
+    base = scratch_path(spark, "models")
+    fr = MD.final_fit(_response_training(spark, sf), TR.config("response", "tabnet"))
+    fm = MD.final_fit(_mortality_training(spark, sf), TR.config("mortality", "tabnet"))
+    rp = MD.save_model(fr["model"], f"{base}/response_tabnet_model")
+    mp = MD.save_model(fm["model"], f"{base}/mortality_tabnet_model")
+    rm, mm = MD.load_model(rp, strict=True), MD.load_model(mp, strict=True)
+    out = J.score_batch(_upload(spark, sf), MD.PipelineScorer(rm), MD.PipelineScorer(mm),
+                        response_threshold=fr["best_threshold"].select("threshold").first()[0],
+                        mortality_threshold=fm["best_threshold"].select("threshold").first()[0],
+                        response_algorithm="tabnet", mortality_algorithm="tabnet",
+                        response_q=fr["conformal"].select("q").scalar(), mortality_q=fm["conformal"].select("q").scalar())
+    return out.select("row_id", _r("probability"), "label", "confidence_level", _r("mortality_probability"),
+                      "mortality_label", "drug_name", "response_conformal.set_contains_1",
+                      F.col("mortality_conformal.set_contains_1").alias("mortality_set_contains_1"))
+
+
+@query("sampled_shapley_attribution")
+def q_sampled_shapley(spark, sf):
+    """I10 for a fitted model: permutation-sampled Shapley over the 256-row attribution sample."""
+    train = _mortality_training(spark, sf)
+    cfg = TR.config("mortality", "tabnet")
+    ff = MD.final_fit(train, cfg)
+    feats = list(cfg.numeric) + list(cfg.categorical)
+    sample = S.attribution_sample(ff["holdout"].select("row_id").join(train, "row_id"), "row_id")
+    med = train.select(*[F.percentile(F.col(c), F.lit(0.5)).alias(c) for c in cfg.numeric]).first().asDict()
+    modes = {c: "Unknown" for c in cfg.categorical}
+    scorer = MD.PipelineScorer(ff["model"])
+    res = A.sampled_shapley(sample, {**med, **modes}, feats, lambda d: scorer.transform(d, "_score"), n_perm=8)
+    return res.select("feature", _r("mean_abs"), "n_samples")
