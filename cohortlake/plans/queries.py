@@ -1193,3 +1193,22 @@ def q_sampled_shapley(spark, sf):
     scorer = MD.PipelineScorer(ff["model"])
     res = A.sampled_shapley(sample, {**med, **modes}, feats, lambda d: scorer.transform(d, "_score"), n_perm=8)
     return res.select("feature", _r("mean_abs"), "n_samples")
+
+
+# ---------------------------------------------------------------- streaming
+
+from ..streaming import scoring as ST  # noqa: E402
+
+
+@query("streaming_scoring", ORACLE["batch_scoring"])
+def q_streaming_scoring(spark, sf):
+    """The upload split into several CSV files, scored by an availableNow stream; equals batch scoring."""
+    base = scratch_path(spark, "stream")
+    up = _upload(spark, sf)
+    up.repartition(4, "row_id").write.option("header", "true").csv(f"{base}/in")
+    out = ST.score_files(spark, f"{base}/in", ST.upload_schema(up.columns), f"{base}/out", f"{base}/ckpt",
+                         RESPONSE_SCORER, MORTALITY_SCORER, max_files_per_trigger=2,
+                         response_algorithm="linear", mortality_algorithm="linear")
+    res = spark.read.parquet(out)
+    return res.select("row_id", _r("probability"), "label", "confidence", "confidence_level",
+                      _r("mortality_probability"), "mortality_label", "drug_name")
