@@ -1212,3 +1212,29 @@ def q_streaming_scoring(spark, sf):
     res = spark.read.parquet(out)
     return res.select("row_id", _r("probability"), "label", "confidence", "confidence_level",
                       _r("mortality_probability"), "mortality_label", "drug_name")
+
+
+# ---------------------------------------------------------------- oversampling
+
+from ..operators import oversample as OV  # noqa: E402
+
+
+@query("nearest_neighbours", "with e as (select vec_id, cast(embedding as double[]) as v from embeddings where label < 3), "
+       "p as (select a.vec_id, b.vec_id as nn_id, list_distance(a.v, b.v) as dist from e a, e b "
+       "where a.vec_id <> b.vec_id) select vec_id, nn_id, round(dist, 6) as dist, nn_rank from (select *, "
+       "row_number() over (partition by vec_id order by dist, nn_id) as nn_rank from p) where nn_rank <= 5")
+def q_nearest_neighbours(spark, sf):
+    """F6 neighbour step: exact 5 nearest minority neighbours (the oracle brute-forces all pairs)."""
+    e = X.table(spark, sf, "embeddings").filter(F.col("label") < 3)
+    nn = OV.knn_exact(e, "vec_id", "embedding", k=5)
+    return nn.select("vec_id", "nn_id", F.round("dist", 6).alias("dist"), "nn_rank")
+
+
+@query("smote_oversampling", "with e as (select label, count(*) as n from embeddings where label < 2 group by label) "
+       "select label, false as synthetic, n from e union all select label, true, (select max(n) from e) - n from e "
+       "where n < (select max(n) from e)")
+def q_smote(spark, sf):
+    """minority rows synthesized until the classes balance (counts per class and origin)."""
+    e = X.table(spark, sf, "embeddings").filter(F.col("label") < 2)
+    out = OV.smote(e, "vec_id", "embedding", "label")
+    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
