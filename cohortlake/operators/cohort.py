@@ -64,23 +64,58 @@ def patient_mutation_flags(mutations: DataFrame, patient: str = "patient_id", ge
             .select(patient, _flag(F.col("_any"), mutated_label).alias("egfr_mutation")))
 
 
-def follow_up_maxima(cases: DataFrame, case_id: str = "case_id", follow_ups: str = "follow_ups") -> DataFrame:
-    """Max ECOG and max Karnofsky over each case's follow-up array (no explode)."""
+def mutation_flags(mutations: DataFrame, sample: str = "sample_id", patient: str = "patient_id",
+                   gene: str = "gene", target: str = TARGET_GENE,
+                   mutated_label: str = MUTATED_LABEL) -> tuple[DataFrame, DataFrame]:
+    """E2 and E3 from ONE scan and ONE shuffle: a grouping-sets aggregate keyed by sample or by patient.
+
+    Sample flags see every row; patient flags only rows with a parsable gene
+    (a patient with none gets no flag).  Returns (sample_flags, patient_flags).
+    """
+    sym = gene_symbol(F.col(gene))
+    rows = mutations.select(F.col(sample).cast("string").alias("_s"), F.col(patient).cast("string").alias("_p"),
+                            sym.alias("_sym"))
+    hit = F.coalesce(F.col("_sym") == target, F.lit(False))
+    agg = (rows.groupingSets([["_s"], ["_p"]], "_s", "_p")
+           .agg(F.max(hit).alias("_any"), F.count("_sym").alias("_parsed"),
+                F.grouping_id().alias("_gid")))
+    samples = (agg.filter(F.col("_gid") == 1)  # grouped by sample (patient rolled up)
+               .select(F.col("_s").alias(sample), _flag(F.col("_any"), mutated_label).alias("egfr_mutation")))
+    patients = (agg.filter((F.col("_gid") == 2) & (F.col("_parsed") > 0))
+                .select(F.col("_p").alias(patient), _flag(F.col("_any"), mutated_label).alias("egfr_mutation")))
+    return samples, patients
+
+
+def case_document_values(cases: DataFrame, case_id: str = "case_id", follow_ups: str = "follow_ups",
+                         diagnoses: str = "diagnoses") -> DataFrame:
+    """E4 + E5 in one per-row projection of the case documents (no explode, no shuffle)."""
+    return cases.select(F.col(case_id).cast("string").alias(case_id), *_follow_up_max_cols(follow_ups),
+                        _prior_flag_col(diagnoses))
+
+
+def _follow_up_max_cols(follow_ups: str) -> list[Column]:
     def arr_max(field: str) -> Column:
         vals = F.transform(F.col(follow_ups), lambda fu: to_number(fu[field]))
         return F.array_max(F.filter(vals, lambda v: v.isNotNull()))
-    return cases.select(F.col(case_id).cast("string").alias(case_id),
-                        arr_max("ecog_performance_status").alias("ecog_max"),
-                        arr_max("karnofsky_performance_status").alias("karnofsky_max"))
+    return [arr_max("ecog_performance_status").alias("ecog_max"),
+            arr_max("karnofsky_performance_status").alias("karnofsky_max")]
 
 
-def prior_treatment_flag(cases: DataFrame, case_id: str = "case_id", diagnoses: str = "diagnoses") -> DataFrame:
-    """E5: any 'yes' -> 1, else any 'no' -> 0, else NULL."""
+def _prior_flag_col(diagnoses: str) -> Column:
     low = lambda d: F.lower(clean_text(d["prior_treatment"]))
     yes = F.exists(F.col(diagnoses), lambda d: F.coalesce(low(d) == "yes", F.lit(False)))
     no = F.exists(F.col(diagnoses), lambda d: F.coalesce(low(d) == "no", F.lit(False)))
-    return cases.select(F.col(case_id).cast("string").alias(case_id),
-                        F.when(yes, F.lit(1.0)).when(no, F.lit(0.0)).alias("prior_treatment"))
+    return F.when(yes, F.lit(1.0)).when(no, F.lit(0.0)).alias("prior_treatment")
+
+
+def follow_up_maxima(cases: DataFrame, case_id: str = "case_id", follow_ups: str = "follow_ups") -> DataFrame:
+    """Max ECOG and max Karnofsky over each case's follow-up array (no explode)."""
+    return cases.select(F.col(case_id).cast("string").alias(case_id), *_follow_up_max_cols(follow_ups))
+
+
+def prior_treatment_flag(cases: DataFrame, case_id: str = "case_id", diagnoses: str = "diagnoses") -> DataFrame:
+    """E5: any 'yes' -> 1, else any 'no' -> 0, else NULL."""
+    return cases.select(F.col(case_id).cast("string").alias(case_id), _prior_flag_col(diagnoses))
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, left_key: Column | str, right_key: str,

@@ -90,14 +90,30 @@ def roc_auc(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[str] = (
 
 
 def evaluate(df: DataFrame, y: str = "y", p: str = "p", threshold: float = INCUMBENT_THRESHOLD,
-             groups: Sequence[str] = ()) -> DataFrame:
-    """I1-I3 together: the metric struct of a run report."""
-    m = threshold_metrics(df, y, p, threshold, groups)
-    a = roc_auc(df, y, p, groups)
-    if groups:
-        return m.join(a, list(groups))
-    # both sides are one-row aggregates: attach the AUC as a scalar subquery
-    return m.select("*", a.select("auc").scalar().alias("auc"))
+             groups: Sequence[str] = (), probabilities: bool = True) -> DataFrame:
+    """I1-I3 together (the metric struct of a run report) from ONE distinct-score table.
+
+    Rows collapse to (groups, score) -> (pos, neg) once; confusion counts at
+    the threshold, the Brier sum (pos*(s-1)^2 + neg*s^2) and the AUC
+    numerator all aggregate that table, so the input is read and shuffled once.
+    """
+    groups = list(groups)
+    d = _score_counts(df, y, p, groups)
+    bucket = prob_bucket(F.col("_s")) if probabilities else signed_log_bucket(F.col("_s"))
+    c = cumulative_before(d, "_s", ["neg"], bucket, groups)
+    s, pos, neg = F.col("_s"), F.col("pos"), F.col("neg")
+    above = s >= threshold
+    agg = c.groupBy(*groups).agg(
+        F.sum(F.when(above, pos).otherwise(0)).alias("tp"), F.sum(F.when(above, neg).otherwise(0)).alias("fp"),
+        F.sum(F.when(~above, neg).otherwise(0)).alias("tn"), F.sum(F.when(~above, pos).otherwise(0)).alias("fn"),
+        F.sum(pos * F.pow(s - 1.0, 2) + neg * F.pow(s, 2)).alias("_sq"),
+        F.sum(pos.cast("double") * (2.0 * F.col("neg_before") + neg)).alias("_num"),
+        F.sum(pos).alias("_p"), F.sum(neg).alias("_n"))
+    m = metrics_from_counts(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))
+    auc = F.when((F.col("_p") > 0) & (F.col("_n") > 0),
+                 F.col("_num") / (2.0 * F.col("_p").cast("double") * F.col("_n")))
+    return agg.select(*groups, *[m[k].alias(k) for k in METRIC_NAMES],
+                      (F.col("_sq") / (F.col("_p") + F.col("_n"))).alias("brier"), auc.alias("auc"))
 
 
 def best_threshold(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[str] = (),

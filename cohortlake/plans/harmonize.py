@@ -75,13 +75,6 @@ def registry_cohort(df: DataFrame, mapping: Mapping[str, str] = REGISTRY_COLUMNS
     return conform(staged.withColumn("row_id", F.concat(F.lit("SEER:"), F.col("_rid"))), exprs, extra=["row_id"])
 
 
-def case_lookups(nested: DataFrame) -> DataFrame:
-    """E4 + E5 in one per-row projection of the case documents."""
-    m = E.follow_up_maxima(nested)
-    p = E.prior_treatment_flag(nested)
-    return m.join(p, "case_id")
-
-
 def case_cohort(cases: DataFrame, nested: DataFrame | None = None, patient_flags: DataFrame | None = None,
                 legacy: bool = False, ecog_col: str = "ecog_worst", karnofsky_col: str = "karnofsky_best") -> DataFrame:
     """A2/A3 output -> canonical rows."""
@@ -91,8 +84,7 @@ def case_cohort(cases: DataFrame, nested: DataFrame | None = None, patient_flags
     chemo = F.lit(None)
     egfr = F.lit(None)
     if nested is not None:
-        nested_vals = (E.follow_up_maxima(nested)
-                       .join(E.prior_treatment_flag(nested), "case_id"))
+        nested_vals = E.case_document_values(nested)
         df = E.lookup_join(df, nested_vals, "case_id", "case_id", ["ecog_max", "karnofsky_max", "prior_treatment"])
         ecog = E.column_fallback(cases, ecog, F.col("ecog_max"))
         karn = E.column_fallback(cases, karn, F.col("karnofsky_max"))

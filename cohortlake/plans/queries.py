@@ -183,16 +183,20 @@ CASES = _cte(c="case_raw")
 CASES_FULL = _cte(c="case_raw", f="follow_up_raw", m="mutation_raw")
 
 
+def _mutation_flags(spark, sf):
+    """E2 + E3 from one scan of the mutation recipe; ids re-keyed to the study samples and case submitters."""
+    m = X.mutation_raw(spark, sf).select(
+        F.concat(F.lit("S"), F.col("sample_key").cast("string")).alias("sample_id"),
+        F.concat(F.lit("SUB"), F.substring("patient_id", 2, 64)).alias("patient_id"), "gene")
+    return E.mutation_flags(m)
+
+
 def _patient_flags(spark, sf):
-    """E3 over the mutation recipe, patient ids re-keyed to the case submitter ids."""
-    m = X.mutation_raw(spark, sf).withColumn("patient_id", F.concat(F.lit("SUB"), F.substring("patient_id", 2, 64)))
-    return E.patient_mutation_flags(m)
+    return _mutation_flags(spark, sf)[1]
 
 
 def _sample_flags(spark, sf):
-    """E2 over the mutation recipe, sample ids re-keyed to the study sample ids."""
-    m = X.mutation_raw(spark, sf).withColumn("sample_id", F.concat(F.lit("S"), F.col("sample_key").cast("string")))
-    return E.sample_mutation_flags(m)
+    return _mutation_flags(spark, sf)[0]
 
 
 @query("label_case_mortality", CASES + f"select case_id, vital_status, "
@@ -314,9 +318,11 @@ _ALL = (REG + ", c as (" + X.duck("case_raw") + "), f as (" + X.duck("follow_up_
 
 
 def harmonized(spark, sf) -> DataFrame:
-    """E7 + D4 over the three canonical sources."""
-    return H.harmonize([H.registry_cohort(X.registry_export(spark, sf)), _case_canon_spark(spark, sf),
-                        _study_canon_spark(spark, sf)])
+    """E7 + D4 over the three canonical sources (mutation flags computed once for both lookups)."""
+    samples, patients = _mutation_flags(spark, sf)
+    cases = H.case_cohort(X.case_raw(spark, sf), X.nested_cases(spark, sf), patients, ecog_col="ecog_all_null")
+    studies = H.study_cohort(X.eav_raw(spark, sf), samples)
+    return H.harmonize([H.registry_cohort(X.registry_export(spark, sf)), cases, studies])
 
 
 @query("harmonized_union", _ALL + "select * from h")
