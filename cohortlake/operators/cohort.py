@@ -176,13 +176,21 @@ def coverage(df: DataFrame, columns: Sequence[str] = COVERAGE_COLUMNS) -> DataFr
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Counts per value including the NULL group, stacked as (column, value, n)."""
-    out = None
-    for c in columns:
-        part = (df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-                .select(F.lit(c).alias("column"), "value", "n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Counts per value including the NULL group, stacked as (column, value, n).
+
+    One grouping-sets aggregate: a single pass and shuffle for all columns.
+    """
+    cols = list(columns)
+    strs = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    agg = strs.groupingSets([[c] for c in cols], *cols).agg(F.count(F.lit(1)).alias("n"),
+                                                             F.grouping_id().alias("_gid"))
+    k = len(cols)
+    name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, c in enumerate(cols):
+        gid = (1 << k) - 1 - (1 << (k - 1 - i))  # every column rolled up except c
+        name = F.when(F.col("_gid") == gid, F.lit(c)).otherwise(name)
+        value = F.when(F.col("_gid") == gid, F.col(c)).otherwise(value)
+    return agg.select(name.alias("column"), value.alias("value"), "n")
 
 
 def readiness(df: DataFrame, sources: Sequence[str] = ("SEER", "GDC", "cBio")) -> DataFrame:
@@ -200,19 +208,22 @@ def readiness(df: DataFrame, sources: Sequence[str] = ("SEER", "GDC", "cBio")) -
 def readiness_report(df: DataFrame) -> DataFrame:
     """E10 in the nested JSON shape: totals plus count maps per source and label.
 
-    Each map is a scalar subquery over an aggregate with one row per
-    distinct value (a handful), so no join is needed.
+    One grouping-sets pass gives the counts per source and per label value
+    (a handful of rows); a final aggregate folds them into maps.
     """
-    def counts(col: str, filt: Column | None = None) -> Column:
-        src = df if filt is None else df.filter(filt)
-        return (src.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("null")).alias("k"))
-                .agg(F.count(F.lit(1)).alias("v"))
-                .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))))
-                .scalar())
-    return df.agg(F.count(F.lit(1)).alias("total_rows_harmonized"),
-                  F.count("mortality_1yr").alias("rows_mortality_ready"),
-                  F.count("response").alias("rows_response_ready")).select(
-        "*",
-        counts("source").alias("source_counts"),
-        counts("mortality_1yr", F.col("mortality_1yr").isNotNull()).alias("mortality_label_counts"),
-        counts("response", F.col("response").isNotNull()).alias("response_label_counts"))
+    m, r = F.col("mortality_1yr"), F.col("response")
+    base = df.select(F.col("source").cast("string").alias("s"), m.cast("string").alias("m"),
+                     r.cast("string").alias("r"))
+    g = base.groupingSets([["s"], ["m"], ["r"]], "s", "m", "r").agg(F.count(F.lit(1)).alias("v"),
+                                                                   F.grouping_id().alias("_gid"))
+
+    def as_map(gid: int, key: str, skip_null: bool) -> Column:
+        keep = (F.col("_gid") == gid) & (F.col(key).isNotNull() if skip_null else F.lit(True))
+        entries = F.collect_list(F.when(keep, F.struct(F.coalesce(F.col(key), F.lit("null")).alias("k"), "v")))
+        return F.map_from_entries(F.array_sort(entries))
+    return g.agg(F.sum(F.when(F.col("_gid") == 3, F.col("v"))).alias("total_rows_harmonized"),
+                 F.sum(F.when((F.col("_gid") == 5) & F.col("m").isNotNull(), F.col("v"))).alias("rows_mortality_ready"),
+                 F.sum(F.when((F.col("_gid") == 6) & F.col("r").isNotNull(), F.col("v"))).alias("rows_response_ready"),
+                 as_map(3, "s", False).alias("source_counts"),
+                 as_map(5, "m", True).alias("mortality_label_counts"),
+                 as_map(6, "r", True).alias("response_label_counts"))

@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import cumulative_before, prob_bucket, signed_log_bucket
+from .ordered import cumulative_before, exact_quantiles, prob_bucket, signed_log_bucket
 
 # --- fixed values -------------------------------------------------------------
 THRESHOLD_GRID = [float(x) for x in np.linspace(0.2, 0.8, 61)]  # sweep grid (numpy doubles)
@@ -170,14 +170,16 @@ def roc_curve(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[str] =
 def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", exact: bool = True) -> DataFrame:
     """I8: 10 quantile bins; bin = number of inner edges strictly below p; empty bins dropped.
 
-    Edges are exact linear-interpolation percentiles (``percentile``), or
-    ``approx_percentile`` with ``exact=False`` for very large inputs.
+    Edges are exact linear-interpolation percentiles from order statistics
+    (``ordered.exact_quantiles``), or ``approx_percentile`` with ``exact=False``.
     """
-    q = F.array(*[F.lit(v) for v in CALIBRATION_QUANTILES])
-    pct = F.percentile(F.col(p), q) if exact else F.percentile_approx(F.col(p), q, 100000)
-    edges = df.select(pct).scalar()
-    # bin = number of inner edges strictly below p (no higher-order function over a subquery)
-    b = sum(F.when(F.element_at(edges, i + 1) < F.col(p), 1).otherwise(0) for i in range(len(CALIBRATION_QUANTILES)))
+    if exact:
+        edges = exact_quantiles(df, p, CALIBRATION_QUANTILES)
+    else:
+        q = F.array(*[F.lit(v) for v in CALIBRATION_QUANTILES])
+        edges = list(df.select(F.percentile_approx(F.col(p), q, 100000)).first()[0])
+    # nine fitted edges (bounded metadata); bin = number of edges strictly below p
+    b = sum(F.when(F.lit(e) < F.col(p), 1).otherwise(0) for e in edges if e is not None)
     return (df.groupBy(b.alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(p)).alias("mean_predicted"),
                  F.avg(F.col(y).cast("double")).alias("fraction_positive")))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 PROB_BUCKETS = 1 << 16      # buckets for keys in [0, 1]
 DURATION_BUCKETS = 4096     # log-scale buckets for non-negative durations
-HASH_BUCKET_HEX = 3         # 16**3 = 4096 hash-prefix buckets for stratified ranks
+HASH_BUCKET_HEX = 4         # 16**4 = 65,536 hash-prefix buckets for stratified ranks
 
 
 def prob_bucket(key: Column, n: int = PROB_BUCKETS) -> Column:
@@ -93,3 +93,38 @@ def stratified_rank(df: DataFrame, strata: Sequence[str], id_col: str, seed: str
     return (t.join(F.broadcast(offsets), [*strata, "_hb"])
             .withColumn("_rank", F.col("_off") + F.row_number().over(wr))
             .drop("_h", "_hb", "_off"))
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], bucket_fn=prob_bucket) -> list[float | None]:
+    """Exact linear-interpolation quantiles (numpy's default) of ``col``, returned to the driver.
+
+    numpy takes position h = (n - 1) * q and interpolates between the order
+    statistics at ranks floor(h) + 1 and floor(h) + 2.  Those ranks are found
+    on the distinct-value table with the two-level running count, so no task
+    holds all values (``percentile`` buffers every distinct value in one
+    final task).  The result is bounded metadata (one number per quantile),
+    used like fitted split points.  NULL/NaN values are ignored.
+    """
+    import math
+    vals = df.select(F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    d = vals.groupBy("_x").agg(F.count(F.lit(1)).alias("c")).persist()
+    try:
+        n = d.agg(F.sum("c")).first()[0] or 0
+        if n == 0:
+            return [None for _ in qs]
+        pos = [(n - 1) * float(q) for q in qs]
+        ranks = sorted({r for h in pos for r in (math.floor(h) + 1, min(math.floor(h) + 2, n))})
+        c = cumulative_before(d, "_x", ["c"], bucket_fn(F.col("_x")))
+        hit = F.exists(F.array(*[F.lit(r) for r in ranks]),
+                       lambda r: (F.col("c_before") < r) & (r <= F.col("c_before") + F.col("c")))
+        rows = c.filter(hit).select("_x", "c_before", "c").collect()  # <= 2 rows per quantile
+    finally:
+        d.unpersist()
+
+    def at(r: int) -> float:
+        return next(x for x, before, cnt in rows if before < r <= before + cnt)
+    out = []
+    for h in pos:
+        lo, hi = at(math.floor(h) + 1), at(min(math.floor(h) + 2, n))
+        out.append(lo + (h - math.floor(h)) * (hi - lo))
+    return out
