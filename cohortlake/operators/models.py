@@ -104,6 +104,7 @@ def fit_pipeline(train: DataFrame, cfg: RunConfig, grid: bool, inner_fold: str |
         maps = param_grid(cfg.algorithm, clf)
     if maps:
         cv = CrossValidator(estimator=Pipeline(stages=prep + [clf]), estimatorParamMaps=maps, foldCol=inner_fold,
+                            numFolds=S.INNER_FOLDS,
                             evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC",
                                                                     numBins=0),
                             seed=cfg.seed, parallelism=2)
