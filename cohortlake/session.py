@@ -54,14 +54,20 @@ def apply_cluster_conf(spark: SparkSession) -> None:
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; set a private one only when unset."""
-    d = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: only the SQL conf is visible
+        sc = None
+    d = sc.getCheckpointDir() if sc is not None else None
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="cohortlake-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    if sc is not None:
+        sc.setCheckpointDir(d)
+        return sc.getCheckpointDir() or d
+    return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
