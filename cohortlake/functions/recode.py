@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text
+from .text import clean_text, strip_text
 
 
 @dataclass(frozen=True)
@@ -168,7 +168,7 @@ def stage_recode(c: Column, legacy: bool = False, cleaned: bool = False) -> Colu
         s = F.replace(F.replace(t, F.lit("stage"), F.lit("")), F.lit("Stage"), F.lit(""))
     else:
         s = F.regexp_replace(t, "(?i)stage", "")
-    s = F.replace(F.regexp_replace(s, r"^\s+|\s+$", ""), F.lit(" "), F.lit(""))
+    s = F.replace(strip_text(s), F.lit(" "), F.lit(""))
     return F.when(s != "", s)
 
 

@@ -34,9 +34,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The whitespace class of a regex ``\s``: space, tab, newline, carriage return, vertical tab, form feed.
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def strip_text(c: Column | str) -> Column:
-    """Strip leading/trailing whitespace of any kind (``trim`` removes spaces only)."""
-    return F.regexp_replace(_col(c).cast("string"), _EDGE_SPACE, "")
+    """Strip leading/trailing whitespace of any kind (plain ``trim`` removes spaces only).
+
+    A character-set trim, not a regex: the same result as removing leading/trailing regex whitespace.
+    """
+    return F.trim(_col(c).cast("string"), F.lit(WHITESPACE))
 
 
 def clean_text(c: Column | str) -> Column:
