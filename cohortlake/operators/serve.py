@@ -229,3 +229,11 @@ def deployment_status(selected: DataFrame) -> DataFrame:
                       decision_threshold(F.col("_mt")).alias("mortality_threshold"),
                       "response_algorithm", "mortality_algorithm",
                       F.when(ready_r & ready_m, F.lit(READY_MODE)).otherwise(F.lit(UNAVAILABLE_MODE)).alias("mode"))
+
+
+def score_payload(spark, payload: Mapping[str, object], response_model, mortality_model, **kw) -> DataFrame:
+    """One form payload scored like a batch of one row (missing fields take defaults, text as typed)."""
+    names = [n for n in FEATURE_ORDER if n in payload] + (["drug_name"] if "drug_name" in payload else [])
+    row = [None if payload[n] is None else str(payload[n]) for n in names]
+    df = spark.createDataFrame([row], ", ".join(f"`{n}` string" for n in names) or "dummy string")
+    return score_batch(df, response_model, mortality_model, keep=(), **kw)

@@ -137,3 +137,51 @@ def study_cohort(eav: DataFrame, sample_flags: DataFrame | None = None, legacy:
 def harmonize(frames: list[DataFrame]) -> DataFrame:
     """E7 + D4: union of the canonical sources, rows with no useful feature dropped."""
     return L.keep_useful_rows(E.union_sources(frames))
+
+
+def run_harmonization(spark, *, registry_paths, case_table: str | None, case_documents: str | None,
+                      study_base: str | None, panel_base: str | None, out_dir: str,
+                      study_pattern: str = "*/clinical_data.csv", legacy: bool = False,
+                      documents_multi_line: bool = True) -> dict:
+    """End-to-end harmonization: scan the three sources, build the cohort, write it and its reports.
+
+    Steps: mutation panels -> sample/patient flags (one aggregate); registry
+    export; case table + case documents; study EAV files; union + useful-row
+    filter; write the cohort (partitioned by source), the per-task
+    label-ready tables and the coverage / readiness reports, each derived
+    from the written cohort.  Returns the output paths and the readback.
+    """
+    from ..sources import readers as RD
+    from ..sources import writers as WR
+    from ..functions.catalog import CANONICAL_COLUMNS
+
+    frames = []
+    samples = patients = None
+    if panel_base:
+        panels = RD.read_mutation_panels(spark, panel_base)
+        samples, patients = E.mutation_flags(panels.select(F.col("sampleId").alias("sample_id"),
+                                                           F.col("patientId").alias("patient_id"), "gene"))
+    reg = RD.first_existing_csv(spark, registry_paths)
+    if reg is not None:
+        frames.append(registry_cohort(reg, legacy=legacy, id_col=None if "row_id" not in reg.columns else "row_id"))
+    if case_table:
+        cases = RD.first_existing_csv(spark, [case_table])
+        if cases is not None:
+            docs = RD.read_case_documents(spark, case_documents, documents_multi_line) if case_documents else None
+            frames.append(case_cohort(cases, docs, patients, legacy=legacy))
+    if study_base:
+        eav = RD.read_study_tables(spark, study_base, study_pattern)
+        eav = eav.select(F.col("sampleId").alias("sample_id"), F.col("patientId").alias("patient_id"),
+                         F.col("studyId").alias("study_id"), F.col("clinicalAttributeId").alias("attr"), "value",
+                         F.col("seq").cast("long").alias("seq") if "seq" in eav.columns
+                         else F.monotonically_increasing_id().alias("seq"))
+        frames.append(study_cohort(eav, samples, legacy=legacy))
+    if not frames:
+        from ..functions.catalog import empty_cohort
+        frames = [empty_cohort(spark).withColumn("row_id", F.lit(None).cast("string"))]
+    cohort = harmonize(frames)
+    path = WR.write_cohort(cohort, f"{out_dir.rstrip('/')}/harmonized")
+    written = spark.read.parquet(path).select("row_id", *CANONICAL_COLUMNS)
+    tasks = WR.write_task_tables(written, out_dir)
+    reports = WR.write_reports(E.coverage(written), E.readiness_report(written), f"{out_dir.rstrip('/')}/reports")
+    return {"harmonized": path, "tasks": tasks, "reports": reports, "cohort": written}

@@ -307,6 +307,17 @@ def q_study_canonical(spark, sf):
 
 # ---------------------------------------------------------------- union and reports
 
+def _all_sql(reg_cte: str) -> str:
+    return (reg_cte + ", c as (" + X.duck("case_raw") + "), f as (" + X.duck("follow_up_raw") + "), m as ("
+            + X.duck("mutation_raw") + "), e as (" + X.duck("eav_raw") + "), n as (" + O.nested_lookup_cte("f")
+            + "), pf as (" + O.patient_flags_cte("m", "concat('SUB', substr(patient_id, 2))") + "), p as ("
+            + O.eav_pivot_cte("e") + "), sfl as (" + O.sample_flags_cte("m", "concat('S', cast(sample_key as varchar))")
+            + "), h0 as (select concat('SEER:', cast(row_id as varchar)) as row_id, 'SEER' as source, "
+            "'SEER_LUNG_EXPORTNEW' as source_study, cast(null as varchar) as case_id, cast(null as varchar) as sample_id, "
+            + O.registry_row() + " from r union all " + O.case_canonical() + " union all " + O.study_canonical()
+            + "), h as (select * from h0 where " + _USEFUL_OR + ") ")
+
+
 _ALL = (REG + ", c as (" + X.duck("case_raw") + "), f as (" + X.duck("follow_up_raw") + "), m as ("
         + X.duck("mutation_raw") + "), e as (" + X.duck("eav_raw") + "), n as (" + O.nested_lookup_cte("f")
         + "), pf as (" + O.patient_flags_cte("m", "concat('SUB', substr(patient_id, 2))") + "), p as ("
@@ -1244,3 +1255,30 @@ def q_smote(spark, sf):
     e = X.table(spark, sf, "embeddings").filter(F.col("label") < 2)
     out = OV.smote(e, "vec_id", "embedding", "label")
     return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+
+@query("harmonization_run", _all_sql(_REG_NA) + _coverage_sql("h"))
+def q_harmonization_run(spark, sf):
+    """End to end: all source shapes written as files, harmonized, written, reported; coverage read back."""
+    base = scratch_path(spark, "harmonization")
+    X.registry_export(spark, sf).write.option("header", "true").csv(f"{base}/in/seer/exportnew.csv")
+    X.case_raw(spark, sf).withColumnRenamed("ecog_all_null", "ecog_worst") \
+        .write.option("header", "true").csv(f"{base}/in/gdc/cases.csv")
+    X.nested_cases(spark, sf).write.json(f"{base}/in/gdc/cases.json")
+    m = X.mutation_raw(spark, sf).select(F.concat(F.lit("S"), F.col("sample_key").cast("string")).alias("sampleId"),
+                                         F.concat(F.lit("SUB"), F.substring("patient_id", 2, 64)).alias("patientId"),
+                                         "gene")
+    m.write.option("header", "true").csv(f"{base}/in/cbio/panelA/mutations_panel_impact_mutations.csv")
+    e = X.eav_raw(spark, sf)
+    (e.select(F.col("seq").cast("string").alias("seq"), F.col("sample_id").alias("sampleId"),
+              F.col("patient_id").alias("patientId"), F.col("study_id").alias("studyId"),
+              F.col("attr").alias("clinicalAttributeId"), "value", F.col("study_id").alias("dir"))
+     .write.partitionBy("dir").option("header", "true").csv(f"{base}/in/cbio/studies"))
+    out = H.run_harmonization(
+        spark, registry_paths=[f"{base}/in/missing.csv", f"{base}/in/seer/exportnew.csv"],
+        case_table=f"{base}/in/gdc/cases.csv", case_documents=f"{base}/in/gdc/cases.json",
+        study_base=f"{base}/in/cbio/studies", study_pattern="dir=*/*.csv", panel_base=f"{base}/in/cbio",
+        out_dir=f"{base}/out", documents_multi_line=False)
+    schema = "column string, non_null bigint, coverage_pct double"
+    return spark.read.schema(schema).option("header", "true").csv(out["reports"]["feature_coverage"])

@@ -37,3 +37,12 @@ def test_constraints(spark):
     df = spark.createDataFrame([(95.0, "T2A", 3.0), (50.0, "T9", 0.0)], "age double, t_stage string, mets_lung_dx double")
     v = [sorted(r[0]) for r in df.select(T.constraint_violations(FEATURES, present=df.columns)).collect()]
     assert v == [["age:range", "mets_lung_dx:choice"], ["t_stage:choice"]]
+
+
+def test_score_payload_single_row(spark):
+    from cohortlake.operators import serve as J
+    from cohortlake.plans.queries import MORTALITY_SCORER, RESPONSE_SCORER
+    r = J.score_payload(spark, {"age": "70", "cancer_stage": "IV", "drug_name": " "}, RESPONSE_SCORER,
+                        MORTALITY_SCORER).collect()[0]
+    assert r.drug_name == "Cisplatin" and 0 < r.probability < 1 and r.label.endswith("response expected")
+    assert r.mortality_label in ("Higher mortality risk", "Lower mortality risk")
