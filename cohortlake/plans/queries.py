@@ -434,7 +434,7 @@ def q_brier(spark, sf):
     return V.brier(X.scored(spark, sf)).select(_r("brier"))
 
 
-_GRID_SQL = "[" + ", ".join(repr(t) for t in V.THRESHOLD_GRID) + "]"
+_GRID_SQL = "cast([" + ", ".join(repr(t) for t in V.THRESHOLD_GRID) + "] as double[])"
 
 
 @query("best_threshold", SC + ", g as (select unnest(range(61)) as i), t as (select i, " + _GRID_SQL
@@ -474,7 +474,7 @@ def q_calibration_curve(spark, sf):
     return c.select(F.col("bin").cast("bigint").alias("bin"), "n", _r("mean_predicted"), _r("fraction_positive"))
 
 
-_EDGES_SQL = "[" + ", ".join(repr(v) for v in V.HISTOGRAM_EDGES) + "]"
+_EDGES_SQL = "cast([" + ", ".join(repr(v) for v in V.HISTOGRAM_EDGES) + "] as double[])"
 
 
 @query("probability_histogram", SC + ", b as (select y, case when p = 1.0 then 19 else "
@@ -490,7 +490,7 @@ def q_probability_histogram(spark, sf):
 @query("conformal_quantile", SC + ", sc as (select 1.0 - case when y = 1 then p else 1.0 - p end as score from s), "
        "k as (select count(*) as n, cast(least(count(*), greatest(1, ceil((count(*) + 1) * 0.9))) as bigint) as k "
        "from sc), o as (select score, row_number() over (order by score) as rn from sc) "
-       "select k.n, k.k, 0.1 as alpha, round(o.score, 9) as q from o, k where o.rn = k.k")
+       "select k.n, k.k, 0.1::double as alpha, round(o.score, 9) as q from o, k where o.rn = k.k")
 def q_conformal_quantile(spark, sf):
     """I11."""
     c = U.conformal_quantile(X.scored(spark, sf))
@@ -500,9 +500,9 @@ def q_conformal_quantile(spark, sf):
 @query("prediction_sets", SC + ", sc as (select 1.0 - case when y = 1 then p else 1.0 - p end as score from s), "
        "k as (select cast(least(count(*), greatest(1, ceil((count(*) + 1) * 0.9))) as bigint) as k from sc), "
        "q as (select score as q from (select score, row_number() over (order by score) as rn from sc), k "
-       "where rn = k.k) select row_id, case when p > 0.5 then 1.0 else 0.0 end as prediction, "
-       "case when 1.0 - p >= 1.0 - q.q then 1.0 else 0.0 end as set_contains_0, "
-       "case when p >= 1.0 - q.q then 1.0 else 0.0 end as set_contains_1 from s, q")
+       "where rn = k.k) select row_id, case when p > 0.5 then 1.0 else 0.0 end::double as prediction, "
+       "case when 1.0 - p >= 1.0 - q.q then 1.0 else 0.0 end::double as set_contains_0, "
+       "case when p >= 1.0 - q.q then 1.0 else 0.0 end::double as set_contains_1 from s, q")
 def q_prediction_sets(spark, sf):
     """I12 with the I11 quantile of the same table."""
     s = X.scored(spark, sf)
@@ -653,7 +653,7 @@ _FOLDS_SQL = (
     + " end as notes from sm join bt on sm.task = bt.task and sm.algorithm = bt.algorithm) ")
 
 
-@query("fold_metrics", _FOLDS_SQL + "select task, algorithm, fold, "
+@query("fold_metrics", _FOLDS_SQL + "select task, algorithm, cast(fold as integer) as fold, "
        + ", ".join(_rs(m) for m in _METRIC_COLS) + " from fm")
 def q_fold_metrics(spark, sf):
     """Outer-fold evaluation of every run at once (the evaluation half of H5)."""
@@ -1111,7 +1111,7 @@ def _docs_with_folds(spark, sf):
     return f, f.filter(F.col("fold") != 0)
 
 
-@query("median_imputation", _DOCS_NULLED + "select doc_id, fold, coalesce(cast(n_chars as double), "
+@query("median_imputation", _DOCS_NULLED + "select doc_id, cast(fold as integer) as fold, coalesce(cast(n_chars as double), "
        "(select median(cast(n_chars as double)) from tr)) as n_chars from f")
 def q_median_imputation(spark, sf):
     """G1: median fitted on the training folds only, applied to every row."""
@@ -1238,7 +1238,8 @@ from ..operators import oversample as OV  # noqa: E402
 
 @query("nearest_neighbours", "with e as (select vec_id, cast(embedding as double[]) as v from embeddings where label < 3), "
        "p as (select a.vec_id, b.vec_id as nn_id, list_distance(a.v, b.v) as dist from e a, e b "
-       "where a.vec_id <> b.vec_id) select vec_id, nn_id, round(dist, 6) as dist, nn_rank from (select *, "
+       "where a.vec_id <> b.vec_id) select vec_id, nn_id, round(dist, 6) as dist, cast(nn_rank as integer) as nn_rank "
+       "from (select *, "
        "row_number() over (partition by vec_id order by dist, nn_id) as nn_rank from p) where nn_rank <= 5")
 def q_nearest_neighbours(spark, sf):
     """F6 neighbour step: exact 5 nearest minority neighbours (the oracle brute-forces all pairs)."""
