@@ -67,3 +67,19 @@ def test_grid_search_path(spark, monkeypatch):
     res = M.nested_cv(df, cfg)
     assert res["oof"].count() == 300
     assert {r.fold for r in res["fold_metrics"].collect()} == {0, 1, 2}
+
+
+def test_knn_exact_heavy_duplicates(spark):
+    rng = np.random.default_rng(11)
+    hot = np.repeat(np.array([[1.0, 2.0, 3.0]]), 200, axis=0)
+    near = np.round(hot[:3] + rng.normal(0, 0.001, (3, 3)), 6)
+    rest = np.round(rng.normal(0, 3, (40, 3)), 6)
+    pts = np.vstack([hot, near, rest])
+    order = rng.permutation(len(pts))  # ids not aligned with the duplicate block
+    pts = pts[order]
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)], "id long, v array<double>")
+    got = {}
+    for r in OV.knn_exact(df, "id", "v", k=5).collect():
+        got.setdefault(r.id, []).append((r.nn_rank, r.nn_id))
+    want = brute(pts, 5)
+    assert all([j for _, j in sorted(got[i])] == want[i] for i in range(len(pts)))
