@@ -80,6 +80,7 @@ class RunConfig:
     max_rows: int | None = None
     use_grid: bool = True
     final_params: str = "base"  # 'base' reproduces the reference; 'best' refits the tuned parameters
+    oversample: bool = True     # SMOTE-style oversampling of training folds up to MAX_ROWS_FOR_OVERSAMPLING
     notes: list = field(default_factory=list)
 
 
@@ -94,12 +95,11 @@ def fit_pipeline(train: DataFrame, cfg: RunConfig, grid: bool, inner_fold: str |
     re-fitted inside every inner fit.
     """
     prep = preprocessing_stages(cfg.numeric, cfg.categorical)
-    weight = None
-    if cfg.algorithm == "lightgbm":
-        train = S.with_class_weight(train, "label", "weight")
-        weight = "weight"
+    weight = "weight" if cfg.algorithm == "lightgbm" else None
     maps = []
     if grid and cfg.algorithm != "tabnet":
+        if weight:
+            train = S.with_class_weight(train, "label", weight)
         clf = base_estimator(cfg.algorithm, cfg.seed, weight)
         maps = param_grid(cfg.algorithm, clf)
     if maps:
@@ -114,8 +114,13 @@ def fit_pipeline(train: DataFrame, cfg: RunConfig, grid: bool, inner_fold: str |
         finally:
             cached.unpersist()
     prep_model = Pipeline(stages=prep).fit(train)
+    enc = prep_model.transform(train).select(cfg.id_col, "features", "label")
+    if cfg.oversample and train.count() <= MAX_ROWS_FOR_OVERSAMPLING:
+        enc = oversample_encoded(enc, cfg.id_col, cfg.seed)  # after encoding, training rows only
+    if weight:
+        enc = S.with_class_weight(enc, "label", weight)
     keep = ["features", "label"] + ([weight] if weight else [])
-    enc = prep_model.transform(train).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+    enc = enc.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if cfg.algorithm == "tabnet":
             width = len(enc.select("features").first()[0])  # one row sizes the input layer
@@ -128,6 +133,15 @@ def fit_pipeline(train: DataFrame, cfg: RunConfig, grid: bool, inner_fold: str |
         enc.unpersist()
 
 
+def oversample_encoded(enc: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """F6 on the encoded training rows: synthetic minority vectors until the classes balance."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from .oversample import smote
+    arr = enc.select(F.col(id_col).alias("_id"), vector_to_array("features").alias("_v"), "label")
+    out = smote(arr, "_id", "_v", "label", seed=seed)
+    return out.select(F.col("_id").alias(id_col), array_to_vector("_v").alias("features"), "label")
+
+
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return model.transform(df).select(*keep, probability_of_positive().alias("p"))
 
