@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import recode as R
 from ..functions import text as T
-from ..functions.catalog import FEATURES, LABEL_COLUMNS, USEFUL_FEATURES, FEATURE_ORDER
+from ..functions.catalog import LABEL_COLUMNS, USEFUL_FEATURES, FEATURE_ORDER
 from ..operators import cohort as E
 from . import fixtures as X
 from . import harmonize as H
@@ -60,10 +60,6 @@ def q_numeric_coercion(spark, sf):
                     T.to_number("delay_raw").alias("delay_days"), T.to_number("age_raw").alias("age_number"))
 
 
-def _canonical_select(prefix_sql: str) -> str:
-    return prefix_sql
-
-
 @query("registry_canonical", REG + "select concat('SEER:', cast(row_id as varchar)) as row_id, 'SEER' as source, "
        "'SEER_LUNG_EXPORTNEW' as source_study, cast(null as varchar) as case_id, cast(null as varchar) as sample_id, "
        + O.registry_row() + " from r")
