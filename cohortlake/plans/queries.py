@@ -1232,50 +1232,24 @@ def q_streaming_scoring(spark, sf):
 from ..operators import oversample as OV  # noqa: E402
 
 
-@query("nearest_neighbours", "with e as (select vec_id, cast(embedding as double[]) as v from embeddings where label < 3), "
-       "p as (select a.vec_id, b.vec_id as nn_id, list_distance(a.v, b.v) as dist from e a, e b "
-       "where a.vec_id <> b.vec_id) select vec_id, nn_id, round(dist, 6) as dist, cast(nn_rank as integer) as nn_rank "
-       "from (select *, "
-       "row_number() over (partition by vec_id order by dist, nn_id) as nn_rank from p) where nn_rank <= 5")
+@query("nearest_neighbours", "with e as (select vec_id, label, cast(embedding as double[]) as v from embeddings), "
+       "p as (select a.vec_id, b.vec_id as nn_id, list_distance(a.v, b.v) as dist from e a join e b "
+       "on a.label = b.label and a.vec_id <> b.vec_id) select vec_id, nn_id, round(dist, 6) as dist, "
+       "cast(nn_rank as integer) as nn_rank from (select *, row_number() over (partition by vec_id order by dist, "
+       "nn_id) as nn_rank from p) where nn_rank <= 5")
 def q_nearest_neighbours(spark, sf):
-    """F6 neighbour step: exact 5 nearest minority neighbours (the oracle brute-forces all pairs)."""
-    e = X.table(spark, sf, "embeddings").filter(F.col("label") < 3)
-    nn = OV.knn_exact(e, "vec_id", "embedding", k=5)
+    """F6 neighbour step: exact 5 nearest neighbours within each class (the oracle brute-forces all pairs)."""
+    e = X.table(spark, sf, "embeddings")
+    nn = OV.knn_exact(e, "vec_id", "embedding", k=5, by="label")
     return nn.select("vec_id", "nn_id", F.round("dist", 6).alias("dist"), "nn_rank")
 
 
-@query("smote_oversampling", "with e as (select label, count(*) as n from embeddings where label < 2 group by label) "
-       "select label, false as synthetic, n from e union all select label, true, (select max(n) from e) - n from e "
-       "where n < (select max(n) from e)")
+@query("smote_oversampling", "with e as (select case when label = 0 then 1 else 0 end as y, count(*) as n "
+       "from embeddings group by 1) select y, false as synthetic, n from e union all select y, true, "
+       "(select max(n) from e) - n from e where n < (select max(n) from e)")
 def q_smote(spark, sf):
-    """minority rows synthesized until the classes balance (counts per class and origin)."""
-    e = X.table(spark, sf, "embeddings").filter(F.col("label") < 2)
-    out = OV.smote(e, "vec_id", "embedding", "label")
-    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
-
-
-
-@query("harmonization_run", _all_sql(_REG_NA) + _coverage_sql("h"))
-def q_harmonization_run(spark, sf):
-    """End to end: all source shapes written as files, harmonized, written, reported; coverage read back."""
-    base = scratch_path(spark, "harmonization")
-    X.registry_export(spark, sf).write.option("header", "true").csv(f"{base}/in/seer/exportnew.csv")
-    X.case_raw(spark, sf).withColumnRenamed("ecog_all_null", "ecog_worst") \
-        .write.option("header", "true").csv(f"{base}/in/gdc/cases.csv")
-    X.nested_cases(spark, sf).write.json(f"{base}/in/gdc/cases.json")
-    m = X.mutation_raw(spark, sf).select(F.concat(F.lit("S"), F.col("sample_key").cast("string")).alias("sampleId"),
-                                         F.concat(F.lit("SUB"), F.substring("patient_id", 2, 64)).alias("patientId"),
-                                         "gene")
-    m.write.option("header", "true").csv(f"{base}/in/cbio/panelA/mutations_panel_impact_mutations.csv")
-    e = X.eav_raw(spark, sf)
-    (e.select(F.col("seq").cast("string").alias("seq"), F.col("sample_id").alias("sampleId"),
-              F.col("patient_id").alias("patientId"), F.col("study_id").alias("studyId"),
-              F.col("attr").alias("clinicalAttributeId"), "value", F.col("study_id").alias("dir"))
-     .write.partitionBy("dir").option("header", "true").csv(f"{base}/in/cbio/studies"))
-    out = H.run_harmonization(
-        spark, registry_paths=[f"{base}/in/missing.csv", f"{base}/in/seer/exportnew.csv"],
-        case_table=f"{base}/in/gdc/cases.csv", case_documents=f"{base}/in/gdc/cases.json",
-        study_base=f"{base}/in/cbio/studies", study_pattern="dir=*/*.csv", panel_base=f"{base}/in/cbio",
-        out_dir=f"{base}/out", documents_multi_line=False)
-    schema = "column string, non_null bigint, coverage_pct double"
-    return spark.read.schema(schema).option("header", "true").csv(out["reports"]["feature_coverage"])
+    """class 0 against the rest; minority rows synthesized until the classes balance (counts per class and origin)."""
+    e = X.table(spark, sf, "embeddings").select("vec_id", "embedding",
+                                                 F.when(F.col("label") == 0, 1).otherwise(0).alias("y"))
+    out = OV.smote(e, "vec_id", "embedding", "y")
+    return out.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
