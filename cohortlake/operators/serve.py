@@ -36,7 +36,7 @@ def _catalog() -> Column:
 
 def report_features(runs: DataFrame, notes: str = "notes") -> DataFrame:
     """Dropped features from the last 'dropped_features=' note; used = catalog order minus dropped."""
-    note = F.element_at(F.filter(F.col(notes), lambda s: s.startswith(DROPPED_NOTE_PREFIX)), -1)
+    note = F.try_element_at(F.filter(F.col(notes), lambda s: s.startswith(DROPPED_NOTE_PREFIX)), F.lit(-1))
     return runs.withColumn("_note", note).withColumn(
         "dropped_features",
         F.when(F.col("_note").isNull(), F.array().cast("array<string>")).otherwise(
