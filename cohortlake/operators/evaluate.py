@@ -149,22 +149,50 @@ def best_threshold(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[s
             .select(*groups, *[F.col(f"_best.{n}").alias(n) for n in ["threshold"] + METRIC_NAMES]))
 
 
-def roc_curve(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[str] = ()) -> DataFrame:
-    """One (threshold, fpr, tpr) point per distinct score, thresholds descending.
-
-    Every distinct score is kept (no dropping of collinear points); the
-    implicit (0, 0) origin is not emitted.
+def roc_curve(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[str] = (),
+              drop_intermediate: bool = True, include_origin: bool = True) -> DataFrame:
+    """ROC points (threshold, tps, fps, fpr, tpr) over distinct scores, thresholds descending.
+
+    ``drop_intermediate`` keeps a point only where the curve bends (a non-zero
+    second difference of fps or tps) plus both ends, the usual default;
+    ``include_origin`` adds the (0, 0) point at threshold +inf.  Neighbouring
+    points come from a window inside each score bucket plus the edge points
+    of the adjacent buckets (a bounded table), never from a global window.
     """
+    groups = list(groups)
     d = _score_counts(df, y, p, groups)
-    c = cumulative_before(d, "_s", ["pos", "neg"], prob_bucket(F.col("_s")), groups, descending=True)
+    b = prob_bucket(F.col("_s"))
+    c = cumulative_before(d.withColumn("_rb", b), "_s", ["pos", "neg"], F.col("_rb"), groups, descending=True)
+    c = c.withColumn("tps", F.col("pos_before") + F.col("pos")).withColumn("fps", F.col("neg_before") + F.col("neg"))
     tot = d.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = c.join(tot, list(groups)) if groups else c.select("*", tot.select("P").scalar().alias("P"),
-                                                             tot.select("N").scalar().alias("N"))
-    tps = F.col("pos_before") + F.col("pos")
-    fps = F.col("neg_before") + F.col("neg")
+    if drop_intermediate:
+        inb = Window.partitionBy(*groups, "_rb").orderBy(F.col("_s").desc())
+        c = (c.withColumn("_ptps", F.lag("tps").over(inb)).withColumn("_pfps", F.lag("fps").over(inb))
+             .withColumn("_ntps", F.lead("tps").over(inb)).withColumn("_nfps", F.lead("fps").over(inb)))
+        # first / last point of every bucket, and the neighbouring buckets' edge points (bounded table)
+        edges = c.groupBy(*groups, "_rb").agg(
+            F.max_by(F.struct("tps", "fps"), "_s").alias("_first"), F.min_by(F.struct("tps", "fps"), "_s").alias("_last"))
+        eb = Window.partitionBy(*groups).orderBy(F.col("_rb").desc())
+        edges = edges.select(*groups, "_rb", F.lag("_last").over(eb).alias("_prev_last"),
+                             F.lead("_first").over(eb).alias("_next_first"))
+        c = c.join(F.broadcast(edges), [*groups, "_rb"])
+        ptps = F.coalesce("_ptps", F.col("_prev_last.tps"))
+        pfps = F.coalesce("_pfps", F.col("_prev_last.fps"))
+        ntps = F.coalesce("_ntps", F.col("_next_first.tps"))
+        nfps = F.coalesce("_nfps", F.col("_next_first.fps"))
+        end = ptps.isNull() | ntps.isNull()
+        bend = ((pfps - 2 * F.col("fps") + nfps) != 0) | ((ptps - 2 * F.col("tps") + ntps) != 0)
+        c = c.filter(end | bend)
+    pts = c.select(*groups, F.col("_s").alias("threshold"), "tps", "fps")
+    if include_origin:
+        origin = tot.select(*groups, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tps"),
+                            F.lit(0).cast("long").alias("fps"))
+        pts = pts.unionByName(origin)
+    j = pts.join(tot, groups) if groups else pts.select("*", tot.select("P").scalar().alias("P"),
+                                                        tot.select("N").scalar().alias("N"))
     return j.filter((F.col("P") > 0) & (F.col("N") > 0)).select(
-        *groups, F.col("_s").alias("threshold"), tps.alias("tps"), fps.alias("fps"),
-        (fps / F.col("N")).alias("fpr"), (tps / F.col("P")).alias("tpr"))
+        *groups, "threshold", "tps", "fps", (F.col("fps") / F.col("N")).alias("fpr"),
+        (F.col("tps") / F.col("P")).alias("tpr"))
 
 
 def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", exact: bool = True) -> DataFrame:

@@ -448,11 +448,16 @@ def q_best_threshold(spark, sf):
 
 @query("roc_curve", SC + ", d as (select p, sum(y) as pos, sum(1 - y) as neg from s group by p), "
        "c as (select p, sum(pos) over (order by p desc) as tps, sum(neg) over (order by p desc) as fps, "
-       "sum(pos) over () as tot_pos, sum(neg) over () as tot_neg from d) "
-       "select p as threshold, cast(tps as bigint) as tps, cast(fps as bigint) as fps, round(fps / tot_neg, 9) as fpr, "
-       "round(tps / tot_pos, 9) as tpr from c")
+       "sum(pos) over () as tot_pos, sum(neg) over () as tot_neg from d), "
+       "k as (select *, lag(tps) over (order by p desc) as ptps, lag(fps) over (order by p desc) as pfps, "
+       "lead(tps) over (order by p desc) as ntps, lead(fps) over (order by p desc) as nfps from c), "
+       "pts as (select p as threshold, tps, fps, tot_pos, tot_neg from k where ptps is null or ntps is null "
+       "or pfps - 2 * fps + nfps <> 0 or ptps - 2 * tps + ntps <> 0 union all select 'inf'::double, 0, 0, "
+       "(select sum(pos) from d), (select sum(neg) from d)) "
+       "select threshold, cast(tps as bigint) as tps, cast(fps as bigint) as fps, round(fps / tot_neg, 9) as fpr, "
+       "round(tps / tot_pos, 9) as tpr from pts")
 def q_roc_curve(spark, sf):
-    """I7."""
+    """I7 (collinear points dropped, origin at threshold +inf)."""
     r = V.roc_curve(X.scored(spark, sf))
     return r.select("threshold", F.col("tps").cast("bigint").alias("tps"), F.col("fps").cast("bigint").alias("fps"),
                     _r("fpr"), _r("tpr"))

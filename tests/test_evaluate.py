@@ -154,3 +154,16 @@ def test_calibration_matches_numpy(spark):
         m = bins == b
         assert got[int(b)].n == int(m.sum())
         assert got[int(b)].fraction_positive == pytest.approx(y[m].mean(), abs=1e-12)
+
+
+def test_roc_curve_drops_collinear_points_like_the_usual_default(spark):
+    df, p, y = scores(spark)
+    order = np.argsort(-p, kind="mergesort")
+    ps, ys = p[order], y[order]
+    last = np.r_[np.where(np.diff(ps))[0], len(ps) - 1]
+    tps = np.cumsum(ys)[last]
+    fps = 1 + last - tps
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    want = sorted([(float(ps[last][i]), int(tps[i]), int(fps[i])) for i in keep] + [(float("inf"), 0, 0)])
+    got = sorted((r.threshold, r.tps, r.fps) for r in V.roc_curve(df).collect())
+    assert got == want
