@@ -83,3 +83,19 @@ def test_knn_exact_heavy_duplicates(spark):
         got.setdefault(r.id, []).append((r.nn_rank, r.nn_id))
     want = brute(pts, 5)
     assert all([j for _, j in sorted(got[i])] == want[i] for i in range(len(pts)))
+
+
+def test_final_fit_best_params(spark, monkeypatch):
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    def small_grid(algorithm, est):
+        return ParamGridBuilder().addGrid(est.maxDepth, [2, 3]).addGrid(est.maxIter, [3]).build()
+    monkeypatch.setattr(M, "param_grid", small_grid)
+    rng = np.random.default_rng(1)
+    rows = [(i, float(rng.random() * 10), int(rng.random() < 0.4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, x double, y int")
+    cfg = M.RunConfig(task="t", algorithm="xgboost", label="y", numeric=["x"], categorical=[],
+                      final_params="best", oversample=False)
+    ff = M.final_fit(df, cfg)
+    assert ff["holdout"].count() == 60
+    assert ff["best_threshold"].first().threshold is not None
