@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import cumulative_before, exact_quantiles, prob_bucket, signed_log_bucket
+from .ordered import GROUPED_PROB_BUCKETS, PROB_BUCKETS, cumulative_before, exact_quantiles, prob_bucket, signed_log_bucket
 
 # --- fixed values -------------------------------------------------------------
 THRESHOLD_GRID = [float(x) for x in np.linspace(0.2, 0.8, 61)]  # sweep grid (numpy doubles)
@@ -80,7 +80,8 @@ def roc_auc(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[str] = (
     probabilities (``probabilities=False``) use a signed log-scale bucket.
     """
     d = _score_counts(df, y, p, groups)
-    bucket = prob_bucket(F.col("_s")) if probabilities else signed_log_bucket(F.col("_s"))
+    nb = GROUPED_PROB_BUCKETS if groups else PROB_BUCKETS
+    bucket = prob_bucket(F.col("_s"), nb) if probabilities else signed_log_bucket(F.col("_s"))
     c = cumulative_before(d, "_s", ["neg"], bucket, groups)
     num = F.col("pos").cast("double") * (2.0 * F.col("neg_before") + F.col("neg"))
     agg = c.groupBy(*groups).agg(F.sum(num).alias("_num"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -99,7 +100,8 @@ def evaluate(df: DataFrame, y: str = "y", p: str = "p", threshold: float = INCUM
     """
     groups = list(groups)
     d = _score_counts(df, y, p, groups)
-    bucket = prob_bucket(F.col("_s")) if probabilities else signed_log_bucket(F.col("_s"))
+    nb = GROUPED_PROB_BUCKETS if groups else PROB_BUCKETS
+    bucket = prob_bucket(F.col("_s"), nb) if probabilities else signed_log_bucket(F.col("_s"))
     c = cumulative_before(d, "_s", ["neg"], bucket, groups)
     s, pos, neg = F.col("_s"), F.col("pos"), F.col("neg")
     above = s >= threshold
@@ -161,7 +163,7 @@ def roc_curve(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[str] =
     """
     groups = list(groups)
     d = _score_counts(df, y, p, groups)
-    b = prob_bucket(F.col("_s"))
+    b = prob_bucket(F.col("_s"), GROUPED_PROB_BUCKETS if groups else PROB_BUCKETS)
     c = cumulative_before(d.withColumn("_rb", b), "_s", ["pos", "neg"], F.col("_rb"), groups, descending=True)
     c = c.withColumn("tps", F.col("pos_before") + F.col("pos")).withColumn("fps", F.col("neg_before") + F.col("neg"))
     tot = d.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROB_BUCKETS = 1 << 16      # buckets for keys in [0, 1]
+GROUPED_PROB_BUCKETS = 1 << 12  # per group when many groups (runs x folds) share one offset table
 DURATION_BUCKETS = 4096     # log-scale buckets for non-negative durations
 HASH_BUCKET_HEX = 4         # 16**4 = 65,536 hash-prefix buckets for stratified ranks
 
@@ -74,7 +75,7 @@ def hash_key(seed: str | int, id_col: str) -> Column:
 
 
 def stratified_rank(df: DataFrame, strata: Sequence[str], id_col: str, seed: str | int,
-                    hex_digits: int = HASH_BUCKET_HEX) -> DataFrame:
+                    hex_digits: int | None = None) -> DataFrame:
     """Add ``_rank``: 1-based rank inside each stratum by (md5(seed:id), id).
 
     Equals ``row_number() over (partition by strata order by md5, id)``
@@ -84,6 +85,8 @@ def stratified_rank(df: DataFrame, strata: Sequence[str], id_col: str, seed: str
     The offset table has at most (#strata x 16**hex_digits) rows.
     """
     strata = list(strata)
+    if hex_digits is None:  # keep the offset table near 16**4 rows: fewer buckets per stratum when strata multiply
+        hex_digits = HASH_BUCKET_HEX if len(strata) <= 1 else HASH_BUCKET_HEX - 1
     h = hash_key(seed, id_col)
     t = df.withColumn("_h", h).withColumn("_hb", F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("int"))
     counts = t.groupBy(*strata, "_hb").agg(F.count(F.lit(1)).alias("_n"))
