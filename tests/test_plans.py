@@ -29,7 +29,8 @@ def test_registry_path_is_map_only(spark):
 
 
 def test_no_cartesian_products(spark):
-    for name in ("harmonized_union", "fold_metrics", "best_threshold", "readiness_summary", "active_features"):
+    for name in ("harmonized_union", "fold_metrics", "best_threshold", "readiness_summary", "active_features",
+                 "roc_curve", "event_time_table", "conformal_quantile", "prediction_sets", "column_level_fallback"):
         plan = plan_text(entry.queries()[name](spark, SF_SMALL))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
