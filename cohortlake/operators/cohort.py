@@ -156,6 +156,12 @@ def column_fallback(df: DataFrame, primary: Column, fallback: Column) -> Column:
     return F.when(non_null == 0, fallback).otherwise(primary)
 
 
+def column_fallbacks(df: DataFrame, pairs: Sequence[tuple[Column, Column]]) -> list[Column]:
+    """B13 for several columns with ONE scalar subquery (all non-null counts in one aggregate)."""
+    counts = df.select(F.struct(*[F.count(p).alias(f"c{i}") for i, (p, _) in enumerate(pairs)])).scalar()
+    return [F.when(counts[f"c{i}"] == 0, fb).otherwise(p) for i, (p, fb) in enumerate(pairs)]
+
+
 def karnofsky_to_ecog(ecog: Column, karnofsky: Column) -> Column:
     """ECOG, else clip(round_half_even((100 - KPS) / 20), 0, 4)."""
     derived = F.least(F.lit(4.0), F.greatest(F.lit(0.0), F.bround((100.0 - karnofsky) / 20.0, 0)))

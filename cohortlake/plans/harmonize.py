@@ -86,8 +86,7 @@ def case_cohort(cases: DataFrame, nested: DataFrame | None = None, patient_flags
     if nested is not None:
         nested_vals = E.case_document_values(nested)
         df = E.lookup_join(df, nested_vals, "case_id", "case_id", ["ecog_max", "karnofsky_max", "prior_treatment"])
-        ecog = E.column_fallback(cases, ecog, F.col("ecog_max"))
-        karn = E.column_fallback(cases, karn, F.col("karnofsky_max"))
+        ecog, karn = E.column_fallbacks(cases, [(ecog, F.col("ecog_max")), (karn, F.col("karnofsky_max"))])
         chemo = F.col("prior_treatment")
     if patient_flags is not None:
         flags = patient_flags.select(F.col("patient_id").alias("_pid"), F.col("egfr_mutation").alias("_egfr"))
