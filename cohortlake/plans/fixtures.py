@@ -24,7 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     downstream are CPU-bound); on large multi-file inputs the scan already
     has enough splits and this is a no-op.
     """
-    key = (id(spark), sf_dir, name)
+    try:
+        owner = spark.sparkContext.applicationId  # a restarted session never reuses a stale plan
+    except Exception:  # noqa: BLE001 - remote session
+        owner = id(spark)
+    key = (owner, sf_dir, name)
     if key in _SCANS:
         return _SCANS[key]
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
