@@ -30,7 +30,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
          # methods over 8,000 bytecodes by default, leaving them interpreted)
          .config("spark.driver.extraJavaOptions", JIT_OPTIONS)
          .config("spark.executor.extraJavaOptions", JIT_OPTIONS)
-         .config("spark.driver.memory", os.environ.get("COHORTLAKE_DRIVER_MEMORY", "16g")))
+         .config("spark.driver.memory", os.environ.get("COHORTLAKE_DRIVER_MEMORY", "6g")))
     if master:
         b = b.master(master)
     spark = b.getOrCreate()
@@ -61,7 +61,7 @@ def apply_cluster_conf(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; set a private one only when unset."""
+    """The cluster's shared checkpoint folder; a private one only for a local master that has none."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - remote session: only the SQL conf is visible
@@ -71,6 +71,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="cohortlake-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(d)
