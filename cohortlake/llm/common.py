@@ -110,11 +110,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2**64; kept for the next call."""
     if len(_POWERS.get(base, ())) < n:
         p = np.full(max(n, PIECE_BYTES + 1), base, np.uint64)
         p[0] = 1
@@ -126,13 +126,18 @@ def _powers(base: int, n: int) -> np.ndarray:
 CODES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)]
 
 
+def spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """A polynomial hash of codes[start:end] for each span, wherever it stands; by prefix sums, not yet mixed."""
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * powers(base, len(codes)), out=sums[1:])
+    return (sums[ends] - sums[starts]) * powers(pow(base, -1, 1 << 64), len(codes) + 1)[starts]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial over the whole buffer, cut at the words by prefix sums."""
+    """A 64-bit hash of each word's bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * _powers(_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    return mix(spans(codes[data], starts, ends) + (ends - starts).astype(np.uint64))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -40,3 +40,22 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     from .packing import pack
     return pack(table(spark, sf, "documents"))
+
+
+@query("op3_simhash_near_dedup")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from .simhash import simhash_groups
+    groups = simhash_groups(table(spark, sf, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_equal")
+
+
+@query("op8_imatch_fingerprints")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    from .imatch import fingerprint_edits
+    return fingerprint_edits(table(spark, sf, "documents"))
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from .substrings import remove_repeats
+    return remove_repeats(table(spark, sf, "documents"), texts=False).withColumnRenamed("kept", "kept_sha256")
