@@ -59,3 +59,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     from .substrings import remove_repeats
     return remove_repeats(table(spark, sf, "documents"), texts=False).withColumnRenamed("kept", "kept_sha256")
+
+
+@query("op1_importance_resampling")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from .dsir import classify
+    return classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
