@@ -18,6 +18,7 @@ any other; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +31,16 @@ from .common import cut, map_rows
 CAPACITY = 2048
 END_ID = 0
 
-#: Distinct strings whose ids a worker remembers (a cache only).
-CACHE = 300_000
+#: Distinct words and word parts whose ids a worker remembers (a cache only).
+CACHE = 600_000
+
+#: Words of printable ASCII and Latin-1 letters: their lower case is composed already, so they
+#: can be cut into parts here.  All others go to the tokenizer as they are.
+PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
+
+# The vocabulary's rule for parts, on lower-cased plain words; strings of its special tokens.
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+SPECIAL = "<|"
 
 #: Pieces of one length ranked by one task.
 RANK_BLOCK = 50_000
@@ -45,46 +54,76 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_TOKENIZERS: dict[str, tuple] = {}
+def byte_letters() -> dict[int, str]:
+    """The usual byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        import os
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        _TOKENIZERS[path] = Tokenizer.from_file(path), {}
-    return _TOKENIZERS[path]
+class Encoder:
+    """Ids of whole texts.
 
+    The tokenizer never joins text across ASCII white space, so a text's ids
+    are those of its words in order, and each distinct word is encoded once;
+    a plain word's ids are those of its parts.
+    """
 
-def encode_all(rows: list[bytes], path: str) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each text.  The tokenizer never joins text across ASCII white
-    space, so a text's ids are those of its words in order; each distinct word is encoded once."""
-    import numpy as np
-    tok, cache = tokenizer(path)
-    for raw in rows:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, s: str) -> bytes:
+        ids = self.parts.get(s)
+        if ids is None:
+            if len(self.parts) > CACHE:
+                self.parts.clear()
+            found = self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))
+            ids = self.parts[s] = b"".join([t.id.to_bytes(4, "little") for t in found])
+        return ids
+
+    def word(self, raw: bytes) -> bytes:
+        s = raw.decode()
+        if PLAIN.fullmatch(s) and SPECIAL not in s:
+            return b"".join([self.part(p) for p in PART.findall(s.lower())])
+        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(s, add_special_tokens=False).ids])
+
+    def ids(self, raw: bytes) -> bytes:
+        """Little-endian 32-bit ids."""
         words = raw.split()
+        known = self.words
         try:
-            yield b"".join(map(cache.__getitem__, words))
-            continue
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
-            pass
-        if len(cache) > CACHE:
-            cache.clear()
-        new = list({*words} - cache.keys())
-        for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        yield b"".join(map(cache.__getitem__, words))
+            if len(known) > CACHE:
+                known.clear()
+            for w in {*words}:
+                if w not in known:
+                    known[w] = self.word(w)
+            return b"".join(map(known.__getitem__, words))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_file: str | None = None) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, and ``n``, a number for equal rows' order."""
     def fn(batch) -> Iterator[dict]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        path = tokenizer_file or tokenizer_path()
+        encode = encoder(tokenizer_file or tokenizer_path()).ids
         end = END_ID.to_bytes(4, "little")
-        for doc_id, ids in zip(batch.column(0).to_pylist(), encode_all(((x.as_py() or "").encode() for x in batch.column(1)), path)):
-            ids += end
+        for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids = encode((x.as_py() or "").encode()) + end
             for k, a in enumerate(range(0, len(ids) // 4, capacity)):
                 part = ids[4 * a:4 * (a + capacity)]
                 for name, v in zip(out, (doc_id, k, a, len(part) // 4, zlib.crc32(part))):
