@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import contamination
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +66,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     from .dsir import classify
     return classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op7_benchmark_contamination", contamination.oracle())
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
