@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination
+from . import contamination, warc
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,15 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_benchmark_contamination", contamination.oracle())
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op10_warc_revisits", warc.ORACLE)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    records = warc.parse_records(warc.records_of_pages(table(spark, sf, "pages")))
+    return warc.resolve_revisits(records).withColumn("merged", warc.header_lines(F.col("merged_headers"))).drop("merged_headers")
+
+
+@query("op2_wrapper_induction")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    from .wrappers import extract
+    return extract(table(spark, sf, "pages"))
