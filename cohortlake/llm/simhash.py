@@ -48,6 +48,9 @@ STEP = 1 << 16
 #: Hot keys sent to every executor at most; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 
+#: Ids of dropped rows sent to every executor at most (8 bytes each).
+BROADCAST_IDS = 2_000_000
+
 
 def fingerprint(raw: bytes, size: int = SHINGLE) -> int:
     """SimHash of the lower-cased words' shingles, each hashed by XXH64."""
@@ -180,8 +183,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the row of smallest id of each group; of rows that repeat that id one stays, and every row without id stays."""
     groups = cut(simhash_groups(docs, id_col, text_col, **options))
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long") == F.col("__keep"), "left_semi")
+    drop = cut(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__drop")).distinct())
+    n_drop = drop.count()
+    # ids that go, sent to every executor while they are few; else the rows are dealt by id
+    kept = docs.where(F.col(id_col).isNotNull()).join(F.broadcast(drop) if n_drop <= BROADCAST_IDS else drop, docs[id_col].cast("long") == F.col("__drop"), "left_anti")
     repeats = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeats.isEmpty():  # the texts are dealt by id only where ids repeat
         kept = kept.dropDuplicates([id_col])
