@@ -12,7 +12,8 @@ sample without replacement with chances proportional to the weight.  The
 noise is a hash of id and text, so a rerun draws the same.  k is the number
 of rows whose log weight reaches a cut; the cut is the one at which the
 labelled rows are told apart best (``KEEP_WEIGHT`` times the share of good
-rows kept, plus the share of bad rows rejected).
+rows kept, plus the share of bad rows rejected).  The rows that set the cut
+are held out from the target model, so they are to it what any row is.
 
 Labels are read up to ``MAX_LABELLED`` rows (those of least id hash): the
 bound of the fit, and of the broadcast.  Raw counts cover all rows.  What
@@ -41,7 +42,12 @@ from .common import CODES, NOT_WORD, ASCII_SPACE, cut, map_rows, mix, pieces, wo
 BUCKETS = 1 << 16
 MAX_LABELLED = 200_000
 REFERENCE_LENGTH = 100
-SMOOTHING = 1.0
+
+#: Target and expected target count of a bucket are both raised by this: rare n-grams say little.
+SMOOTHING = 10.0
+
+#: Of the labelled rows one in so many (by id hash) sets the cut; the others are the target's.
+HOLD_OUT = 4
 KEEP_WEIGHT = 4.0
 SEED = 17
 
@@ -109,8 +115,10 @@ def fit(rows: DataFrame, labelled: DataFrame, buckets: int = BUCKETS) -> np.ndar
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for b, r, t in found:
         raw[b], target[b] = r, t
-    share = lambda x: np.log(x + SMOOTHING) - np.log(x.sum() + SMOOTHING * buckets)
-    return share(target) - share(raw) if target.sum() else np.zeros(buckets)
+    if not target.sum():
+        return np.zeros(buckets)
+    expected = raw * (target.sum() / raw.sum())
+    return np.log(target + SMOOTHING) - np.log(expected + SMOOTHING)
 
 
 def _noise(doc_id, raw: bytes, seed: int) -> float:
@@ -177,7 +185,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
              keep_weight: float = KEEP_WEIGHT, seed: int = SEED) -> Selection:
     rows = _rows(docs, id_col, text_col)
     labelled = cut(label_sample(labels, max_labelled))
-    ratio = fit(rows, labelled, buckets)
+    held_out = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(HOLD_OUT)) == 0
+    ratio = fit(rows, labelled.where(~held_out), buckets)
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def fn(batch) -> Iterator[dict]:
@@ -186,7 +195,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     scored = cut(map_rows(rows, fn, "doc_id long, n_ngrams long, log_weight double, key double, step long"))
     bins = F.round("log_weight", 1)
-    shown = scored.join(F.broadcast(labelled), "doc_id").groupBy(F.least(F.greatest((bins * 10).cast("long"), F.lit(-100_000)), F.lit(100_000)).alias("bin")) \
+    shown = scored.join(F.broadcast(labelled.where(held_out)), "doc_id").groupBy(F.least(F.greatest((bins * 10).cast("long"), F.lit(-100_000)), F.lit(100_000)).alias("bin")) \
         .agg(F.sum("good"), F.sum(1 - F.col("good"))).collect()  # at most 200,001 bins, whatever the corpus
     at = best_cut([tuple(r) for r in shown], keep_weight)
     k = scored.where(F.col("log_weight") >= at / 10).count() if at is not None else 0
