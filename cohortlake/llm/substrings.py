@@ -182,11 +182,14 @@ def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, names) to (name, hash, doc_id, first, last, kind): windows with a shared anchor, compared within the batch.
+    """(doc_id, text, names) to (name, hash, doc_id, first, more, kind): windows with a shared anchor, compared within the batch.
 
-    A window that the batch itself shows in a smaller document is settled; runs of such windows are one row.
+    A window that the batch itself shows in a smaller document is settled; runs of such windows are one row, its first window and the number of further ones.
     """
     for batch in batches:
+        batch = batch.filter(batch.column(2).is_valid())
+        if not batch.num_rows:
+            continue
         ids = _ids(batch.column(0))
         listed = batch.column(2)
         sizes = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -211,10 +214,10 @@ def window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
             a, b, d = runs(doc[settled], pos[settled])
             still = np.flatnonzero(~settled)
             still = still[np.lexsort((pos[still], doc[still]))]
-            zeros = np.zeros(len(d), np.int64)
+            zeros, zeros_of = np.zeros(len(d), np.int64), lambda x: np.zeros(len(x), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (
-                (signed(name[still]), zeros), (signed(whole[still]), zeros), (doc[still], d), (pos[still].astype(np.int32), a.astype(np.int32)), (pos[still].astype(np.int32), b.astype(np.int32)),
-                (np.full(len(still), OPEN, np.int32), np.full(len(d), SETTLED, np.int32)))], names=["name", "hash", "doc_id", "first", "last", "kind"])
+                (signed(name[still]), zeros), (signed(whole[still]), zeros), (doc[still], d), (pos[still].astype(np.int32), a.astype(np.int32)), (zeros_of(still), (b - a).astype(np.int32)),
+                (np.full(len(still), OPEN, np.int32), np.full(len(d), SETTLED, np.int32)))], names=["name", "hash", "doc_id", "first", "more", "kind"])
 
 
 def runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,14 +233,14 @@ def runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (name, hash, doc_id, first, last, kind) to (doc_id, first, last) of windows that a smaller document has too."""
+    """Sorted (name, hash, doc_id, first, more, kind) to (doc_id, first, more) of windows that a smaller document has too."""
     known = None  # (name, hash, smallest document) of the last window
     for batch in batches:
-        name, whole, doc, first, last, kind = (_ids(c) for c in batch.columns)
+        name, whole, doc, first, more, kind = (_ids(c) for c in batch.columns)
         if not len(name):
             continue
         done = kind == SETTLED
-        out = [(doc[done], first[done], last[done])]
+        out = [(doc[done], first[done], more[done])]
         name, whole, doc, first = name[~done], whole[~done], doc[~done], first[~done]
         if len(name):
             heads = _groups(name, whole)
@@ -245,11 +248,11 @@ def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             if known is not None and (name[0], whole[0]) == known[:2]:
                 least[0] = known[2]
             known = name[-1], whole[-1], least[-1]
-            more = doc > np.repeat(least, np.diff(np.append(heads, len(name))))
-            a, b, d = runs(doc[more], first[more])
-            out.append((d, a, b))
+            later = doc > np.repeat(least, np.diff(np.append(heads, len(name))))
+            a, b, d = runs(doc[later], first[later])
+            out.append((d, a, b - a))
         doc, a, b = (np.concatenate(x) for x in zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "first", "more"])
 
 
 def keep_words(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -261,9 +264,9 @@ def keep_words(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> I
             n = len(kept)
             if marks.is_valid and len(marks):
                 cover = np.zeros(n + 1, np.int64)
-                a, b = (marks.values.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last"))
-                np.add.at(cover, a, 1)
-                np.add.at(cover, b + window, -1)
+                first, more = (marks.values.field(k).to_numpy(zero_copy_only=False) for k in ("first", "more"))
+                np.add.at(cover, first, 1)
+                np.add.at(cover, first + more + window, -1)
                 kept = [kept[i] for i in np.flatnonzero(np.cumsum(cover[:n]) == 0).tolist()]
             joined = b" ".join(kept)
             for c, v in zip(out, (n, n - len(kept), joined.decode() if texts else hashlib.sha256(joined).hexdigest())):
@@ -275,16 +278,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: doc_id, n_words, n_removed and ``kept``: the kept words joined by one space, or (texts=False) their SHA-256."""
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = rows.where(F.col("doc_id").isNotNull())
     # where a row that is settled already goes doesn't matter: anywhere but to the hot group
     deal = F.when(F.col("kind") == SETTLED, F.xxhash64("doc_id")).otherwise(F.col("name"))
-    anchors = own.mapInArrow(lambda b: anchor_rows(b, window), "name long, doc_id long, kind int")
+    anchors = rows.where(F.col("doc_id").isNotNull()).mapInArrow(lambda b: anchor_rows(b, window), "name long, doc_id long, kind int")
     shared = (anchors.repartition(n, deal).sortWithinPartitions("name", "doc_id").mapInArrow(shared_anchors, "doc_id long, name long")
               .groupBy("doc_id").agg(F.collect_list("name").alias("names")))
-    found = own.join(shared, "doc_id").select("doc_id", "text", "names") \
-        .mapInArrow(lambda b: window_rows(b, window), "name long, hash long, doc_id long, first int, last int, kind int")
-    marks = (found.repartition(n, deal).sortWithinPartitions("name", "hash", "doc_id").mapInArrow(repeated_windows, "doc_id long, first int, last int")
-             .groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("marks")))
-    judged = own.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
-    without = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("marks"))
-    return judged.unionByName(without).mapInArrow(lambda b: keep_words(b, window, texts), "doc_id long, n_words long, n_removed long, kept string")
+    # both joins take the same left side as it is (rows without a match are passed over inside), so the texts are dealt once
+    found = rows.join(shared, "doc_id", "left").select("doc_id", "text", "names") \
+        .mapInArrow(lambda b: window_rows(b, window), "name long, hash long, doc_id long, first int, more int, kind int")
+    marks = (found.repartition(n, deal).sortWithinPartitions("name", "hash", "doc_id").mapInArrow(repeated_windows, "doc_id long, first int, more int")
+             .groupBy("doc_id").agg(F.collect_list(F.struct("first", "more")).alias("marks")))
+    return rows.join(marks, "doc_id", "left").select("doc_id", "text", "marks") \
+        .mapInArrow(lambda b: keep_words(b, window, texts), "doc_id long, n_words long, n_removed long, kept string")
