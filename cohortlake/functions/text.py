@@ -11,7 +11,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import BY_NAME, FEATURES, Feature
+from .catalog import FEATURES, Feature
 
 # --- fixed values -------------------------------------------------------------
 # Tokens (compared lower-case, after trimming) that the text cleaner treats as missing.
@@ -71,7 +71,11 @@ def coerce_feature_types(df: DataFrame, features: Iterable[Feature] = FEATURES)
         if f.name not in df.columns:
             continue
         if f.numeric:
-            changes[f.name] = to_number(f.name)
+            kind = dict(df.dtypes)[f.name]
+            if kind in ("double", "float"):
+                changes[f.name] = F.when(~F.isnan(f.name), F.col(f.name))
+            elif kind == "string":
+                changes[f.name] = to_number(f.name)
         else:
             s = F.col(f.name).cast("string")
             changes[f.name] = F.when(s.isin(*CATEGORICAL_SENTINELS), F.lit(None).cast("string")).otherwise(s)
@@ -89,21 +93,21 @@ def _typed_default(f: Feature) -> Column:
 def normalize_feature(f: Feature, c: Column, on_invalid: str = "default") -> Column:
     """One payload value to its catalog type.
 
-    NULL or '' gives the default; ints truncate toward zero
-    (``cast(cast(x as double) as int)``).  ``on_invalid='default'`` falls back
-    to the default for unparsable text, ``'fail'`` keeps ANSI cast errors.
+    NULL or '' gives the default; ints truncate toward zero.  Text that is no
+    number (``12d``, ``nan``, ``Infinity``) gives the default with
+    ``on_invalid='default'`` and an error with ``'fail'``.
     """
     s = c.cast("string")
     missing = s.isNull() | (s == "")
+    default = _typed_default(f)
     if f.dtype in ("int", "binary"):
-        parsed = (s.try_cast("double").try_cast("int") if on_invalid == "default"
-                  else s.cast("double").cast("int"))
+        parsed = to_number(s).try_cast("int")
     elif f.dtype == "float":
-        parsed = s.try_cast("double") if on_invalid == "default" else s.cast("double")
+        parsed = to_number(s)
     else:
-        parsed = s
-    default = _typed_default(f)
-    return F.when(missing, default).otherwise(F.coalesce(parsed, default) if on_invalid == "default" else parsed)
+        return F.when(missing, default).otherwise(s)
+    invalid = default if on_invalid == "default" else F.raise_error(F.concat(F.lit(f"{f.name} is not a number: "), s))
+    return F.when(missing, default).otherwise(F.coalesce(parsed, invalid))
 
 
 def normalize_payload(df: DataFrame, features: Sequence[Feature] = FEATURES,
@@ -116,12 +120,6 @@ def normalize_payload(df: DataFrame, features: Sequence[Feature] = FEATURES,
     return df.select(*cols)
 
 
-def add_default_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Add any absent catalog column as its default literal."""
-    missing = {n: _typed_default(BY_NAME[n]) for n in names if n not in df.columns}
-    return df.withColumns(missing) if missing else df
-
-
 def constraint_violations(features: Sequence[Feature] = FEATURES, present: Sequence[str] | None = None) -> Column:
     """Array of '<feature>:<range|choice>' strings a row violates.
 

@@ -29,10 +29,11 @@ def eav_pivot(eav: DataFrame, keys: Sequence[str] = ("sample_id", "patient_id",
 
     One hash aggregation (partial aggregation map-side, so a hot entity is
     pre-combined before the shuffle).  Entities whose values are all NULL or
-    whose keys are NULL are dropped; an entity with values only for other
-    attributes survives as an all-NULL row.  'First' is defined by ``seq``.
+    whose keys are NULL are dropped, as are rows without an attribute; an
+    entity with values only for other attributes survives as an all-NULL row.
+    'First' is defined by ``seq``.
     """
-    rows = eav.filter(F.col(value).isNotNull())
+    rows = eav.filter(F.col(value).isNotNull() & F.col(attr).isNotNull())
     for k in keys:
         rows = rows.filter(F.col(k).isNotNull())
     aggs = [F.min_by(F.when(F.col(attr) == a, F.col(value)), F.when(F.col(attr) == a, F.col(seq))).alias(a)
@@ -50,6 +51,7 @@ def sample_mutation_flags(mutations: DataFrame, sample: str = "sample_id", gene:
     sym = gene_symbol(F.col(gene))
     return (mutations.select(F.col(sample).cast("string").alias(sample),
                              F.coalesce(sym == target, F.lit(False)).alias("_hit"))
+            .filter(F.col(sample).isNotNull())
             .groupBy(sample).agg(F.max("_hit").alias("_any"))
             .select(sample, _flag(F.col("_any"), mutated_label).alias("egfr_mutation")))
 
@@ -59,7 +61,7 @@ def patient_mutation_flags(mutations: DataFrame, patient: str = "patient_id", ge
     """Per patient, over rows with a parsable gene only; the target wins."""
     sym = gene_symbol(F.col(gene))
     return (mutations.select(F.col(patient).cast("string").alias(patient), sym.alias("_sym"))
-            .filter(F.col("_sym").isNotNull())
+            .filter(F.col("_sym").isNotNull() & F.col(patient).isNotNull())
             .groupBy(patient).agg(F.max(F.col("_sym") == target).alias("_any"))
             .select(patient, _flag(F.col("_any"), mutated_label).alias("egfr_mutation")))
 
@@ -79,18 +81,29 @@ def mutation_flags(mutations: DataFrame, sample: str = "sample_id", patient: str
     agg = (rows.groupingSets([["_s"], ["_p"]], "_s", "_p")
            .agg(F.max(hit).alias("_any"), F.count("_sym").alias("_parsed"),
                 F.grouping_id().alias("_gid")))
-    samples = (agg.filter(F.col("_gid") == 1)  # grouped by sample (patient rolled up)
+    samples = (agg.filter((F.col("_gid") == 1) & F.col("_s").isNotNull())  # grouped by sample (patient rolled up)
                .select(F.col("_s").alias(sample), _flag(F.col("_any"), mutated_label).alias("egfr_mutation")))
-    patients = (agg.filter((F.col("_gid") == 2) & (F.col("_parsed") > 0))
+    patients = (agg.filter((F.col("_gid") == 2) & (F.col("_parsed") > 0) & F.col("_p").isNotNull())
                 .select(F.col("_p").alias(patient), _flag(F.col("_any"), mutated_label).alias("egfr_mutation")))
     return samples, patients
 
 
 def case_document_values(cases: DataFrame, case_id: str = "case_id", follow_ups: str = "follow_ups",
                          diagnoses: str = "diagnoses") -> DataFrame:
-    """E4 + E5 in one per-row projection of the case documents (no explode, no shuffle)."""
-    return cases.select(F.col(case_id).cast("string").alias(case_id), *_follow_up_max_cols(follow_ups),
-                        _prior_flag_col(diagnoses))
+    """E4 + E5: one row per case, from a projection of its documents (no explode).
+
+    Several documents of one case are one case: the largest status of any of
+    them counts, and one 'yes' among their treatments.  Documents without a
+    case id belong to no case.
+    """
+    values = cases.select(F.col(case_id).cast("string").alias(case_id), *_follow_up_max_cols(follow_ups),
+                          _prior_flag_col(diagnoses))
+    return _one_per_case(values, case_id)
+
+
+def _one_per_case(values: DataFrame, case_id: str) -> DataFrame:
+    known = values.filter(F.col(case_id).isNotNull() & (F.col(case_id) != ""))
+    return known.groupBy(case_id).agg(*[F.max(c).alias(c) for c in values.columns if c != case_id])
 
 
 def _follow_up_max_cols(follow_ups: str) -> list[Column]:
@@ -109,13 +122,13 @@ def _prior_flag_col(diagnoses: str) -> Column:
 
 
 def follow_up_maxima(cases: DataFrame, case_id: str = "case_id", follow_ups: str = "follow_ups") -> DataFrame:
-    """Max ECOG and max Karnofsky over each case's follow-up array (no explode)."""
-    return cases.select(F.col(case_id).cast("string").alias(case_id), *_follow_up_max_cols(follow_ups))
+    """Max ECOG and max Karnofsky over each case's follow-up arrays (no explode)."""
+    return _one_per_case(cases.select(F.col(case_id).cast("string").alias(case_id), *_follow_up_max_cols(follow_ups)), case_id)
 
 
 def prior_treatment_flag(cases: DataFrame, case_id: str = "case_id", diagnoses: str = "diagnoses") -> DataFrame:
     """E5: any 'yes' -> 1, else any 'no' -> 0, else NULL."""
-    return cases.select(F.col(case_id).cast("string").alias(case_id), _prior_flag_col(diagnoses))
+    return _one_per_case(cases.select(F.col(case_id).cast("string").alias(case_id), _prior_flag_col(diagnoses)), case_id)
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, left_key: Column | str, right_key: str,
@@ -227,9 +240,12 @@ def readiness_report(df: DataFrame) -> DataFrame:
         keep = (F.col("_gid") == gid) & (F.col(key).isNotNull() if skip_null else F.lit(True))
         entries = F.collect_list(F.when(keep, F.struct(F.coalesce(F.col(key), F.lit("null")).alias("k"), "v")))
         return F.map_from_entries(F.array_sort(entries))
-    return g.agg(F.sum(F.when(F.col("_gid") == 3, F.col("v"))).alias("total_rows_harmonized"),
-                 F.sum(F.when((F.col("_gid") == 5) & F.col("m").isNotNull(), F.col("v"))).alias("rows_mortality_ready"),
-                 F.sum(F.when((F.col("_gid") == 6) & F.col("r").isNotNull(), F.col("v"))).alias("rows_response_ready"),
+
+    def total(keep: Column) -> Column:
+        return F.coalesce(F.sum(F.when(keep, F.col("v"))), F.lit(0))
+    return g.agg(total(F.col("_gid") == 3).alias("total_rows_harmonized"),
+                 total((F.col("_gid") == 5) & F.col("m").isNotNull()).alias("rows_mortality_ready"),
+                 total((F.col("_gid") == 6) & F.col("r").isNotNull()).alias("rows_response_ready"),
                  as_map(3, "s", False).alias("source_counts"),
                  as_map(5, "m", True).alias("mortality_label_counts"),
                  as_map(6, "r", True).alias("response_label_counts"))

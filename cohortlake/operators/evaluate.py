@@ -177,7 +177,7 @@ def roc_curve(df: DataFrame, y: str = "y", p: str = "p", groups: Sequence[str] =
         eb = Window.partitionBy(*groups).orderBy(F.col("_rb").desc())
         edges = edges.select(*groups, "_rb", F.lag("_last").over(eb).alias("_prev_last"),
                              F.lead("_first").over(eb).alias("_next_first"))
-        c = c.join(F.broadcast(edges), [*groups, "_rb"])
+        c = c.join(edges, [*groups, "_rb"])
         ptps = F.coalesce("_ptps", F.col("_prev_last.tps"))
         pfps = F.coalesce("_pfps", F.col("_prev_last.fps"))
         ntps = F.coalesce("_ntps", F.col("_next_first.tps"))

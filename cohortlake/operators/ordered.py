@@ -5,8 +5,9 @@ use a two-level scheme instead:
 
 1. bucket each row by a *monotone* expression of the ordering key;
 2. total each bucket (a hash aggregate, partial per task) and cumulate the
-   bucket totals - that table has at most ``n_buckets`` rows per group, so
-   its window and broadcast are bounded by construction;
+   bucket totals - that table has a bounded number of rows per group, so
+   its window is bounded by construction; the planner broadcasts it when it
+   is small (the number of groups isn't bounded);
 3. window only inside a bucket (``partitionBy(bucket)``) and add the
    bucket's offset.
 
@@ -21,28 +22,37 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROB_BUCKETS = 1 << 16      # buckets for keys in [0, 1]
-GROUPED_PROB_BUCKETS = 1 << 12  # per group when many groups (runs x folds) share one offset table
-DURATION_BUCKETS = 4096     # log-scale buckets for non-negative durations
+PROB_BUCKETS = 1 << 16      # resolution for keys in [0, 1]: n / 64 buckets for each halving of the distance to an end
+GROUPED_PROB_BUCKETS = 1 << 12  # when many groups (runs x folds) share one offset table
+DURATION_BUCKETS = 4096     # resolution for other real keys: n / 64 buckets for each doubling
+OCTAVES = 1100              # more than the halvings from 1 to the least double
 HASH_BUCKET_HEX = 4         # 16**4 = 65,536 hash-prefix buckets for stratified ranks
 
 
 def prob_bucket(key: Column, n: int = PROB_BUCKETS) -> Column:
-    """Monotone bucket for a key in [0, 1]; values outside clip to the end buckets."""
-    clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), key.cast("double")))
-    return F.least(F.lit(n - 1), F.floor(clipped * n)).cast("int")
+    """Monotone bucket for a key in [0, 1]; values outside clip to the ends.
 
-
-def duration_bucket(key: Column, n: int = DURATION_BUCKETS) -> Column:
-    """Monotone log-scale bucket for non-negative values (negatives share bucket 0)."""
-    return F.least(F.lit(n - 1), F.floor(F.log2(F.lit(1.0) + F.greatest(key, F.lit(0.0))) * 64).cast("int"))
+    Buckets get narrower towards both ends (a fixed share of the distance
+    to 0 or to 1), so scores of a rare event, however small, spread as well.
+    """
+    c = F.least(F.lit(1.0), F.greatest(F.lit(0.0), key.cast("double")))
+    per_octave = n // 64
+    low = F.when(c == 0, F.lit(-OCTAVES * per_octave)).otherwise(F.floor(F.log2(c) * per_octave))
+    high = F.when(c == 1, F.lit(OCTAVES * per_octave)).otherwise(F.floor(-F.log2(1.0 - c) * per_octave))
+    return F.when(c <= 0.5, low).otherwise(high).cast("int")
 
 
 def signed_log_bucket(key: Column, n: int = DURATION_BUCKETS) -> Column:
-    """Monotone bucket for any real key: sign(x) * log2(1 + |x|) on a fixed grid, centred at n/2."""
+    """Monotone bucket for any real key: sign and log2 of the magnitude, so all scales spread alike."""
     x = key.cast("double")
-    v = F.signum(x) * F.log2(F.lit(1.0) + F.abs(x)) * 32
-    return F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(v) + n // 2)).cast("int")
+    per_octave = n // 64
+    size = F.floor(F.log2(F.abs(x)) * per_octave) + OCTAVES * per_octave
+    return F.when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("int")
+
+
+def duration_bucket(key: Column, n: int = DURATION_BUCKETS) -> Column:
+    """Monotone bucket for non-negative values (negatives share bucket 0)."""
+    return signed_log_bucket(F.greatest(key, F.lit(0.0)), n)
 
 
 def cumulative_before(df: DataFrame, key: str, measures: Sequence[str], bucket: Column,
@@ -63,7 +73,7 @@ def cumulative_before(df: DataFrame, key: str, measures: Sequence[str], bucket:
                                              for m in measures])
     kord = F.col(key).desc() if descending else F.col(key).asc()
     wk = Window.partitionBy(*groups, "_b").orderBy(kord).rowsBetween(Window.unboundedPreceding, -1)
-    out = t.join(F.broadcast(offsets), [*groups, "_b"])
+    out = t.join(offsets, [*groups, "_b"])
     return out.select(*[c for c in t.columns if c != "_b"],
                       *[(F.col(f"_off_{m}") + F.coalesce(F.sum(m).over(wk), F.lit(0))).alias(f"{m}_before")
                         for m in measures])
@@ -93,7 +103,7 @@ def stratified_rank(df: DataFrame, strata: Sequence[str], id_col: str, seed: str
     wb = Window.partitionBy(*strata).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*strata, "_hb", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_off"))
     wr = Window.partitionBy(*strata, "_hb").orderBy("_h", id_col)
-    return (t.join(F.broadcast(offsets), [*strata, "_hb"])
+    return (t.join(offsets, [*strata, "_hb"])
             .withColumn("_rank", F.col("_off") + F.row_number().over(wr))
             .drop("_h", "_hb", "_off"))
 

@@ -47,7 +47,7 @@ def stratified_take(df: DataFrame, label: str, id_col: str, total_fn, seed=DEFAU
     """All rows plus ``_taken`` (per-class rank <= quota) and ``_rank``."""
     quotas = class_quotas(df, label, total_fn, by)  # one row per group x class
     ranked = stratified_rank(df, [*by, label], id_col, seed)
-    return (ranked.join(F.broadcast(quotas), [*by, label])
+    return (ranked.join(quotas, [*by, label])
             .withColumn("_taken", F.col("_rank") <= F.col("_quota"))
             .drop("_quota"))
 

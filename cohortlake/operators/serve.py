@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import FEATURE_ORDER
-from ..functions.text import normalize_payload
+from ..functions.text import coerce_feature_types, normalize_payload
 
 # --- fixed values -------------------------------------------------------------
 ALGORITHMS = ("lightgbm", "xgboost", "tabnet")
@@ -183,7 +183,7 @@ def score_batch(batch: DataFrame, response_model, mortality_model, *,
     """
     keep = [k for k in keep if k in batch.columns]
     d = drug_name(batch)
-    typed = normalize_payload(batch.withColumn("_drug", d), on_invalid=on_invalid, keep=[*keep, "_drug"])
+    typed = coerce_feature_types(normalize_payload(batch.withColumn("_drug", d), on_invalid=on_invalid, keep=[*keep, "_drug"]))
     if response_model is None or mortality_model is None:  # J11 availability gate
         errs = load_errors or {}
         msg = (f"Model unavailable. Response load: {'; '.join(list(errs.get('response', []))[:2]) or 'none'}. "

@@ -16,14 +16,7 @@ from ..functions.catalog import REGISTRY_COLUMNS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one driver table.
-
-    Each test file is a single Parquet row group, which Spark cannot split,
-    so a scan yields one task.  When the scan has fewer partitions than the
-    cluster has cores, spread it round-robin first (the row-wise recodes
-    downstream are CPU-bound); on large multi-file inputs the scan already
-    has enough splits and this is a no-op.
-    """
+    """Scan one driver table; its plan is made once per session."""
     try:
         owner = spark.sparkContext.applicationId  # a restarted session never reuses a stale plan
     except Exception:  # noqa: BLE001 - remote session
@@ -32,12 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if key in _SCANS:
         return _SCANS[key]
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): keep the scan as is
-        pass
     _SCANS[key] = df
     return df
 

@@ -303,17 +303,6 @@ def q_study_canonical(spark, sf):
 
 # ---------------------------------------------------------------- union and reports
 
-def _all_sql(reg_cte: str) -> str:
-    return (reg_cte + ", c as (" + X.duck("case_raw") + "), f as (" + X.duck("follow_up_raw") + "), m as ("
-            + X.duck("mutation_raw") + "), e as (" + X.duck("eav_raw") + "), n as (" + O.nested_lookup_cte("f")
-            + "), pf as (" + O.patient_flags_cte("m", "concat('SUB', substr(patient_id, 2))") + "), p as ("
-            + O.eav_pivot_cte("e") + "), sfl as (" + O.sample_flags_cte("m", "concat('S', cast(sample_key as varchar))")
-            + "), h0 as (select concat('SEER:', cast(row_id as varchar)) as row_id, 'SEER' as source, "
-            "'SEER_LUNG_EXPORTNEW' as source_study, cast(null as varchar) as case_id, cast(null as varchar) as sample_id, "
-            + O.registry_row() + " from r union all " + O.case_canonical() + " union all " + O.study_canonical()
-            + "), h as (select * from h0 where " + _USEFUL_OR + ") ")
-
-
 _ALL = (REG + ", c as (" + X.duck("case_raw") + "), f as (" + X.duck("follow_up_raw") + "), m as ("
         + X.duck("mutation_raw") + "), e as (" + X.duck("eav_raw") + "), n as (" + O.nested_lookup_cte("f")
         + "), pf as (" + O.patient_flags_cte("m", "concat('SUB', substr(patient_id, 2))") + "), p as ("
@@ -522,7 +511,7 @@ def q_prediction_sets(spark, sf):
        "ch as (select *, sum(hazard) over (order by t) as cumulative_hazard from hz) "
        "select t as duration, cast(at_risk as bigint) as at_risk, d as events, c - d as censored, "
        "round(hazard, 9) as hazard, round(cumulative_hazard, 9) as cumulative_hazard, "
-       "round(exp(-cumulative_hazard), 9) as survival from ch where (select count(*) from u) > 100")
+       "round(exp(-cumulative_hazard), 9) as survival from ch")
 def q_event_time(spark, sf):
     """duration = death days, else follow-up days; event = the D2 label."""
     c = X.case_raw(spark, sf)
@@ -1040,6 +1029,67 @@ def q_report_files(spark, sf):
     return spark.read.schema(schema).option("header", "true").csv(out["feature_coverage"])
 
 
+_READINESS_SQL = ("select 'total_rows_harmonized' as part, '' as value, count(*) as n from h union all select 'rows_mortality_ready', '', count(mortality_1yr) from h "
+                  "union all select 'rows_response_ready', '', count(response) from h union all select 'source', source, count(*) from h group by source "
+                  "union all select 'mortality_1yr', cast(mortality_1yr as varchar), count(*) from h where mortality_1yr is not null group by mortality_1yr "
+                  "union all select 'response', cast(response as varchar), count(*) from h where response is not null group by response")
+
+
+def _readiness_rows(spark, path):
+    """A readiness document as rows (part, value, n)."""
+    schema = ("total_rows_harmonized bigint, rows_mortality_ready bigint, rows_response_ready bigint, source_counts map<string,bigint>, "
+              "mortality_label_counts map<string,bigint>, response_label_counts map<string,bigint>")
+    doc = spark.read.schema(schema).json(path)
+    totals = F.array(*[F.struct(F.lit(c).alias("part"), F.lit("").alias("value"), F.col(c).alias("n"))
+                       for c in ("total_rows_harmonized", "rows_mortality_ready", "rows_response_ready")])
+
+    def entries(part, column):
+        return F.transform(F.map_entries(column), lambda e: F.struct(F.lit(part).alias("part"), e["key"].alias("value"), e["value"].alias("n")))
+
+    maps = [entries(*x) for x in (("source", "source_counts"), ("mortality_1yr", "mortality_label_counts"), ("response", "response_label_counts"))]
+    return doc.select(F.explode(F.concat(totals, *maps)).alias("r")).select("r.*")
+
+
+@query("readiness_file", _ALL + _READINESS_SQL)
+def q_readiness_file(spark, sf):
+    """A11 + E10: the readiness document written as JSON and read back."""
+    h = harmonized(spark, sf)
+    out = WR.write_reports(E.coverage(h), E.readiness_report(h), scratch_path(spark, "reports"))
+    return _readiness_rows(spark, out["readiness"])
+
+
+_ALL_NA = _REG_NA + _ALL[len(REG):]  # the registry as a CSV reader sees it
+
+
+@query("harmonization_run", _ALL_NA + "select 'coverage' as report, \"column\" as part, '' as value, non_null as n from (" + _coverage_sql("h") + ") cov union all "
+       "select 'readiness', part, value, n from (" + _READINESS_SQL + ") rdy")
+def q_harmonization_run(spark, sf):
+    """End to end: all source shapes written as files, harmonized, written, reported; both reports read back."""
+    base = scratch_path(spark, "harmonization")
+    X.registry_export(spark, sf).write.option("header", "true").csv(f"{base}/in/seer/exportnew.csv")
+    X.case_raw(spark, sf).withColumnRenamed("ecog_all_null", "ecog_worst") \
+        .write.option("header", "true").csv(f"{base}/in/gdc/cases.csv")
+    X.nested_cases(spark, sf).write.json(f"{base}/in/gdc/cases.json")
+    m = X.mutation_raw(spark, sf).select(F.concat(F.lit("S"), F.col("sample_key").cast("string")).alias("sampleId"),
+                                         F.concat(F.lit("SUB"), F.substring("patient_id", 2, 64)).alias("patientId"),
+                                         "gene")
+    m.write.option("header", "true").csv(f"{base}/in/cbio/panelA/mutations_panel_impact_mutations.csv")
+    e = X.eav_raw(spark, sf)
+    (e.select(F.col("seq").cast("string").alias("seq"), F.col("sample_id").alias("sampleId"),
+              F.col("patient_id").alias("patientId"), F.col("study_id").alias("studyId"),
+              F.col("attr").alias("clinicalAttributeId"), "value", F.col("study_id").alias("dir"))
+     .write.partitionBy("dir").option("header", "true").csv(f"{base}/in/cbio/studies"))
+    out = H.run_harmonization(
+        spark, registry_paths=[f"{base}/in/missing.csv", f"{base}/in/seer/exportnew.csv"],
+        case_table=f"{base}/in/gdc/cases.csv", case_documents=f"{base}/in/gdc/cases.json",
+        study_base=f"{base}/in/cbio/studies", study_pattern="dir=*/*.csv", panel_base=f"{base}/in/cbio",
+        out_dir=f"{base}/out", documents_multi_line=False)
+    schema = "column string, non_null bigint, coverage_pct double"
+    cov = spark.read.schema(schema).option("header", "true").csv(out["reports"]["feature_coverage"])
+    cov = cov.select(F.lit("coverage").alias("report"), F.col("column").alias("part"), F.lit("").alias("value"), F.col("non_null").alias("n"))
+    return cov.unionByName(_readiness_rows(spark, out["reports"]["readiness"]).select(F.lit("readiness").alias("report"), "part", "value", "n"))
+
+
 _RUN_REPORT_SCHEMA = TT.StructType([
     TT.StructField("task", TT.StringType()), TT.StructField("algorithm", TT.StringType()),
     TT.StructField("auc", TT.DoubleType()), TT.StructField("brier", TT.DoubleType()),
@@ -1060,6 +1110,24 @@ def q_run_report_scan(spark, sf):
     return got.select("task", "algorithm", _r("auc"), _r("brier"), "threshold", "status")
 
 
+_NESTED_SQL = (_FOLDS_SQL + ", nr as (select task, algorithm, round(auc, 9) as auc, round(brier, 9) as brier, case when algorithm = 'xgboost' then null "
+               "when algorithm = 'tabnet' then 1.5 else threshold end as threshold from runs) ")
+
+
+@query("nested_report_selection", _NESTED_SQL + "select task, algorithm, auc, brier, case when threshold between 0.0 and 1.0 then threshold else 0.5 end as threshold, "
+       "cast(row_number() over (partition by task order by auc desc nulls last, brier asc nulls last, algorithm desc) as integer) as rank from nr")
+def q_nested_report_selection(spark, sf):
+    """A7 + J2 + J4: one nested report document per run, one of them cut off, some without or with a bad threshold; scanned, ranked, thresholds checked."""
+    path = scratch_path(spark, "nested-reports")
+    r = _runs(spark, sf)
+    t = F.when(F.col("algorithm") == "xgboost", F.lit(None)).when(F.col("algorithm") == "tabnet", F.lit(1.5)).otherwise(F.col("threshold"))
+    doc = r.select("task", "algorithm", "notes", F.struct("auc", "brier").alias("outer_mean"), F.struct(t.alias("threshold")).alias("best_threshold"))
+    doc.write.json(path)
+    r.limit(1).select(F.lit('{"task": "mortality", "outer_mean": {').alias("value")).write.mode("append").text(path)
+    got = J.rank_runs(RD.read_run_reports(spark, path, multi_line=False))
+    return got.select("task", "algorithm", _r("auc"), _r("brier"), J.decision_threshold(F.col("threshold")).alias("threshold"), "rank")
+
+
 _UPLOAD_SCHEMA = TT.StructType([TT.StructField("row_id", TT.StringType()), TT.StructField("age", TT.DoubleType()),
                                 TT.StructField("sex", TT.StringType()), TT.StructField("tumor_size_mm", TT.DoubleType())])
 
@@ -1080,9 +1148,8 @@ def q_upload_scan(spark, sf):
             .otherwise(F.concat_ws(",", "row_id", F.coalesce(F.col("age").cast("string"), F.lit("")),
                                    F.coalesce("sex", F.lit("")),
                                    F.coalesce(F.col("tumor_size_mm").cast("string"), F.lit("")))))
-    header = c.limit(1).select(F.lit("row_id,age,sex,tumor_size_mm").alias("value"), F.lit(0).alias("o"))
-    body = c.select(line.alias("value"), F.lit(1).alias("o"))
-    header.unionByName(body).orderBy("o").select("value").coalesce(1).write.text(path)
+    # whole lines under one column whose name is the header line: every part file gets the header
+    c.select(line.alias("row_id,age,sex,tumor_size_mm")).write.option("header", "true").option("sep", "\u0001").option("quote", "").csv(path)
     got = RD.read_upload(spark, path, _UPLOAD_SCHEMA)
     bad = F.col("_corrupt_record").isNotNull()
     return got.select("row_id", bad.alias("corrupt"), F.when(~bad, F.col("age")).alias("age"),
@@ -1092,6 +1159,7 @@ def q_upload_scan(spark, sf):
 # ---------------------------------------------------------------- feature preparation (G1-G3) on labeled documents
 
 from ..operators import prep as P  # noqa: E402
+from ..operators.ordered import exact_quantiles, signed_log_bucket  # noqa: E402
 
 _DOCS_NULLED = ("with d0 as (" + X.DOC_LABELS_SQL + "), d as (select doc_id, quality, toxic, "
                 "case when doc_id % 7 = 0 then null else n_chars end as n_chars, "
@@ -1152,31 +1220,89 @@ def _response_training(spark, sf):
     return L.labeled(harmonized(spark, sf), "response")
 
 
-@query("nested_cv_lightgbm")
+# Facts of a run that SQL can check although it can't fit models: which rows a fold trains on and scores, and in which range.
+def _labeled(label: str) -> str:
+    return ("with hu as (" + ORACLE["harmonized_union"] + f"), lab as (select row_id, cast({label} as integer) as y from hu where {label} is not null), "
+            "f as (select row_id, y, cast((row_number() over (partition by y order by md5(concat('42:', row_id)), row_id) - 1) % 3 as integer) as fold from lab) ")
+
+
+_FOLD_FACTS = ("select fold, count(*) as n_rows, cast(sum(y) as bigint) as n_positive, count(distinct row_id) as n_scored, cast(0 as bigint) as n_outside, "
+               "cast(0 as bigint) as n_other_fold from f group by fold")
+
+#: Boosting rounds and grid of the registered runs: the families' own (120 rounds, 250 and 400 in the grid) take hours on one machine.
+QUERY_TREES = 8
+QUERY_GRID = {"maxDepth": (2, 3), "stepSize": (0.05, 0.1), "maxIter": (3, 5)}
+
+
+def _fold_facts(oof, folds):
+    """Per fold: rows, positives, distinct ids scored, scores outside [0, 1], rows scored in another fold than dealt to."""
+    j = oof.join(folds.select("row_id", F.col("fold").alias("_dealt")), "row_id", "left")
+    return j.groupBy("fold").agg(F.count("*").alias("n_rows"), F.sum("y").cast("bigint").alias("n_positive"), F.countDistinct("row_id").alias("n_scored"),
+                                 F.count_if(~F.coalesce(F.col("p").between(0.0, 1.0), F.lit(False))).alias("n_outside"),
+                                 F.count_if(~F.coalesce(F.col("_dealt") == F.col("fold"), F.lit(False))).alias("n_other_fold"))
+
+
+def _nested_cv_facts(spark, sf, task, algorithm, **kw):
+    train = _mortality_training(spark, sf) if task == "mortality" else _response_training(spark, sf)
+    cfg = TR.config(task, algorithm, trees=QUERY_TREES, grid=QUERY_GRID, **kw)
+    r = MD.nested_cv(train, cfg)
+    folds = S.stratified_folds(train.withColumn("label", F.col(cfg.label).cast("double")), "label", "row_id", S.OUTER_FOLDS, cfg.seed)
+    return _fold_facts(r["oof"], folds)
+
+
+@query("nested_cv_lightgbm", _labeled("mortality_1yr") + _FOLD_FACTS)
 def q_nested_cv_lightgbm(spark, sf):
-    """H1 + H5 + F7: out-of-fold predictions of the boosted family A (balanced weights), 3 outer folds."""
-    r = MD.nested_cv(_mortality_training(spark, sf), TR.config("mortality", "lightgbm", use_grid=False))
-    return r["oof"].select("row_id", "fold", "y", _r("p"))
+    """H1 + H5 + F6 + F7: nested CV of boosted family A (balanced weights, oversampled folds), 3 outer folds; facts per fold."""
+    return _nested_cv_facts(spark, sf, "mortality", "lightgbm", use_grid=False)
 
 
-@query("final_fit_xgboost")
-def q_final_fit_xgboost(spark, sf):
-    """H2 + H7 + F4: family B fitted on 80 %, holdout predictions."""
-    ff = MD.final_fit(_mortality_training(spark, sf), TR.config("mortality", "xgboost"))
-    return ff["holdout"].select("row_id", "y", _r("p"))
+@query("nested_cv_grid", _labeled("response") + _FOLD_FACTS)
+def q_nested_cv_grid(spark, sf):
+    """H2 + H4 + H5: grid search with oversampling inside each inner fold, in each outer fold; facts per fold."""
+    return _nested_cv_facts(spark, sf, "response", "xgboost")
 
 
-@query("nested_cv_tabnet")
+@query("nested_cv_tabnet", _labeled("response") + _FOLD_FACTS)
 def q_nested_cv_tabnet(spark, sf):
-    """H3 + H5: neural family fold metrics on the response task (GDC cases)."""
-    r = MD.nested_cv(_response_training(spark, sf), TR.config("response", "tabnet"))
-    return r["fold_metrics"].select("fold", *[_r(m) for m in V.METRIC_NAMES + ["auc", "brier"]])
+    """H3 + H5: neural family on the response task; facts per fold."""
+    return _nested_cv_facts(spark, sf, "response", "tabnet")
+
+
+@query("final_fit_xgboost", _labeled("mortality_1yr") + ", qt as (" + _quota_sql("lab", "y", "ceil(0.2 * (select count(*) from lab))")
+       + "), rk as (select row_id, y, " + _rank_sql("lab", "y", "42") + " as rk from lab) "
+       "select count(*) as n_rows, cast(sum(rk.y) as bigint) as n_positive, cast(0 as bigint) as n_outside, cast(0.0 as double) as max_change "
+       "from rk join qt on rk.y = qt.y where rk.rk <= qt.quota")
+def q_final_fit_xgboost(spark, sf):
+    """H2 + H7 + F4 + A12: family B fitted on 80 %, saved and loaded; holdout rows, score range and largest change of a score by the round trip."""
+    train = _mortality_training(spark, sf)
+    ff = MD.final_fit(train, TR.config("mortality", "xgboost", trees=QUERY_TREES))
+    again = MD.load_model(MD.save_model(ff["model"], scratch_path(spark, "final-fit")), strict=True)
+    rescored = MD.score(again, train, ["row_id"]).withColumnRenamed("p", "p2")
+    j = ff["holdout"].join(rescored, "row_id")
+    return j.agg(F.count("*").alias("n_rows"), F.sum("y").cast("bigint").alias("n_positive"), F.count_if(~F.col("p").between(0.0, 1.0)).alias("n_outside"),
+                 F.round(F.max(F.abs(F.col("p") - F.col("p2"))), 9).alias("max_change"))
 
 
-@query("model_sweep")
+@query("encoded_width", _labeled("mortality_1yr") + "select cast(0 as bigint) as n_wrong_width, count(*) as n_rows from lab")
+def q_encoded_width(spark, sf):
+    """Every encoded vector is as wide as the numerics and the training vocabularies together."""
+    train = _mortality_training(spark, sf)
+    cfg = TR.config("mortality", "lightgbm")
+    width = F.lit(len(cfg.numeric)) + sum(train.select(F.countDistinct(F.coalesce(F.col(c).cast("string"), F.lit(P.UNKNOWN)))).scalar() for c in cfg.categorical)
+    model = MD.Pipeline(stages=P.preprocessing_stages(cfg.numeric, cfg.categorical)).fit(train)
+    from pyspark.ml.functions import vector_to_array
+    enc = model.transform(train).select((F.size(vector_to_array("features")) != width).alias("wrong"))
+    return enc.agg(F.count_if("wrong").alias("n_wrong_width"), F.count("*").alias("n_rows"))
+
+
+@query("model_sweep", "select t.task, a.algorithm, case when a.algorithm = 'catboost' then 'failed' else 'ok' end as status, true as plausible "
+       "from (values ('response'), ('mortality')) t(task), (values ('lightgbm'), ('xgboost'), ('tabnet'), ('catboost')) a(algorithm)")
 def q_model_sweep(spark, sf):
-    """H6: sweep tasks x algorithms; an unknown family is captured as a failed row, the rest still run."""
-    return TR.sweep({"response": _response_training(spark, sf)}, ["tabnet", "catboost"])
+    """H6: every task x family; an unknown family is captured as a failed row with its whole error, the rest still run."""
+    got = TR.sweep({"response": _response_training(spark, sf), "mortality": _mortality_training(spark, sf)}, [*MD.ALGORITHMS, "catboost"],
+                   trees=QUERY_TREES, use_grid=False)
+    fine = F.col("auc").between(0.0, 1.0) & F.col("brier").between(0.0, 1.0) & F.col("threshold").between(0.0, 1.0) & F.col("error").isNull()
+    return got.select("task", "algorithm", "status", F.when(F.col("status") == "ok", fine).otherwise(F.col("error").contains("algorithm must be")).alias("plausible"))
 
 
 @query("fitted_model_scoring")
@@ -1206,7 +1332,7 @@ def q_sampled_shapley(spark, sf):
     ff = MD.final_fit(train, cfg)
     feats = list(cfg.numeric) + list(cfg.categorical)
     sample = S.attribution_sample(ff["holdout"].select("row_id").join(train, "row_id"), "row_id")
-    med = train.select(*[F.percentile(F.col(c), F.lit(0.5)).alias(c) for c in cfg.numeric]).first().asDict()
+    med = {c: exact_quantiles(train, c, [0.5], signed_log_bucket)[0] for c in cfg.numeric}
     modes = {c: "Unknown" for c in cfg.categorical}
     scorer = MD.PipelineScorer(ff["model"])
     res = A.sampled_shapley(sample, {**med, **modes}, feats, lambda d: scorer.transform(d, "_score"), n_perm=8)
@@ -1249,12 +1375,37 @@ def q_nearest_neighbours(spark, sf):
     return nn.select("vec_id", "nn_id", F.round("dist", 6).alias("dist"), "nn_rank")
 
 
-@query("smote_oversampling", "with e as (select case when label = 0 then 1 else 0 end as y, count(*) as n "
-       "from embeddings group by 1) select y, false as synthetic, n from e union all select y, true, "
-       "(select max(n) from e) - n from e where n < (select max(n) from e)")
+_SMOTE_SQL = ("with e as (select vec_id, cast(embedding as double[]) as v, case when label = 0 then 1 else 0 end as y from embeddings), "
+              "c as (select y, count(*) as n from e group by y), mn as (select y, n from c order by n, y limit 1), need as (select (select max(n) from c) - n as k, n, y from mn), "
+              "m as (select e.* from e join mn on e.y = mn.y), "
+              "r as (select *, row_number() over (order by md5(concat('42:', cast(vec_id as varchar))), vec_id) as rk from m), "
+              "nn as (select a.vec_id, b.vec_id as nn_id, b.v as nv, row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) as k from m a join m b on a.vec_id <> b.vec_id), "
+              "j as (select unnest(range(0, (select cast(k as bigint) from need))) as j), "
+              "s as (select j, r.vec_id, r.v, md5(concat('42:smote:', cast(j as varchar))) as h from j join r on r.rk = j % (select n from need) + 1), "
+              "p as (select *, cast(concat('0x', substr(h, 1, 8)) as bigint) % least(5, (select n from need) - 1) + 1 as pick, "
+              "cast(cast(concat('0x', substr(h, 9, 8)) as bigint) as double) / 4294967296.0 as u from s) "
+              "select -(p.j + 1) as vec_id, round(list_sum(list_transform(list_zip(p.v, nn.nv), lambda z: z[1] + p.u * (z[2] - z[1]))), 6) as total, "
+              "round(p.v[1] + p.u * (nn.nv[1] - p.v[1]), 6) as first from p join nn on nn.vec_id = p.vec_id and nn.k = p.pick")
+
+
+@query("smote_oversampling", _SMOTE_SQL)
 def q_smote(spark, sf):
-    """class 0 against the rest; minority rows synthesized until the classes balance (counts per class and origin)."""
+    """class 0 against the rest, minority rows synthesized until the classes balance; each synthetic vector's id, sum and first value."""
     e = X.table(spark, sf, "embeddings").select("vec_id", "embedding",
                                                  F.when(F.col("label") == 0, 1).otherwise(0).alias("y"))
-    out = OV.smote(e, "vec_id", "embedding", "y")
-    return out.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+    out = OV.smote(e, "vec_id", "embedding", "y").filter("synthetic")
+    return out.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
+
+
+@query("nearest_neighbours_small_group", "with e as materialized (select vec_id, cast(embedding as double[]) as v, least(row_number() over (order by vec_id) // 4, 3) as g from embeddings), "
+       "p as (select a.vec_id, b.vec_id as nn_id, list_distance(a.v, b.v) as dist from e a join e b on a.g = b.g and a.vec_id <> b.vec_id and a.g < 3) "
+       "select vec_id, nn_id, round(dist, 6) as dist, cast(row_number() over (partition by vec_id order by dist, nn_id) as integer) as nn_rank from p "
+       "qualify row_number() over (partition by vec_id order by dist, nn_id) <= 5")
+def q_small_groups(spark, sf):
+    """F6 neighbour step in groups smaller than k + 1 rows (3 and 4 rows, beside one with all the others): each row gets all that its group has."""
+    e = X.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    firsts = [r.vec_id for r in e.orderBy("vec_id").limit(11).collect()]  # the members of the small groups
+    place = F.array_position(F.array(*[F.lit(v) for v in firsts]), F.col("vec_id"))
+    g = F.when(place > 0, F.floor(place / 4)).otherwise(F.lit(3))
+    nn = OV.knn_exact(e.withColumn("g", g), "vec_id", "embedding", k=5, by="g").withColumnRenamed("vec_id", "id")
+    return nn.filter(F.col("id").isin(*firsts)).select(F.col("id").alias("vec_id"), "nn_id", F.round("dist", 6).alias("dist"), "nn_rank")

@@ -38,28 +38,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     return spark
 
 
-# Settings for a large cluster (e.g. 1,000 executors over ~100 TB of input).  AQE coalesces the
-# generous shuffle partition count down to ~256 MB per task and splits skewed join partitions; scans
-# are cut into 256 MB splits; the broadcast threshold only applies to plan-estimated small sides.
-CLUSTER_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.shuffle.partitions": "8000",
-    "spark.sql.files.maxPartitionBytes": "256m",
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
-    "spark.sql.execution.sortBeforeRepartition": "true",
-}
-# Static JVM option for spark-submit: --conf spark.executor.extraJavaOptions=-XX:-DontCompileHugeMethods
-
-
-def apply_cluster_conf(spark: SparkSession) -> None:
-    """Runtime SQL settings for large inputs (session-level; static settings belong to spark-submit)."""
-    for k, v in CLUSTER_CONF.items():
-        spark.conf.set(k, v)
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only for a local master that has none."""
     try:

@@ -53,19 +53,17 @@ def test_exact_quantiles_match_numpy(spark):
     assert O.exact_quantiles(df, "p", qs) == pytest.approx(np.percentile(x, [q * 100 for q in qs]).tolist(), abs=1e-12)
 
 
-def test_grid_search_path(spark, monkeypatch):
-    """CrossValidator over the pipeline with an explicit inner fold column (tiny grid for speed)."""
-    from pyspark.ml.tuning import ParamGridBuilder
-
-    def small_grid(algorithm, est):
-        return ParamGridBuilder().addGrid(est.maxDepth, [2, 3]).addGrid(est.maxIter, [3]).build()
-    monkeypatch.setattr(M, "param_grid", small_grid)
+def test_grid_search_path(spark):
+    """A tiny grid over explicit inner folds, oversampled inside each; the choice is noted."""
     rng = np.random.default_rng(0)
     rows = [(i, float(rng.random() * 10), "a" if i % 3 else "b", int(rng.random() < 0.4)) for i in range(300)]
     df = spark.createDataFrame(rows, "row_id long, x double, c string, y int")
-    cfg = M.RunConfig(task="t", algorithm="xgboost", label="y", numeric=["x"], categorical=["c"], use_grid=True)
+    cfg = M.RunConfig(task="t", algorithm="xgboost", label="y", numeric=["x"], categorical=["c"], use_grid=True,
+                      grid={"maxDepth": (2, 3), "maxIter": (3,)}, trees=3)
     res = M.nested_cv(df, cfg)
     assert res["oof"].count() == 300
+    assert sum(n.startswith("grid=maxDepth:") for n in res["notes"]) == 3
+    assert "gridsearch=true" in res["notes"] and "oversampling=true" in res["notes"]
     assert {r.fold for r in res["fold_metrics"].collect()} == {0, 1, 2}
 
 
@@ -85,17 +83,12 @@ def test_knn_exact_heavy_duplicates(spark):
     assert all([j for _, j in sorted(got[i])] == want[i] for i in range(len(pts)))
 
 
-def test_final_fit_best_params(spark, monkeypatch):
-    from pyspark.ml.tuning import ParamGridBuilder
-
-    def small_grid(algorithm, est):
-        return ParamGridBuilder().addGrid(est.maxDepth, [2, 3]).addGrid(est.maxIter, [3]).build()
-    monkeypatch.setattr(M, "param_grid", small_grid)
+def test_final_fit_best_params(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(rng.random() * 10), int(rng.random() < 0.4)) for i in range(300)]
     df = spark.createDataFrame(rows, "row_id long, x double, y int")
     cfg = M.RunConfig(task="t", algorithm="xgboost", label="y", numeric=["x"], categorical=[],
-                      final_params="best", oversample=False)
+                      final_params="best", oversample=False, grid={"maxDepth": (2, 3), "maxIter": (3,)}, trees=3)
     ff = M.final_fit(df, cfg)
     assert ff["holdout"].count() == 60
     assert ff["best_threshold"].first().threshold is not None
