@@ -154,7 +154,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 last = block, ghost, doc_id, text, own
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(arrow), arrow)], schema=arrow)
 
-    dealt = in_order(docs, id_col, text_col).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "ghost", "ord", "h")
+    dealt = in_order(docs, id_col, text_col).repartitionById(2 * shuffle_partitions(spark), F.col("block")).sortWithinPartitions("block", "ghost", "ord", "h")
     return dealt.select("block", "ghost", "doc_id", "text").mapInArrow(run, _SCHEMA)
 
 
