@@ -87,17 +87,17 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                     containment: float = CONTAINMENT, shingle: int = SHINGLE) -> DataFrame:
     """Pairs (item_id, doc_id, n_shingles, n_shared, containment) with at least the given containment."""
     item_words = cut(with_words(items, item_col, item_text_col, "item_id").withColumn("size", F.least(F.size("words"), F.lit(shingle))))
-    sizes = sorted(r.size_ for r in item_words.select(F.col("size").alias("size_")).distinct().collect())  # at most `shingle` values
+    sizes = sorted(r.size_ for r in item_words.select(F.col("size").alias("size_")).distinct().collect()) or [shingle]  # at most `shingle` values
     doc_words = with_words(docs, id_col, text_col, "doc_id")
     sketches = cut(item_sketches(item_words, sizes, containment))
     n_sketch = sketches.count()
-    held = doc_words.select("doc_id", F.explode(F.flatten(F.array(*[hashes(s) for s in sizes])) if sizes else F.array(F.lit(None).cast("long"))).alias("h"))
+    held = doc_words.select("doc_id", F.explode(F.flatten(F.array(*[hashes(s) for s in sizes]))).alias("h"))
     hits = held.join(_sent(sketches, n_sketch), "h").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.first("need").alias("need"))
     candidates = cut(hits.where("n >= need").groupBy("doc_id").agg(F.collect_list("item_id").alias("item_ids")))
     held_by = doc_words.join(_sent(candidates, candidates.count()), "doc_id")
-    pairs = held_by.withColumn("all", F.array(*[shingles(s) for s in sizes]) if sizes else F.array(F.array(F.lit("")))).select("doc_id", "all", F.explode("item_ids").alias("item_id"))
+    pairs = held_by.withColumn("all", F.array(*[shingles(s) for s in sizes])).select("doc_id", "all", F.explode("item_ids").alias("item_id"))
     known = item_words.select("item_id", "size", _by_size(sizes, shingles).alias("own")).where("own is not null")
-    place = F.array_position(F.array(*[F.lit(s) for s in sizes]) if sizes else F.array(F.lit(0)), F.col("size"))
+    place = F.array_position(F.array(*[F.lit(s) for s in sizes]), F.col("size"))
     judged = pairs.join(_sent(known, n_sketch), "item_id").select(
         "item_id", "doc_id", F.size("own").cast("long").alias("n_shingles"),
         F.size(F.array_intersect("own", F.element_at("all", place.cast("int")))).cast("long").alias("n_shared"))

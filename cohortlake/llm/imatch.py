@@ -115,7 +115,7 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
     bounds = rows.agg(F.percentile_approx("doc_id", [i / n_blocks for i in range(1, n_blocks)], 10_000).alias("b")).first().b or []
-    splits = [-math.inf, *sorted({float(b) for b in bounds}), math.inf]
+    splits = [-math.inf, *sorted({float(b) for b in bounds} or {0.0}), math.inf]
     blocked = Bucketizer(splits=splits, inputCol="place", outputCol="at").transform(rows.withColumn("place", F.col("ord").cast("double"))) \
         .withColumn("block", F.col("at").cast("int")).drop("place", "at")
     firsts = sorted((r.block, r.first.ord, r.first.h) for r in blocked.groupBy("block").agg(F.min(F.struct("ord", "h")).alias("first")).collect())
