@@ -47,20 +47,34 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(query), "&"))).otherwise(F.lit("")))
 
 
-def headers(block: Column) -> Column:
-    """Header lines to a map with lower-case names; of a repeated name the first counts, lines without a colon don't."""
+def header_pairs(block: Column) -> Column:
+    """Header lines as (name in lower case, value); lines without a colon don't count."""
     lines = F.filter(F.split(F.coalesce(block, F.lit("")), r"\r?\n"), lambda x: F.instr(x, ":") > 1)
-    pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
-    first = F.filter(pairs, lambda p, i: F.coalesce(F.array_position(F.transform(pairs, lambda q: q["name"]), p["name"]), F.lit(0)) == i + 1)
-    return F.map_from_entries(first)
+    return F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
+
+
+def with_headers(df: DataFrame, blocks: dict[str, str]) -> DataFrame:
+    """Maps of header blocks (new column: block column); of a repeated name the first counts.
+
+    Pairs and names are columns of their own, so each is made once for a row.
+    """
+    df = df.withColumns({f"__pairs_{k}": header_pairs(F.col(c)) for k, c in blocks.items()})
+    df = df.withColumns({f"__names_{k}": F.transform(f"__pairs_{k}", lambda p: p["name"]) for k in blocks})
+
+    def first(k: str) -> Column:
+        names = F.col(f"__names_{k}")
+        return F.map_from_entries(F.filter(f"__pairs_{k}", lambda p, i: F.array_position(names, p["name"]) == i + 1))
+
+    return df.withColumns({k: first(k) for k in blocks}).drop(*[f"__{x}_{k}" for x in ("pairs", "names") for k in blocks])
 
 
 def parse_records(raw: DataFrame, id_col: str = "record_id", head_col: str = "head", http_col: str = "http", body_col: str = "body") -> DataFrame:
     """WARC header block, HTTP header block and body of each record to the columns that are resolved here."""
-    head, http = F.col("__head"), F.col("__http")
-    return raw.select(F.col(id_col).cast("long").alias("record_id"), headers(F.col(head_col)).alias("__head"), headers(F.col(http_col)).alias("__http"), F.col(body_col).cast("string").alias("__body")) \
+    blocks = raw.select(F.col(id_col).cast("long").alias("record_id"), F.col(head_col).alias("__b0"), F.col(http_col).alias("__b1"), F.octet_length(F.col(body_col).cast("string")).cast("long").alias("length"))
+    head = F.col("__head")
+    return with_headers(blocks, {"__head": "__b0", "headers": "__b1"}) \
         .select("record_id", head["warc-type"].alias("type"), head["warc-target-uri"].alias("url"), F.try_to_timestamp(head["warc-date"]).alias("date"),
-                head["warc-payload-digest"].alias("digest"), http.alias("headers"), F.octet_length("__body").cast("long").alias("length"))
+                head["warc-payload-digest"].alias("digest"), "headers", "length")
 
 
 def _entity_tag(h: Column) -> Column:
