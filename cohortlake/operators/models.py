@@ -20,7 +20,6 @@ from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassif
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,19 +104,16 @@ def grid_search(train: DataFrame, cfg: RunConfig, clf, maps: list, inner_fold: s
     Preprocessing and oversampling are fitted on each inner training part and
     shared by all points; the part left out is only encoded.
     """
+    checkpoint_root(train.sparkSession)
     auc = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
     totals = [0.0] * len(maps)
     for f in range(S.INNER_FOLDS):  # bounded driver loops: inner folds x grid points
         part, left_out = train.filter(F.col(inner_fold) != f), train.filter(F.col(inner_fold) == f)
         prep_model = Pipeline(stages=preprocessing_stages(cfg.numeric, cfg.categorical)).fit(part)
-        enc = _encoded(part, cfg, prep_model).persist(StorageLevel.MEMORY_AND_DISK)
-        held = prep_model.transform(left_out).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            for i, m in enumerate(maps):
-                totals[i] += auc.evaluate(clf.fit(enc, m).transform(held))
-        finally:
-            enc.unpersist()
-            held.unpersist()
+        enc = _encoded(part, cfg, prep_model).checkpoint()
+        held = prep_model.transform(left_out).select("features", "label").checkpoint()
+        for i, m in enumerate(maps):
+            totals[i] += auc.evaluate(clf.fit(enc, m).transform(held))
     means = [t / S.INNER_FOLDS for t in totals]
     return maps[means.index(max(means))], means
 
@@ -126,8 +122,9 @@ def fit_pipeline(train: DataFrame, cfg: RunConfig, grid: bool, inner_fold: str |
     """Fit preprocessing + classifier on ``train`` (label column ``label`` as double).
 
     The preprocessing is fitted once and the encoded rows (features, label[,
-    weight]) are persisted while the iterative learner makes its passes.  With
-    a grid, the point is chosen first on the explicit inner fold column.
+    weight]) are cut from their lineage, so the iterative learner's many small
+    jobs have short plans.  With a grid, the point is chosen first on the
+    explicit inner fold column.
     """
     weight = "weight" if cfg.algorithm == "lightgbm" else None
     best = None
@@ -137,18 +134,16 @@ def fit_pipeline(train: DataFrame, cfg: RunConfig, grid: bool, inner_fold: str |
         if maps:
             best, means = grid_search(train, cfg, clf, maps, inner_fold)
             cfg.notes.append("grid=" + ", ".join(f"{p.name}:{v}" for p, v in best.items()) + f"; inner_auc={max(means):.6f}")
+    checkpoint_root(train.sparkSession)
     prep_model = Pipeline(stages=preprocessing_stages(cfg.numeric, cfg.categorical)).fit(train)
-    enc = _encoded(train, cfg, prep_model).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if cfg.algorithm == "tabnet":
-            width = len(enc.select("features").first()[0])  # one row sizes the input layer
-            scaler = StandardScaler(inputCol="features", outputCol="features_scaled", withMean=True).fit(enc)
-            net = base_estimator("tabnet", cfg.seed, task=cfg.task, n_inputs=width).fit(scaler.transform(enc))
-            return PipelineModel(stages=prep_model.stages + [scaler, net])
-        clf = base_estimator(cfg.algorithm, cfg.seed, weight, trees=cfg.trees)
-        return PipelineModel(stages=prep_model.stages + [clf.fit(enc, best) if best else clf.fit(enc)])
-    finally:
-        enc.unpersist()
+    enc = _encoded(train, cfg, prep_model).checkpoint()
+    if cfg.algorithm == "tabnet":
+        width = len(enc.select("features").first()[0])  # one row sizes the input layer
+        scaler = StandardScaler(inputCol="features", outputCol="features_scaled", withMean=True).fit(enc)
+        net = base_estimator("tabnet", cfg.seed, task=cfg.task, n_inputs=width).fit(scaler.transform(enc))
+        return PipelineModel(stages=prep_model.stages + [scaler, net])
+    clf = base_estimator(cfg.algorithm, cfg.seed, weight, trees=cfg.trees)
+    return PipelineModel(stages=prep_model.stages + [clf.fit(enc, best) if best else clf.fit(enc)])
 
 
 def oversample_encoded(enc: DataFrame, id_col: str, seed: int) -> DataFrame:
@@ -179,7 +174,7 @@ def nested_cv(df: DataFrame, cfg: RunConfig) -> dict:
     grid = cfg.use_grid and cfg.algorithm != "tabnet"
     cfg.notes.append(f"gridsearch={str(grid).lower()}")
     cfg.notes.append(f"oversampling={str(cfg.oversample).lower()}")
-    inner = S.inner_folds(folds, "label", cfg.id_col, seed=cfg.seed) if grid else None
+    inner = S.inner_folds(folds, "label", cfg.id_col, seed=cfg.seed).checkpoint() if grid else None
     preds = []
     for f in range(S.OUTER_FOLDS):  # bounded driver loop: K outer folds
         if grid:

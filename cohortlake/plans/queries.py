@@ -1230,8 +1230,8 @@ _FOLD_FACTS = ("select fold, count(*) as n_rows, cast(sum(y) as bigint) as n_pos
                "cast(0 as bigint) as n_other_fold from f group by fold")
 
 #: Boosting rounds and grid of the registered runs: the families' own (120 rounds, 250 and 400 in the grid) take hours on one machine.
-QUERY_TREES = 4
-QUERY_GRID = {"maxDepth": (2, 3), "stepSize": (0.05, 0.1), "maxIter": (3,)}
+QUERY_TREES = 8
+QUERY_GRID = {"maxDepth": (2, 3), "stepSize": (0.05, 0.1), "maxIter": (3, 5)}
 
 
 def _fold_facts(oof, folds):
