@@ -32,7 +32,7 @@ CAPACITY = 2048
 END_ID = 0
 
 #: Distinct words and word parts whose ids a worker remembers (a cache only).
-CACHE = 600_000
+CACHE = 250_000
 
 #: Words of printable ASCII and Latin-1 letters: their lower case is composed already, so they
 #: can be cut into parts here.  All others go to the tokenizer as they are.
