@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import checkpoint_root
 
 #: Bytes of text that a task hashes at once; a longer text is taken alone and whole.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 #: ASCII white space (the separators of the word pattern [^\x20\x09-\x0D]+).
 ASCII_SPACE = np.zeros(256, bool)

@@ -22,17 +22,17 @@ import re
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import arrow_schema, cut
 
 CAPACITY = 2048
 END_ID = 0
 
-#: Distinct words and word parts whose ids a worker remembers (a cache only).
-CACHE = 250_000
+#: Distinct words and word parts whose ids a task remembers (caches only).
+WORD_CACHE, PART_CACHE = 100_000, 300_000
 
 #: Words of printable ASCII and Latin-1 letters: their lower case is composed already, so they
 #: can be cut into parts here.  All others go to the tokenizer as they are.
@@ -80,7 +80,7 @@ class Encoder:
     def part(self, s: str) -> bytes:
         ids = self.parts.get(s)
         if ids is None:
-            if len(self.parts) > CACHE:
+            if len(self.parts) > PART_CACHE:
                 self.parts.clear()
             found = self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))
             ids = self.parts[s] = b"".join([t.id.to_bytes(4, "little") for t in found])
@@ -99,7 +99,7 @@ class Encoder:
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
-            if len(known) > CACHE:
+            if len(known) > WORD_CACHE:
                 known.clear()
             for w in {*words}:
                 if w not in known:
@@ -107,31 +107,24 @@ class Encoder:
             return b"".join(map(known.__getitem__, words))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_file: str | None = None) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, and ``n``, a number for equal rows' order."""
-    def fn(batch) -> Iterator[dict]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        encode = encoder(tokenizer_file or tokenizer_path()).ids
+    """A row per piece: doc_id, piece, start, length, ids_crc32."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(tokenizer_file or tokenizer_path()).ids  # the task's own: nothing stays in the worker
         end = END_ID.to_bytes(4, "little")
-        for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = encode((x.as_py() or "").encode()) + end
-            for k, a in enumerate(range(0, len(ids) // 4, capacity)):
-                part = ids[4 * a:4 * (a + capacity)]
-                for name, v in zip(out, (doc_id, k, a, len(part) // 4, zlib.crc32(part))):
-                    out[name].append(v)
-        yield out
-
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), fn,
-                    "doc_id long, piece int, start long, length long, ids_crc32 long")
+        for batch in batches:
+            out: dict[str, list] = {f.name: [] for f in arrow}
+            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encode((x.as_py() or "").encode()) + end
+                for k, a in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * a:4 * (a + capacity)]
+                    for name, v in zip(out, (doc_id, k, a, len(part) // 4, zlib.crc32(part))):
+                        out[name].append(v)
+            yield pa.RecordBatch.from_pydict(out, arrow)
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    arrow = arrow_schema(schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -52,8 +52,11 @@ def test_plan_fills_like_best_fit_decreasing(seed):
     assert len(by) == best_fit_decreasing(lengths, capacity)
 
 
+ENCODER = P.Encoder(P.tokenizer_path())
+
+
 def reference_ids(text):
-    return P.encoder(P.tokenizer_path()).tokenizer.encode(text or "", add_special_tokens=False).ids + [P.END_ID]
+    return ENCODER.tokenizer.encode(text or "", add_special_tokens=False).ids + [P.END_ID]
 
 
 ODD = ["it's İstanbul <|endoftext|> a<|startoftext|>b éx ﬁ ＡＢ ²½ \u0085x y \x1c z ×÷ ÀÉß 'S 'll don't __init__ ...  q ΑΣ ΣΑΣ 漢字かな 각 🙂", "'", "''s 're're", "a\tb\nc\x0bd\x0ce\rf",
@@ -61,9 +64,10 @@ ODD = ["it's İstanbul <|endoftext|> a<|startoftext|>b éx ﬁ ＡＢ ²½ \u008
 
 
 def test_ids_equal_the_tokenizer(monkeypatch):
-    encode = P.encoder(P.tokenizer_path()).ids
-    for cache in (P.CACHE, 2):
-        monkeypatch.setattr(P, "CACHE", cache)
+    encode = P.Encoder(P.tokenizer_path()).ids
+    for cache in (P.WORD_CACHE, 2):
+        monkeypatch.setattr(P, "WORD_CACHE", cache)
+        monkeypatch.setattr(P, "PART_CACHE", cache)
         for t in [*ODD, prose(1, 500), "É" + prose(2, 50).upper()]:
             assert np.frombuffer(encode((t or "").encode()), "<u4").tolist() + [0] == reference_ids(t), t
 
