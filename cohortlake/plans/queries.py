@@ -1397,10 +1397,11 @@ def q_smote(spark, sf):
     return out.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
 
 
-@query("nearest_neighbours_small_group", "with e as materialized (select vec_id, cast(embedding as double[]) as v, least(row_number() over (order by vec_id) // 4, 3) as g from embeddings), "
-       "p as (select a.vec_id, b.vec_id as nn_id, list_distance(a.v, b.v) as dist from e a join e b on a.g = b.g and a.vec_id <> b.vec_id and a.g < 3) "
-       "select vec_id, nn_id, round(dist, 6) as dist, cast(row_number() over (partition by vec_id order by dist, nn_id) as integer) as nn_rank from p "
-       "qualify row_number() over (partition by vec_id order by dist, nn_id) <= 5")
+@query("nearest_neighbours_small_group", "with r as (select vec_id, embedding, row_number() over (order by vec_id) as place from embeddings), "
+       "e as (select vec_id, cast(embedding as double[]) as v, place // 4 as g from r where place < 12), "
+       "p as (select a.vec_id, b.vec_id as nn_id, list_distance(a.v, b.v) as dist from e a join e b on a.g = b.g and a.vec_id <> b.vec_id), "
+       "k as (select vec_id, nn_id, round(dist, 6) as dist, cast(row_number() over (partition by vec_id order by dist, nn_id) as integer) as nn_rank from p) "
+       "select * from k where nn_rank <= 5")
 def q_small_groups(spark, sf):
     """F6 neighbour step in groups smaller than k + 1 rows (3 and 4 rows, beside one with all the others): each row gets all that its group has."""
     e = X.table(spark, sf, "embeddings").select("vec_id", "embedding")
