@@ -49,10 +49,21 @@ def map_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
         for batch in batches:
             for out in fn(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name].cast(f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # workers outlive their task
 
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """``fn`` over Arrow batches of all columns; it returns batches of the same columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield fn(batch)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, df.schema)
+
+
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
           "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CODES, NOT_WORD, ASCII_SPACE, cut, map_rows, mix, pieces, word_hashes
+from .common import CODES, NOT_WORD, ASCII_SPACE, cut, map_batches, map_rows, mix, pieces, word_hashes
 
 BUCKETS = 1 << 16
 MAX_LABELLED = 200_000
@@ -214,11 +214,10 @@ def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     s = resample(docs, labels, id_col, text_col, **options)
     sent, least, seed = docs.sparkSession.sparkContext.broadcast(s.ratio), s.least, s.seed
 
-    @F.pandas_udf("boolean")
-    def kept(ids, col):
-        import pandas as pd
-        text = pa.array([None if x is None else x for x in col], pa.string())
-        own = [None if i is None or i != i else int(i) for i in ids]
-        return pd.Series(key_steps(score_batch(own, text, sent.value, seed)["key"]) >= least)
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(names.index(id_col)).cast(pa.int64()).to_pylist()
+        key = score_batch(ids, batch.column(names.index(text_col)).cast(pa.string()), sent.value, seed)["key"]
+        return batch.filter(pa.array(key_steps(key) >= least))
 
-    return docs.where(kept(F.col(id_col).cast("string"), F.col(text_col).cast("string")))
+    names = docs.columns
+    return map_batches(docs, kept)

@@ -121,6 +121,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     for name, v in zip(out, (doc_id, k, a, len(part) // 4, zlib.crc32(part))):
                         out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, arrow)
+        pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     arrow = arrow_schema(schema)

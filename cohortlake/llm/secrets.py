@@ -14,14 +14,14 @@ long unbroken string is encoded in blocks, so its whole length counts.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts
+from .common import map_batches, map_rows, texts
 
 KINDS = ("assign", "access", "hex", "token")
 
@@ -137,18 +137,15 @@ def mask(text: str, spans: list[tuple[int, int, int]], put: str) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text", put: str = "[SECRET]", ratio: float = MAX_CHARS_PER_TOKEN, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with every found secret replaced by ``put``; a null text stays null, all columns stay."""
-    @F.pandas_udf("string")
-    def masked(col):
-        enc = encoding(vocabulary or vocabulary_path())
-
-        def one(text):
-            base, added = scan(text, enc, ratio)
-            return mask(text, base + added, put) if base or added else text
-
-        return col.map(one, na_action="ignore")
+    at = docs.columns.index(text_col)
 
-    return docs.withColumn(text_col, masked(F.col(text_col)))
-
-
-def sha256_hex(s: str) -> str:
-    return hashlib.sha256(s.encode()).hexdigest()
+    def masked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        enc = encoding(vocabulary or vocabulary_path())
+        out = []
+        for x in batch.column(at):
+            text = x.as_py()
+            base, added = scan(text or "", enc, ratio)
+            out.append(mask(text, base + added, put) if base or added else text)
+        return batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return map_batches(docs, masked)
