@@ -80,3 +80,27 @@ def test_tokens_split_signs_from_words():
 def test_label_sample_is_bounded(spark):
     labels = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     assert D.label_sample(labels, 10).count() == 10
+
+
+def test_toxic_rows_in_good_prose_are_found(spark):
+    """Held-out toxic rows of quality 1, whose words are ordinary but for two or three, and toxic rows without a label."""
+    r = random.Random(5)
+    rows, labels = corpus(1200)
+    insults = ["zork", "blaff", "grunt", "snivel"]
+    toxic = {i for i in range(len(rows)) if i % 4 and i % 7 == 0}
+    for i in toxic:
+        words = rows[i][1].split()
+        for w in r.sample(insults, 3):
+            words.insert(r.randrange(len(words) + 1), w)
+        rows[i] = (i, " ".join(words))
+    labels = [(i, q, int(i in toxic)) for i, q, _ in labels]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert {(x.good, x.toxic) for x in D.label_sample(known).collect()} == {(1, 0), (0, 0), (0, 1)}
+    held_out = {x.doc_id for x in known.where(F.pmod(F.xxhash64(F.lit(D.SEED), "doc_id"), F.lit(D.HOLD_OUT)) == 0).collect()}
+    docs = frame(spark, rows).repartition(4)
+    got = {x.doc_id: x.selected for x in D.classify(docs, known).collect()}
+    unseen = held_out | (got.keys() - {x[0] for x in labels})
+    found = [not got[i] for i in toxic & unseen]
+    kept = [got[i] for i in unseen if i % 4 and i not in toxic]
+    assert len(found) > 50 and sum(found) / len(found) > 0.9 and sum(kept) / len(kept) > 0.95
+    assert {x.doc_id for x in D.keep_selected(docs, known).collect()} == {i for i, s in got.items() if s}
