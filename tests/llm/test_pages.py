@@ -39,6 +39,22 @@ def test_article_is_cut_by_structure():
     assert W.main_text(src, None)[0] == "A & B C One two bold. x < y z 1 2"
 
 
+def test_marks_are_whole_names_and_never_the_frame():
+    for frame in ("single-post has-sidebar", "no-sidebar", "cookies-not-set", "sidebar", "menu"):
+        assert W.main_text(f"<html class='{frame}'><body class='{frame}'><div class='site-footer'>foot</div><article>Text here</article></body>", None)[0] == "Text here"
+        assert W.main_text(f"<body class='{frame}'><p>Text here<div class='site-footer'>foot</div></body>", None)[0] == "Text here"
+    for name in ("post category-social", "comments-open", "social"):
+        assert W.main_text(f"<div class='cookie-notice'>We use</div><article class='{name}'>Text here</article>", None)[0] == "Text here"
+    assert W.main_text("<div class=overlay><article>Text here</article></div><footer>f</footer>", None)[0] == "Text here"
+    assert W.main_text("<div class=related><p>Text here, most of it</div><div>short</div>", None)[0] == "Text here, most of it short"
+    assert W.main_text("<p>Text<div class='main-menu'>Home</div><div class='cookie-notice'>We</div>more of the text", None)[0] == "Text more of the text"
+
+
+def test_all_top_level_articles_stay():
+    src = "<main><article>first one</article><p>between<article>second, longer</article></main><div class=comments><article>a reader's very long answer to both</article></div>"
+    assert W.main_text(src, None)[0] == "first one second, longer"
+
+
 def test_broken_markup():
     assert W.main_text("<article><p>cut off <b>here<br", None)[0] == "cut off here"
     assert W.main_text("plain text", None)[0] == "plain text"
