@@ -23,6 +23,20 @@ def test_template_without_semantic_marks_is_induced(spark):
         assert got[i].text == want and got[i].n_chars == len(want) and got[i].n_template == 4
 
 
+def test_wrappers_of_a_host_with_copies_and_two_layouts(spark):
+    """Most rows are copies of two pages, and the rest shares two layouts; no name tells the template."""
+    rows, want = [], {}
+    for i in range(600):
+        n = i % 2 if i < 540 else i
+        body = prose(n, 30)
+        left = f"<ul><li>Home</ul><div><b>site news</b></div><div><p>{body}</p></div><div>All rights</div>"
+        right = f"<table><tr><td>Shop front</table><section><p>{body}</p></section><section>Call us</section>"
+        rows.append((i, "http://a.example/x", f"<html><body>{right if n % 3 == 0 else left}</body></html>"))
+        want[i] = body
+    got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), sample=8).collect()}
+    assert got == want
+
+
 def test_stock_menus_outside_an_article_are_template():
     stock = ["one two", "three four", "five six"]
     sources = [f"<ul>{''.join(f'<li>{w}' for w in stock[i % 3].split())}</ul><div>{prose(i, 30)}</div>" for i in range(12)]
