@@ -1229,10 +1229,6 @@ def _labeled(label: str) -> str:
 _FOLD_FACTS = ("select fold, count(*) as n_rows, cast(sum(y) as bigint) as n_positive, count(distinct row_id) as n_scored, cast(0 as bigint) as n_outside, "
                "cast(0 as bigint) as n_other_fold from f group by fold")
 
-#: Boosting rounds and grid of the registered runs: the families' own (120 rounds, 250 and 400 in the grid) take hours on one machine.
-QUERY_TREES = 8
-QUERY_GRID = {"maxDepth": (2, 3), "stepSize": (0.05, 0.1), "maxIter": (3, 5)}
-
 
 def _fold_facts(oof, folds):
     """Per fold: rows, positives, distinct ids scored, scores outside [0, 1], rows scored in another fold than dealt to."""
@@ -1244,7 +1240,7 @@ def _fold_facts(oof, folds):
 
 def _nested_cv_facts(spark, sf, task, algorithm, **kw):
     train = _mortality_training(spark, sf) if task == "mortality" else _response_training(spark, sf)
-    cfg = TR.config(task, algorithm, trees=QUERY_TREES, grid=QUERY_GRID, **kw)
+    cfg = TR.config(task, algorithm, **kw)
     r = MD.nested_cv(train, cfg)
     folds = S.stratified_folds(train.withColumn("label", F.col(cfg.label).cast("double")), "label", "row_id", S.OUTER_FOLDS, cfg.seed)
     return _fold_facts(r["oof"], folds)
@@ -1275,7 +1271,7 @@ def q_nested_cv_tabnet(spark, sf):
 def q_final_fit_xgboost(spark, sf):
     """H2 + H7 + F4 + A12: family B fitted on 80 %, saved and loaded; holdout rows, score range and largest change of a score by the round trip."""
     train = _mortality_training(spark, sf)
-    ff = MD.final_fit(train, TR.config("mortality", "xgboost", trees=QUERY_TREES))
+    ff = MD.final_fit(train, TR.config("mortality", "xgboost"))
     again = MD.load_model(MD.save_model(ff["model"], scratch_path(spark, "final-fit")), strict=True)
     rescored = MD.score(again, train, ["row_id"]).withColumnRenamed("p", "p2")
     j = ff["holdout"].join(rescored, "row_id")
@@ -1298,12 +1294,8 @@ def q_encoded_width(spark, sf):
 @query("model_sweep", "select t.task, a.algorithm, case when a.algorithm = 'catboost' then 'failed' else 'ok' end as status, true as plausible "
        "from (values ('response'), ('mortality')) t(task), (values ('lightgbm'), ('xgboost'), ('tabnet'), ('catboost')) a(algorithm)")
 def q_model_sweep(spark, sf):
-    """H6: every task x family; an unknown family is captured as a failed row with its whole error, the rest still run.
-
-    Without oversampling, which the nested CV queries run: the sweep is 6 runs of 4 fits.
-    """
-    got = TR.sweep({"response": _response_training(spark, sf), "mortality": _mortality_training(spark, sf)}, [*MD.ALGORITHMS, "catboost"],
-                   trees=QUERY_TREES, use_grid=False, oversample=False)
+    """H6: every task x family, each with its own rounds, grid and oversampling; an unknown family is captured as a failed row with its whole error, the rest still run."""
+    got = TR.sweep({"response": _response_training(spark, sf), "mortality": _mortality_training(spark, sf)}, [*MD.ALGORITHMS, "catboost"])
     fine = F.col("auc").between(0.0, 1.0) & F.col("brier").between(0.0, 1.0) & F.col("threshold").between(0.0, 1.0) & F.col("error").isNull()
     return got.select("task", "algorithm", "status", F.when(F.col("status") == "ok", fine).otherwise(F.col("error").contains("algorithm must be")).alias("plausible"))
 
