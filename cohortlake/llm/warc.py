@@ -3,20 +3,22 @@
 A crawler that asks again for a page it has may get "304 Not Modified"; the
 archive then keeps a ``revisit`` record with headers and no body.  Each
 revisit is joined, as of its date, to the latest earlier full response for
-the same canonical URL.  Validators must agree: entity tags (compared
+the same canonical URL: one of status 200 (or whose status line is missing)
+that isn't truncated.  Validators must agree: entity tags (compared
 weakly), last-modified dates and payload digests, each where both records
 have it, and at least one must be on both.  A 304 may update only some
 headers of the stored response; these are merged.
 
 The as-of join is a union and a window in two steps.  Records of a URL are
-cut into time blocks, each of bounded size; a window within (URL, block)
+cut into time blocks by approximate quantiles of the date (equal dates stay
+together), each of bounded size; a window within (URL, block)
 finds the latest response there, and one over the blocks' last responses
 carries it into later blocks.  One URL with a third of all records is
 thus worked on by many tasks.  Bodies take no part in sorting: they are
 reduced to digest and length before.
 
 Defined cases: records without URL or date can't be joined (``no_response``
-for a revisit); a null header block has no headers; of records with equal
+for a revisit) and are spread over the tasks; a null header block has no headers; of records with equal
 date the smaller id is the earlier one; repeated rows are resolved each;
 other columns are ignored; an empty table gives no rows; long bodies are
 digested whole.
@@ -27,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 # Headers that a 304 response may update in a stored one.
 MERGED_HEADERS = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
@@ -68,13 +72,18 @@ def with_headers(df: DataFrame, blocks: dict[str, str]) -> DataFrame:
     return df.withColumns({k: first(k) for k in blocks}).drop(*[f"__{x}_{k}" for x in ("pairs", "names") for k in blocks])
 
 
+def status_code(block: Column) -> Column:
+    """The code of a header block's status line; null without one."""
+    return F.nullif(F.regexp_extract(F.substring(block, 1, 64), r"^\s*HTTP/\S+[ \t]+(\d+)", 1), F.lit(""))
+
+
 def parse_records(raw: DataFrame, id_col: str = "record_id", head_col: str = "head", http_col: str = "http", body_col: str = "body") -> DataFrame:
     """WARC header block, HTTP header block and body of each record to the columns that are resolved here."""
-    blocks = raw.select(F.col(id_col).cast("long").alias("record_id"), F.col(head_col).alias("__b0"), F.col(http_col).alias("__b1"), F.octet_length(F.col(body_col).cast("string")).cast("long").alias("length"))
-    head = F.col("__head")
+    blocks = raw.select(F.col(id_col).cast("long").alias("record_id"), F.col(head_col).alias("__b0"), F.col(http_col).alias("__b1"), status_code(F.col(http_col)).alias("__code"), F.octet_length(F.col(body_col).cast("string")).cast("long").alias("length"))
+    head, is_ok = F.col("__head"), F.coalesce(F.col("__code") == "200", F.lit(True))
     return with_headers(blocks, {"__head": "__b0", "headers": "__b1"}) \
         .select("record_id", head["warc-type"].alias("type"), head["warc-target-uri"].alias("url"), F.try_to_timestamp(head["warc-date"]).alias("date"),
-                head["warc-payload-digest"].alias("digest"), "headers", "length")
+                head["warc-payload-digest"].alias("digest"), "headers", "length", (is_ok & head["warc-truncated"].isNull()).alias("full"))
 
 
 def _entity_tag(h: Column) -> Column:
@@ -82,28 +91,43 @@ def _entity_tag(h: Column) -> Column:
     return F.regexp_replace(F.trim(h["etag"]), "^W/", "")
 
 
+def with_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, bool]:
+    """``rows`` (canonical, micros) with ``block``, the time block within a URL of many records, else null; and whether there is such a URL."""
+    timed = rows.where("micros is not null").select("canonical", "micros")
+    large = cut(timed.groupBy("canonical").agg(F.count("*").alias("n")).where(F.col("n") > block_rows))
+    most = large.agg(F.max("n")).first()[0]
+    if most is None:
+        return rows.withColumn("block", F.lit(None).cast("int")), False
+    parts = -(-most // block_rows)
+    splits = timed.join(large.select("canonical"), "canonical").groupBy("canonical").agg(F.percentile_approx("micros", [i / parts for i in range(1, parts)], 100 * parts).alias("splits"))
+    block = F.when(F.col("micros").isNotNull() & F.col("splits").isNotNull(), F.size(F.filter("splits", lambda x: x < F.col("micros"))))
+    return rows.join(splits, "canonical", "left").withColumn("block", block).drop("splits"), True
+
+
 def resolve_revisits(records: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every record, with what it resolves to.
 
-    ``records``: record_id, type ("response", "revisit"), url, date, digest, headers, length.
+    ``records``: record_id, type ("response", "revisit"), url, date, digest, headers, length, full (whether a response is whole and of status 200).
     Adds canonical, refers_to (the response), status ("response", "resolved", "no_response",
     "no_validator", "mismatch"; null for other types), resolved_digest, resolved_length and
     merged_headers (own headers of a response, null where a revisit isn't resolved).
     """
-    rows = records.select("record_id", "type", "date", "digest", "headers", "length", canonical_url(F.col("url")).alias("canonical"))
+    rows = records.select("record_id", "type", "date", "digest", "headers", "length", "full", canonical_url(F.col("url")).alias("canonical"))
     rows = rows.withColumn("micros", F.when(F.col("canonical").isNotNull(), F.unix_micros("date")))
-    response = F.when((F.col("type") == "response") & F.col("micros").isNotNull(), F.struct(F.col("record_id").alias("id"), "digest", "headers", "length"))
-    # time blocks: as many for a URL as its records need
-    large = rows.where("micros is not null").groupBy("canonical").agg(F.count("*").alias("n"), F.min("micros").alias("t0"), F.max("micros").alias("t1")).where(F.col("n") > block_rows) \
-        .select("canonical", "t0", (F.floor((F.col("t1") - F.col("t0")) / F.ceil(F.col("n") / block_rows)) + 1).alias("step"))
-    blocked = rows.join(large, "canonical", "left").withColumn("block", F.floor((F.col("micros") - F.col("t0")) / F.col("step"))).withColumn("response", response)
+    response = F.when((F.col("type") == "response") & F.col("full") & F.col("micros").isNotNull(), F.struct(F.col("record_id").alias("id"), "digest", "headers", "length"))
+    blocked, large = with_blocks(rows, block_rows)
+    # rows that can't be joined aren't gathered in one window
+    blocked = blocked.withColumn("response", response).withColumn("apart", F.when(F.col("micros").isNull(), F.xxhash64("record_id", "digest", "length")))
     # in a block, then carried from block to block
-    before = Window.partitionBy("canonical", "block").orderBy(F.col("micros").asc_nulls_first(), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = blocked.withColumn("here", F.last("response", ignorenulls=True).over(before))
-    earlier = Window.partitionBy("canonical").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocked.where("block is not null").groupBy("canonical", "block").agg(F.max_by("response", F.when(F.col("response").isNotNull(), F.struct("micros", "record_id"))).alias("last")) \
-        .select("canonical", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    joined = seen.join(carried, ["canonical", "block"], "left").withColumn("found", F.when((F.col("type") == "revisit") & F.col("micros").isNotNull(), F.coalesce("here", "carried")))
+    before = Window.partitionBy("canonical", "block", "apart").orderBy(F.col("micros").asc_nulls_first(), "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    joined = blocked.withColumn("here", F.last("response", ignorenulls=True).over(before))
+    latest = F.col("here")
+    if large:
+        earlier = Window.partitionBy("canonical").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = blocked.where("block is not null").groupBy("canonical", "block").agg(F.max_by("response", F.when(F.col("response").isNotNull(), F.struct("micros", "record_id"))).alias("last")) \
+            .select("canonical", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+        joined, latest = joined.join(carried, ["canonical", "block"], "left"), F.coalesce("here", "carried")
+    joined = joined.withColumn("found", F.when((F.col("type") == "revisit") & F.col("micros").isNotNull(), latest))
     pairs = [(_entity_tag(F.col("headers")), _entity_tag(F.col("found.headers"))), (F.col("headers")["last-modified"], F.col("found.headers")["last-modified"]), (F.col("digest"), F.col("found.digest"))]
     differ, agree = F.lit(False), F.lit(False)
     for own, other in pairs:

@@ -131,6 +131,23 @@ def test_time_blocks_change_nothing(spark):
     assert resolved(spark, rows, block_rows=7) == want
 
 
+def test_only_whole_responses_of_status_200_are_targets(spark):
+    ok, url = 'HTTP/1.1 200 OK\r\nETag: "a"', "http://h.example/p"
+    for i, other in enumerate(["HTTP/1.1 404 Not Found", 'HTTP/1.1 500 Oh\r\nETag: "b"', 'HTTP/1.1 206 Partial Content\r\nETag: "a"', 'HTTP/1.1 304 Not Modified\r\nETag: "a"']):
+        rows = [record(1, "response", url, 1, ok, "whole body", "d1"), record(2, "response", url, 2, other, "part", f"x{i}"), record(3, "revisit", url, 3, 'ETag: "a"')]
+        got = resolved(spark, rows)[3]
+        assert (got.status, got.refers_to, got.resolved_length) == ("resolved", 1, 10)
+    cut_off = (2, HEAD.format("response", url, 2) + "\r\nWARC-Truncated: length", ok, "who")
+    assert resolved(spark, [rows[0], cut_off, rows[2]])[3].refers_to == 1
+
+
+def test_time_blocks_of_a_burst_are_bounded(spark):
+    rows = spark.range(1000).select(F.lit("h").alias("canonical"), F.when(F.col("id") == 0, 0).otherwise(10 ** 12 + F.col("id")).alias("micros"))
+    blocked, large = C.with_blocks(rows, 100)
+    sizes = [r["count"] for r in blocked.groupBy("block").count().collect()]
+    assert large and sum(sizes) == 1000 and max(sizes) <= 110
+
+
 def test_no_records(spark):
     raw = spark.createDataFrame([], "record_id long, head string, http string, body string")
     assert C.resolve_revisits(C.parse_records(raw)).count() == 0
