@@ -26,8 +26,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, map_rows, shuffle_partitions, signed
 from .components import components
@@ -48,7 +49,7 @@ STEP = 1 << 16
 #: Hot keys sent to every executor at most; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 
-#: Ids of dropped rows sent to every executor at most (8 bytes each).
+#: Ids and fingerprints of dropped rows sent to every executor at most (16 bytes each).
 BROADCAST_IDS = 2_000_000
 
 
@@ -165,9 +166,9 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, c
     return out
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE,
+def rooted_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE,
                    bucket: int = BUCKET, cuts: tuple[int, ...] = CUTS) -> DataFrame:
-    """Per row: doc_id, fp (signed 64-bit), component_id (smallest doc_id linked, directly or by a chain), n_equal (rows with this fingerprint)."""
+    """``simhash_groups`` with ``root``, a fingerprint that names the component."""
     fps = cut(fingerprints(docs, id_col, text_col, size))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_equal")))
     roots = components(near_links(distinct.select("fp"), distance, bucket, cuts))
@@ -176,18 +177,36 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # only components of several fingerprints need a second minimum
     group = cut(chained.select("root", "least").unionByName(rooted.join(chained.select("root").distinct(), "root", "left_semi").where(F.col("root") == F.col("fp")).select("root", "least"))
                 .groupBy("root").agg(F.min("least").alias("group_least")))
-    named = rooted.join(group, "root", "left").select("fp", "n_equal", F.coalesce("group_least", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "n_equal")
+    named = rooted.join(group, "root", "left").select("fp", "root", "n_equal", F.coalesce("group_least", "least").alias("component_id"))
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "n_equal", "root")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row: doc_id, fp (signed 64-bit), component_id (smallest doc_id linked, directly or by a chain), n_equal (rows with this fingerprint)."""
+    return rooted_rows(docs, id_col, text_col, **options).drop("root")
+
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, **options) -> DataFrame:
+    """``docs`` with one row of each group: of smallest id, then fingerprint, then hash of the text; rows without id come last.
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the row of smallest id of each group; of rows that repeat that id one stays, and every row without id stays."""
-    groups = cut(simhash_groups(docs, id_col, text_col, **options))
-    drop = cut(groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__drop")).distinct())
+    Decisions are for id and fingerprint, as an id may stand on different texts.
+    """
+    keys = rooted_rows(docs, id_col, text_col, size=size, **options).groupBy("root", "doc_id", "fp").agg(F.count("*").alias("n"))
+    keys = cut(keys)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
+    judged = cut(keys.join(keys.groupBy("root").agg(F.min(place).alias("least")), "root").select("doc_id", "fp", "n", (place == F.col("least")).alias("stays")))
+    drop = judged.where(~F.col("stays")).select(F.col("doc_id").alias("__drop"), F.col("fp").alias("__drop_fp"))
     n_drop = drop.count()
-    # ids that go, sent to every executor while they are few; else the rows are dealt by id
-    kept = docs.where(F.col(id_col).isNotNull()).join(F.broadcast(drop) if n_drop <= BROADCAST_IDS else drop, docs[id_col].cast("long") == F.col("__drop"), "left_anti")
-    repeats = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not repeats.isEmpty():  # the texts are dealt by id only where ids repeat
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        f = np.fromiter((fingerprint((x.as_py() or "").encode(), size) for x in batch.column(at).cast(pa.string())), np.uint64, batch.num_rows)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(f))], names=[*names, "__fp"])
+
+    names, at = docs.columns, docs.columns.index(text_col)
+    with_fp = docs.mapInArrow(lambda batches: map(marked, batches), T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    # keys that go, sent to every executor while they are few; else the rows are dealt by id and fingerprint
+    kept = with_fp.join(F.broadcast(drop) if n_drop <= BROADCAST_IDS else drop, with_fp[id_col].cast("long").eqNullSafe(F.col("__drop")) & (F.col("__fp") == F.col("__drop_fp")), "left_anti")
+    if not judged.where("stays and n > 1").isEmpty():  # the texts are dealt only where a key that stays repeats
+        first = Window.partitionBy(id_col, "__fp").orderBy(F.xxhash64(text_col))
+        kept = kept.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
+    return kept.drop("__fp")

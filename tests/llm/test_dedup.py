@@ -79,6 +79,13 @@ def test_near_duplicates_keep_one_row(spark, awkward, nothing):
     assert kept.where("doc_id is null").count() == 1 and H.drop_near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_an_id_on_different_texts(spark):
+    a, b, c, d = (prose(i, 60) for i in range(70, 74))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (None, c), (None, prose(99, 60)), (None, prose(99, 60))]
+    kept = H.drop_near_duplicates(frame(spark, rows)).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in kept) == sorted([(1, a), (2, b), (3, c), (3, d), (0, prose(99, 60))])
+
+
 def brute_repeats(rows, window=13):
     docs = [(d, (t or "").encode().split()) for d, t in rows]
     least = {}
