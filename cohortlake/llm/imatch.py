@@ -11,8 +11,9 @@ The lexicon is sent to every worker.  Its size is bounded whatever the
 corpus: the document frequencies sum to (documents x mean distinct terms),
 so at most (mean distinct terms / lower share) terms reach the lower share.
 
-Defined cases: a null text counts as empty; a text without lexicon terms
-has all slots zero, and two such fingerprints are alike (1); the order of
+Defined cases: a null text counts as empty; a text with terms
+but none of the lexicon has every slot from a hash of all its distinct terms;
+a text without terms has all slots zero, and two such fingerprints are alike (1); the order of
 documents is by id, rows without id first, rows of one id by a hash of the
 text; repeated rows each have their place; a single row follows itself;
 other columns are ignored; an empty table gives no rows.
@@ -90,7 +91,11 @@ class Fingerprinter:
         self.digest = xxhash.xxh32_intdigest
 
     def slots(self, raw: bytes) -> str:
-        at = np.array(sorted(self.place[w] for w in terms(raw) & self.place.keys()), np.int64)
+        found = terms(raw)
+        at = np.array(sorted(self.place[w] for w in found & self.place.keys()), np.int64)
+        if found and not len(at):
+            whole = b" ".join(sorted(found))
+            return "".join(f"{self.digest(whole, k) or 1:08x}" for k in range(len(self.kept)))
         codes, out = self.codes[at], []
         for kept in self.kept:
             own = codes[kept[at]]

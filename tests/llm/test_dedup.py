@@ -187,3 +187,9 @@ def test_lexicon_band_counts_documents(spark):
     rows = [(i, f"all half{'' if i % 2 else 'no'} own{i} all") for i in range(20)]
     assert M.lexicon(frame(spark, rows), low=0.3, high=0.7) == ["half", "halfno"]
     assert {r.term: r.df for r in M.document_frequency(frame(spark, rows)).where(F.col("df") == 20).collect()} == {"all": 20}
+
+
+def test_texts_without_lexicon_terms_are_alike_only_if_equal():
+    make = M.Fingerprinter(["common", "words"])
+    a, b, again = (make.slots(t) for t in (b"rare one", b"rare two", b"one, rare"))
+    assert a == again and M.likeness(a, b) == 0.0 and M.likeness(a, again) == 1.0 and set(make.slots(b" ,")) == {"0"}
