@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, warc
+from . import contamination, trie, warc
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,24 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     from .wrappers import extract
     return extract(table(spark, sf, "pages"))
+
+
+@query("op11_conversation_trie", trie.ORACLE)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col("conv_id")
+    head = F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(4))
+    return trie.prefix_trie(table(spark, sf, "conversations"), head, c - c % 20, most=3)
+
+
+@query("op12_bpe_roundtrip")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from .bpe import decode, encode
+    both = decode(encode(table(spark, sf, "documents")))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from .whitening import whiten
+    return whiten(table(spark, sf, "embeddings"))
