@@ -34,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 from .common import arrow_schema, cut
 
@@ -42,20 +41,24 @@ SCALE = 256
 COMPONENTS = 4
 
 #: Columns that iterate beside the wanted ones, so that the damped part starts well below them.
-GUARDS = 20
+GUARDS = 44
 
 #: Residual of a certified pair, as a share of the largest eigenvalue.
 TOLERANCE = 2e-14
 
-#: Products per filter; products in all before the best pairs found are taken as they are.
-DEGREE = 12
+#: Products of the first filter, and of any filter at most; products in all before the best pairs found are taken as they are.
+DEGREE, MOST_DEGREE = 10, 30
 MOST_PRODUCTS = 600
 
 #: Smaller eigenvalues (as a share of the largest) count as zero.
 RANK = 1e-13
 
-#: Vectors of a block.
+#: Vectors of a block; bytes of blocks that a task multiplies.
 BLOCK = 4096
+TASK_BYTES = 1 << 24
+
+#: Parts of a sum that are added up at once.
+FAN_IN = 64
 
 _WIDTHS = (np.int8, np.int16, np.int32, np.int64)
 _LONG = 1 << 63
@@ -138,18 +141,34 @@ def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _summed(blocks: DataFrame, fn, kind: str = "double") -> list:
-    """``fn(vectors)`` (numbers of one length) added up over all blocks: by task in numpy, over tasks by Spark."""
+    """``fn(vectors)`` (numbers of one length) added up over all blocks: by task, then by ``FAN_IN`` parts at a time."""
+    t = pa.list_(pa.int64() if kind == "long" else pa.float64())
+
+    def out(total) -> Iterator[pa.RecordBatch]:
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], t)], names=["y"])
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for x in _each_block(batches):
             y = fn(x)
             total = y if total is None else total + y
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64() if kind == "long" else pa.float64()))], names=["y"])
+        yield from out(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for y in batch.column(0):
+                y = np.asarray(y.values)
+                total = y if total is None else total + y
+        yield from out(total)
 
-    parts = blocks.mapInArrow(part, f"y array<{kind}>").select(F.posexplode("y").alias("i", "v"))
-    v = F.col("v").cast(DecimalType(38, 0)) if kind == "long" else F.col("v")
-    return [r.v for r in parts.groupBy("i").agg(F.sum(v).alias("v")).orderBy("i").collect()]  # dimensions x columns numbers
+    parts, n = blocks.mapInArrow(part, f"y array<{kind}>"), blocks.rdd.getNumPartitions()
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        parts = parts.repartition(n).mapInArrow(add, f"y array<{kind}>")
+    found = [r.y for r in parts.collect()]  # at most FAN_IN rows
+    return [sum(v) if kind == "long" else math.fsum(v) for v in zip(*found)]
 
 
 @dataclass
@@ -166,7 +185,7 @@ class Fit:
 
 
 def _sums(blocks: DataFrame, dim: int) -> list[int]:
-    """Exact sums by dimension: high and low halves apart, so that no task's sum passes a long."""
+    """Exact sums by dimension: high and low halves apart, so that no part passes a long below two billion vectors a part."""
     both = _summed(blocks, lambda x: np.concatenate([(x.astype(np.int64) >> 32).sum(0), (x.astype(np.int64) & 0xFFFFFFFF).sum(0)]), "long")
     return [(int(both[i]) << 32) + int(both[dim + i]) for i in range(dim)]
 
@@ -174,15 +193,15 @@ def _sums(blocks: DataFrame, dim: int) -> list[int]:
 def fit(df: DataFrame, vec_col: str = "embedding", components: int = COMPONENTS, seed: int = 7) -> Fit | None:
     """Mean, leading eigenpairs and checks over the fit list; None where no vector remains."""
     blocks = distinct_blocks(df, vec_col)
-    sizes = {r.dim: r.n for r in blocks.groupBy("dim").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()}
-    if not sizes:
+    most = blocks.groupBy("dim").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("dim") * F.col("width")).alias("size")).orderBy(F.desc("n"), F.desc("dim")).first()
+    if most is None:
         return None
-    (dim, n), = sizes.items()
-    blocks = blocks.where(F.col("dim") == dim)
+    dim, n = most.dim, most.n
+    blocks = blocks.where(F.col("dim") == dim).coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-most.size // TASK_BYTES)))
     sums = _sums(blocks, dim)
     mean = np.array([s / n for s in sums])
     width = min(dim, components + GUARDS)
-    used = 0
+    used, degree = 0, DEGREE
 
     def product(q: np.ndarray) -> np.ndarray:
         nonlocal used
@@ -209,9 +228,12 @@ def fit(df: DataFrame, vec_col: str = "embedding", components: int = COMPONENTS,
             break
         # damp [0, bound] by T_m((2 V - bound) / bound), kept in range by the value at the largest Ritz value
         half = max(float(ritz[-1]), RANK * ritz[0]) / 2
+        if used > DEGREE:  # as many as the last wanted pair still needs, by the filter's growth at its place
+            growth = math.acosh(max(ritz[max(wanted, 1) - 1] / half - 1, 1 + 1e-9))
+            degree = min(MOST_DEGREE, max(4, math.ceil(math.log(10 * worst / TOLERANCE) / growth)))
         sigma = first = half / (ritz[0] - half)
         before, now = q, (vq - half * q) * (first / half)
-        for _ in range(DEGREE - 1):
+        for _ in range(degree - 1):
             after = 1 / (2 / first - sigma)
             before, now = now, (product(now) - half * now) * (2 * after / half) - before * (sigma * after)
             sigma = after
