@@ -118,7 +118,8 @@ def contract(tree: DataFrame, weights: list[str]) -> DataFrame:
     between a node and its present parent.
     """
     up, add = ({w: f"{p}_{w}" for w in weights} for p in ("up", "add"))
-    active = cut(tree.select("node", "parent", F.col("kids").cast("long").alias("kids"), *weights, *[F.lit(0).cast("long").alias(u) for u in up.values()]))
+    # the round's number is a column: rounds then share their generated code
+    active = cut(tree.select("node", "parent", F.col("kids").cast("long").alias("kids"), F.lit(0).cast("long").alias("turn"), *weights, *[F.lit(0).cast("long").alias(u) for u in up.values()]))
     rounds = []
     while active.count():
         leaf = F.col("kids") == 0
@@ -126,16 +127,16 @@ def contract(tree: DataFrame, weights: list[str]) -> DataFrame:
             *[F.sum(F.when(leaf, F.col(w) + F.col(up[w])).otherwise(0)).alias(f"got_{w}") for w in weights],
             F.count_if(~leaf).alias("left"), F.min(F.when(~leaf, F.col("node"))).alias("child"))
         raked = active.where(leaf).select("node", *weights)
-        rank = [F.xxhash64(F.lit(len(rounds)), F.col(c)) for c in ("node", "parent", "child")]
+        rank = [F.xxhash64("turn", c) for c in ("node", "parent", "child")]
         peak = (F.col("left") == 1) & F.col("parent").isNotNull() & (rank[0] > rank[1]) & (rank[0] > rank[2])
         rest = active.where(~leaf).join(met, "node").select(
-            "node", "parent", F.col("left").alias("kids"), *[(F.col(w) + F.col(f"got_{w}")).alias(w) for w in weights], *up.values(), F.when(peak, F.col("child")).alias("into"))
+            "node", "parent", F.col("left").alias("kids"), (F.col("turn") + 1).alias("turn"), *[(F.col(w) + F.col(f"got_{w}")).alias(w) for w in weights], *up.values(), F.when(peak, F.col("child")).alias("into"))
         moved = rest.where("into is not null").select(F.col("into").alias("node"), F.col("node").alias("gone"), F.col("parent").alias("to"),
                                                       *[F.col(w).alias(add[w]) for w in weights], *[F.col(up[w]).alias(f"up_{add[w]}") for w in weights])
         after = cut(rest.where("into is null").drop("into").join(moved, "node", "left"))
         spliced = after.where("gone is not null").select(F.col("node").alias("into"), "gone", *[(F.col(add[w]) + F.col(up[w])).alias(add[w]) for w in weights])
         rounds.append((raked, spliced))
-        active = after.select("node", F.coalesce("to", "parent").alias("parent"), "kids", *weights, *[
+        active = after.select("node", F.coalesce("to", "parent").alias("parent"), "kids", "turn", *weights, *[
             (F.col(up[w]) + F.coalesce(add[w], F.lit(0)) + F.coalesce(f"up_{add[w]}", F.lit(0))).alias(up[w]) for w in weights])
     if not rounds:
         return active.select("node", *weights)
