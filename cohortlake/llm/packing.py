@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,15 +32,17 @@ from .common import arrow_schema, cut
 CAPACITY = 2048
 END_ID = 0
 
-#: Distinct words and word parts whose ids a task remembers (caches only).
-WORD_CACHE, PART_CACHE = 100_000, 300_000
+#: Distinct word parts and other words whose ids a task remembers (caches only).
+PART_CACHE, WORD_CACHE = 300_000, 50_000
 
-#: Words of printable ASCII and Latin-1 letters: their lower case is composed already, so they
-#: can be cut into parts here.  All others go to the tokenizer as they are.
-PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
+#: Texts of printable ASCII and Latin-1 letters: their lower case is composed already, so they
+#: can be cut into parts here.  The words of all others go to the tokenizer as they are.
+PLAIN = re.compile("[\t-\r -~\u00c0-\u00ff]*")
 
-# The vocabulary's rule for parts, on lower-cased plain words; strings of its special tokens.
-PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+# The vocabulary's rule for parts, on lower-cased plain text; strings of its special tokens.
+# A letter can't begin a contraction, so letters may come first.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+PART = re.compile(f"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\t-\r {LETTERS}0-9]+")
 SPECIAL = "<|"
 
 #: Pieces of one length ranked by one task.
@@ -65,8 +68,8 @@ class Encoder:
     """Ids of whole texts.
 
     The tokenizer never joins text across ASCII white space, so a text's ids
-    are those of its words in order, and each distinct word is encoded once;
-    a plain word's ids are those of its parts.
+    are those of its words in order; a plain text's are those of its parts,
+    each distinct one encoded once.
     """
 
     def __init__(self, path: str):
@@ -77,34 +80,31 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def part(self, s: str) -> bytes:
-        ids = self.parts.get(s)
-        if ids is None:
-            if len(self.parts) > PART_CACHE:
-                self.parts.clear()
-            found = self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))
-            ids = self.parts[s] = b"".join([t.id.to_bytes(4, "little") for t in found])
-        return ids
-
-    def word(self, raw: bytes) -> bytes:
+    def ids(self, raw: bytes) -> bytes:
+        """Little-endian 32-bit ids."""
         s = raw.decode()
         if PLAIN.fullmatch(s) and SPECIAL not in s:
-            return b"".join([self.part(p) for p in PART.findall(s.lower())])
-        return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(s, add_special_tokens=False).ids])
+            return self._joined(PART.findall(s.lower()), self.parts, PART_CACHE, self._part)
+        return self._joined(raw.split(), self.words, WORD_CACHE, self._word)
 
-    def ids(self, raw: bytes) -> bytes:
-        """Little-endian 32-bit ids."""
-        words = raw.split()
-        known = self.words
+    @staticmethod
+    def _joined(found: list, known: dict, most: int, ids_of) -> bytes:
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(known.__getitem__, found))
         except KeyError:
-            if len(known) > WORD_CACHE:
+            if len(known) > most:
                 known.clear()
-            for w in {*words}:
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join(map(known.__getitem__, words))
+            for x in {*found}:
+                if x not in known:
+                    known[x] = ids_of(x)
+            return b"".join(map(known.__getitem__, found))
+
+    def _part(self, s: str) -> bytes:
+        letters = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _word(self, raw: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids).tobytes()
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_file: str | None = None) -> DataFrame:
