@@ -1,31 +1,34 @@
 """Model families, nested cross-validation, final fit and persistence.
 
-Spark ML stands in for the reference's single-machine learners:
-
-* ``lightgbm`` -> ``GBTClassifier`` (120 trees, step 0.08, depth 6 ~ 63 leaves) with balanced class weights;
-* ``xgboost``  -> ``GBTClassifier`` (120 trees, step 0.08, depth 6, 0.9 row and feature subsampling);
+* ``lightgbm`` -> boosted trees (120 rounds, step 0.08, depth 6 ~ 63 leaves) with balanced class weights;
+* ``xgboost``  -> boosted trees (120 rounds, step 0.08, depth 6, 0.9 row and feature subsampling);
 * ``tabnet``   -> ``StandardScaler`` + ``MultilayerPerceptronClassifier`` (a documented substitution).
 
-Data never leaves Spark: folds are columns, out-of-fold predictions are a
-table, and the only driver loop is over the K=3 outer folds.
+The tree families' fits go through ``boosting.train``: all folds and grid
+points of a run grow together, and grid points that differ in the number of
+rounds alone are prefixes of one fit.  Data never leaves Spark: folds are
+columns, out-of-fold predictions are a table.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 from typing import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting as B
 from . import evaluate as V
+from . import parallel
 from . import sampling as S
 from ..session import checkpoint_root
+from .boosted_model import BoostedTreesModel
 from .prep import preprocessing_stages, probability_of_positive
 
 # --- fixed values: families and their settings ----------------------------------
@@ -38,36 +41,33 @@ TABNET_BATCH = {"response": 512, "mortality": 8192}
 # --- end of fixed values --------------------------------------------------------
 
 
-def base_estimator(algorithm: str, seed: int = 42, weight_col: str | None = None, task: str = "mortality",
-                   n_inputs: int | None = None, label: str = "label", trees: int = TREES):
-    """H1-H3: the family's base estimator on column ``features``."""
-    if algorithm == "lightgbm":
-        est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, stepSize=0.08, maxDepth=6,
-                            seed=seed)
-        if weight_col:
-            est.setWeightCol(weight_col)
-        return est
-    if algorithm == "xgboost":
-        return GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, stepSize=0.08, maxDepth=6,
-                             subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed)
-    if algorithm == "tabnet":
-        if n_inputs is None:
-            raise ValueError("tabnet needs the encoded width")
-        return MultilayerPerceptronClassifier(featuresCol="features_scaled", labelCol=label,
-                                              layers=[n_inputs, 32, 16, 2], maxIter=TABNET_EPOCHS.get(task, 35),
-                                              blockSize=TABNET_BATCH.get(task, 512), seed=seed)
-    raise ValueError("algorithm must be lightgbm, xgboost, or tabnet")
-
-
-def param_grid(algorithm: str, est, grid: dict | None = None) -> list:
-    """H4: all points of the family's grid (or of ``grid``); none for the neural family."""
+def network(seed: int = 42, task: str = "mortality", n_inputs: int | None = None, label: str = "label"):
+    """H3: the neural family's estimator on column ``features_scaled``."""
+    if n_inputs is None:
+        raise ValueError("tabnet needs the encoded width")
+    return MultilayerPerceptronClassifier(featuresCol="features_scaled", labelCol=label, layers=[n_inputs, 32, 16, 2], maxIter=TABNET_EPOCHS.get(task, 35),
+                                          blockSize=TABNET_BATCH.get(task, 512), seed=seed)
+
+
+def base_point(algorithm: str, trees: int = TREES) -> dict:
+    """H1, H2: the family's base parameters."""
+    if algorithm not in ALGORITHMS:
+        raise ValueError("algorithm must be lightgbm, xgboost, or tabnet")
+    return {"maxDepth": 6, "stepSize": 0.08, "maxIter": trees}
+
+
+def boosted_fit(algorithm: str, key: str, part: str, point: dict, seed: int = 42, stages: Sequence[int] = ()) -> B.Fit:
+    """A family's fit at one parameter point on one part."""
+    share = {"xgboost": 0.9}.get(algorithm, 1.0)
+    return B.Fit(key, part, point["maxIter"], point["maxDepth"], point["stepSize"], rows=share, columns=share, seed=seed, stages=tuple(stages))
+
+
+def param_grid(algorithm: str, grid: dict | None = None) -> list[dict]:
+    """H4: all points of the family's grid (or of ``grid``), over the base parameters; none for the neural family."""
     values = GRIDS.get(algorithm, {}) if grid is None else grid
     if algorithm not in GRIDS or not values:
         return []
-    b = ParamGridBuilder()
-    for name, choices in values.items():
-        b = b.addGrid(est.getParam(name), list(choices))
-    return b.build()
+    return [base_point(algorithm) | dict(zip(values, c)) for c in itertools.product(*values.values())]
 
 
 @dataclass
@@ -85,70 +85,83 @@ class RunConfig:
     oversample: bool = True     # SMOTE-style oversampling of every training fold, inner ones too
     trees: int = TREES          # boosting rounds of the tree families' base parameters
     grid: dict | None = None    # another grid than the family's own
+    threads: int = parallel.THREADS  # folds prepared at once
     notes: list = field(default_factory=list)
 
 
+def preprocessing(train: DataFrame, cfg: RunConfig) -> PipelineModel:
+    return Pipeline(stages=preprocessing_stages(cfg.numeric, cfg.categorical)).fit(train)
+
+
 def _encoded(train: DataFrame, cfg: RunConfig, prep_model) -> DataFrame:
     """Training rows as the learner gets them: encoded, then oversampled, then weighted."""
-    enc = prep_model.transform(train).select(cfg.id_col, "features", "label")
+    enc = prep_model.transform(train).select(F.col(cfg.id_col).cast("string").alias("id"), "features", "label")
     if cfg.oversample:
-        enc = oversample_encoded(enc, cfg.id_col, cfg.seed)  # after encoding, training rows only
+        enc = oversample_encoded(enc, "id", cfg.seed)  # after encoding, training rows only
     if cfg.algorithm == "lightgbm":
-        return S.with_class_weight(enc, "label", "weight").select("features", "label", "weight")
-    return enc.select("features", "label")
+        return S.with_class_weight(enc, "label", "weight").select("id", "features", "label", "weight")
+    return enc.select("id", "features", "label", F.lit(1.0).alias("weight"))
 
 
-def grid_search(train: DataFrame, cfg: RunConfig, clf, maps: list, inner_fold: str) -> tuple[dict, list[float]]:
-    """H4: the parameter point of best mean area under the curve over the inner folds, and all means.
+def encoded_part(name: str, train: DataFrame, held: DataFrame, cfg: RunConfig) -> tuple[PipelineModel, DataFrame]:
+    """Preprocessing fitted on ``train``, and the part's rows for ``boosting.train``; rows held out are only encoded (weight 0)."""
+    prep_model = preprocessing(train, cfg)
+    out = prep_model.transform(held).select(F.col(cfg.id_col).cast("string").alias("id"), "features", "label", F.lit(0.0).alias("weight"))
+    rows = _encoded(train, cfg, prep_model).unionByName(out)
+    return prep_model, rows.select(F.lit(name).alias("part"), "id", vector_to_array("features").alias("features"), F.col("label").alias("y"), "weight").checkpoint()
 
-    Preprocessing and oversampling are fitted on each inner training part and
-    shared by all points; the part left out is only encoded.
-    """
-    checkpoint_root(train.sparkSession)
-    auc = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
-    totals = [0.0] * len(maps)
-    for f in range(S.INNER_FOLDS):  # bounded driver loops: inner folds x grid points
-        part, left_out = train.filter(F.col(inner_fold) != f), train.filter(F.col(inner_fold) == f)
-        prep_model = Pipeline(stages=preprocessing_stages(cfg.numeric, cfg.categorical)).fit(part)
-        enc = _encoded(part, cfg, prep_model).checkpoint()
-        held = prep_model.transform(left_out).select("features", "label").checkpoint()
-        for i, m in enumerate(maps):
-            totals[i] += auc.evaluate(clf.fit(enc, m).transform(held))
-    means = [t / S.INNER_FOLDS for t in totals]
-    return maps[means.index(max(means))], means
-
-
-def fit_pipeline(train: DataFrame, cfg: RunConfig, grid: bool, inner_fold: str | None = None) -> PipelineModel:
-    """Fit preprocessing + classifier on ``train`` (label column ``label`` as double).
-
-    The preprocessing is fitted once and the encoded rows (features, label[,
-    weight]) are cut from their lineage, so the iterative learner's many small
-    jobs have short plans.  With a grid, the point is chosen first on the
-    explicit inner fold column.
+
+def _parts(spark, splits: dict[str, tuple[DataFrame, DataFrame]], cfg: RunConfig) -> tuple[dict, DataFrame]:
+    """All parts encoded, several at once; preprocessing by part, and their rows together."""
+    made = parallel.results(parallel.run_all(spark, {n: (lambda n=n, s=s: encoded_part(n, *s, cfg)) for n, s in splits.items()}, cfg.threads))
+    rows = None
+    for _, r in made.values():
+        rows = r if rows is None else rows.unionByName(r)
+    return {n: m for n, (m, _) in made.items()}, rows
+
+
+def grid_search(splits: dict[str, dict[str, tuple[DataFrame, DataFrame]]], cfg: RunConfig, points: list[dict]) -> dict[str, tuple[dict, list[float]]]:
+    """H4: for each of several searches, the point of best mean area under the curve over its inner folds, and all means.
+
+    ``splits`` has, by search, the inner folds' (training, left out) rows.
+    Points that differ in ``maxIter`` alone are read off one fit.  All fits of
+    all searches grow together; one aggregate gives every area.
     """
-    weight = "weight" if cfg.algorithm == "lightgbm" else None
-    best = None
-    if grid and cfg.algorithm != "tabnet":
-        clf = base_estimator(cfg.algorithm, cfg.seed, weight, trees=cfg.trees)
-        maps = param_grid(cfg.algorithm, clf, cfg.grid)
-        if maps:
-            best, means = grid_search(train, cfg, clf, maps, inner_fold)
-            cfg.notes.append("grid=" + ", ".join(f"{p.name}:{v}" for p, v in best.items()) + f"; inner_auc={max(means):.6f}")
-    checkpoint_root(train.sparkSession)
-    prep_model = Pipeline(stages=preprocessing_stages(cfg.numeric, cfg.categorical)).fit(train)
-    enc = _encoded(train, cfg, prep_model).checkpoint()
-    if cfg.algorithm == "tabnet":
-        width = len(enc.select("features").first()[0])  # one row sizes the input layer
-        scaler = StandardScaler(inputCol="features", outputCol="features_scaled", withMean=True).fit(enc)
-        net = base_estimator("tabnet", cfg.seed, task=cfg.task, n_inputs=width).fit(scaler.transform(enc))
-        return PipelineModel(stages=prep_model.stages + [scaler, net])
-    clf = base_estimator(cfg.algorithm, cfg.seed, weight, trees=cfg.trees)
-    return PipelineModel(stages=prep_model.stages + [clf.fit(enc, best) if best else clf.fit(enc)])
+    spark = next(iter(next(iter(splits.values())).values()))[0].sparkSession
+    _, rows = _parts(spark, {f"{s}/{f}": pair for s, folds in splits.items() for f, pair in folds.items()}, cfg)
+    shapes = sorted({(p["maxDepth"], p["stepSize"]) for p in points})
+    rounds = sorted({p["maxIter"] for p in points})
+    fits = [boosted_fit(cfg.algorithm, f"{s}/{f}/{d}/{st}", f"{s}/{f}", {"maxDepth": d, "stepSize": st, "maxIter": rounds[-1]}, cfg.seed, rounds)
+            for s, folds in splits.items() for f in folds for d, st in shapes]
+    _, scores = B.train(rows, fits)
+    auc = {(r.key, r.rounds): r.auc for r in V.roc_auc(scores, groups=["key", "rounds"]).collect()}  # searches x folds x points
+    out = {}
+    for s, folds in splits.items():
+        means = []
+        for p in points:
+            found = [auc.get((f"{s}/{f}/{p['maxDepth']}/{p['stepSize']}", p["maxIter"])) for f in folds]
+            found = [a for a in found if a is not None]  # a fold with one class alone has none
+            means.append(sum(found) / len(found) if found else 0.0)
+        out[s] = points[means.index(max(means))], means
+    return out
+
+
+def _note(best: dict, means: list[float]) -> str:
+    return "grid=" + ", ".join(f"{k}:{v}" for k, v in best.items()) + f"; inner_auc={max(means):.6f}"
+
+
+def fit_network(train: DataFrame, cfg: RunConfig) -> PipelineModel:
+    """H3: preprocessing, scaling and the network on ``train`` (label column ``label`` as double)."""
+    prep_model = preprocessing(train, cfg)
+    enc = _encoded(train, cfg, prep_model).checkpoint()  # the iterative learner's many jobs get short plans
+    width = len(enc.select("features").first()[0])  # one row sizes the input layer
+    scaler = StandardScaler(inputCol="features", outputCol="features_scaled", withMean=True).fit(enc)
+    net = network(cfg.seed, cfg.task, width).fit(scaler.transform(enc))
+    return PipelineModel(stages=prep_model.stages + [scaler, net])
 
 
 def oversample_encoded(enc: DataFrame, id_col: str, seed: int) -> DataFrame:
     """F6 on the encoded training rows: synthetic minority vectors until the classes balance."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
     from .oversample import smote
     arr = enc.select(F.col(id_col).alias("_id"), vector_to_array("features").alias("_v"), "label")
     out = smote(arr, "_id", "_v", "label", seed=seed)
@@ -166,27 +179,35 @@ def nested_cv(df: DataFrame, cfg: RunConfig) -> dict:
     summary row and notes.  What runs depends on ``cfg`` alone; ``max_rows``
     bounds the rows of a run where a caller wants that.
     """
-    checkpoint_root(df.sparkSession)  # lineage cuts go to the shared checkpoint folder
+    spark = df.sparkSession
+    checkpoint_root(spark)  # lineage cuts go to the shared checkpoint folder
+    base_point(cfg.algorithm)
     data = S.stratified_cap(df, cfg.label, cfg.id_col, cfg.max_rows, cfg.seed)
     data = data.withColumn("label", F.col(cfg.label).cast("double"))
     folds = S.stratified_folds(data, "label", cfg.id_col, S.OUTER_FOLDS, cfg.seed).checkpoint()
     n = folds.count()
-    grid = cfg.use_grid and cfg.algorithm != "tabnet"
-    cfg.notes.append(f"gridsearch={str(grid).lower()}")
+    points = param_grid(cfg.algorithm, cfg.grid) if cfg.use_grid else []
+    cfg.notes.append(f"gridsearch={str(bool(points)).lower()}")
     cfg.notes.append(f"oversampling={str(cfg.oversample).lower()}")
-    inner = S.inner_folds(folds, "label", cfg.id_col, seed=cfg.seed).checkpoint() if grid else None
-    preds = []
-    for f in range(S.OUTER_FOLDS):  # bounded driver loop: K outer folds
-        if grid:
-            train = inner.filter(F.col("outer_fold") == f)
-        else:
-            train = folds.filter(F.col("fold") != f)
-        test = folds.filter(F.col("fold") == f)
-        model = fit_pipeline(train, cfg, grid, "inner_fold" if grid else None)
-        preds.append(score(model, test, [cfg.id_col, "fold", F.col("label").cast("int").alias("y")]))
-    oof = preds[0]
-    for p in preds[1:]:
-        oof = oof.unionByName(p)
+    outer = {str(f): (folds.filter(F.col("fold") != f), folds.filter(F.col("fold") == f)) for f in range(S.OUTER_FOLDS)}
+    if cfg.algorithm == "tabnet":
+        label = F.col("label").cast("int").alias("y")
+        made = parallel.results(parallel.run_all(spark, {f: (lambda s=s: score(fit_network(s[0], cfg), s[1], [cfg.id_col, "fold", label]).checkpoint()) for f, s in outer.items()}, cfg.threads))
+        oof = made["0"]
+        for f in range(1, S.OUTER_FOLDS):
+            oof = oof.unionByName(made[str(f)])
+    else:
+        best = {f: base_point(cfg.algorithm, cfg.trees) for f in outer}
+        if points:
+            inner = S.inner_folds(folds, "label", cfg.id_col, seed=cfg.seed).checkpoint()
+            searches = {f: {str(i): (inner.filter((F.col("outer_fold") == int(f)) & (F.col("inner_fold") != i)), inner.filter((F.col("outer_fold") == int(f)) & (F.col("inner_fold") == i)))
+                            for i in range(S.INNER_FOLDS)} for f in outer}
+            for f, (point, means) in grid_search(searches, cfg, points).items():
+                best[f] = point
+                cfg.notes.append(_note(point, means))
+        _, rows = _parts(spark, outer, cfg)
+        _, scores = B.train(rows, [boosted_fit(cfg.algorithm, f, f, p, cfg.seed) for f, p in best.items()])
+        oof = scores.select(F.col("id").cast(df.schema[cfg.id_col].dataType).alias(cfg.id_col), F.col("key").cast("int").alias("fold"), "y", "p")
     oof = oof.checkpoint()
     fm = V.evaluate(oof, groups=["fold"])
     return {"oof": oof, "fold_metrics": fm, "n_rows": n, "notes": list(cfg.notes)}
@@ -202,20 +223,30 @@ def final_fit(df: DataFrame, cfg: RunConfig) -> dict:
     split-conformal quantile (I11) of the holdout scores.
     """
     from .uncertainty import conformal_quantile
-    checkpoint_root(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    point = base_point(cfg.algorithm, cfg.trees)
     data = S.stratified_cap(df, cfg.label, cfg.id_col, cfg.max_rows, cfg.seed)
     data = data.withColumn("label", F.col(cfg.label).cast("double"))
     split = S.holdout_split(data, "label", cfg.id_col, seed=cfg.seed).checkpoint()
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
-    if cfg.final_params == "best" and cfg.use_grid and cfg.algorithm != "tabnet":
-        # refit with the grid's best parameters (inner stratified folds on the training split)
-        inner = S.stratified_folds(train, "label", cfg.id_col, S.INNER_FOLDS, f"{cfg.seed}:final", "inner_fold")
-        model = fit_pipeline(inner, cfg, grid=True, inner_fold="inner_fold")
-    else:  # the reference's behaviour: base parameters
-        model = fit_pipeline(train, cfg, grid=False)
+    ensemble = None
+    if cfg.algorithm == "tabnet":
+        model = fit_network(train, cfg)
+    else:
+        points = param_grid(cfg.algorithm, cfg.grid) if cfg.use_grid and cfg.final_params == "best" else []
+        if points:  # inner stratified folds on the training split
+            inner = S.stratified_folds(train, "label", cfg.id_col, S.INNER_FOLDS, f"{cfg.seed}:final", "inner_fold").checkpoint()
+            found = grid_search({"final": {str(i): (inner.filter(F.col("inner_fold") != i), inner.filter(F.col("inner_fold") == i)) for i in range(S.INNER_FOLDS)}}, cfg, points)
+            point = found["final"][0]
+            cfg.notes.append(_note(*found["final"]))
+        prep_model, rows = encoded_part("final", train, test, cfg)
+        ensembles, _ = B.train(rows, [boosted_fit(cfg.algorithm, "final", "final", point, cfg.seed)])
+        ensemble = ensembles["final"]
+        model = PipelineModel(stages=prep_model.stages + [BoostedTreesModel.of(spark, ensemble)])
     cal = score(model, test, [cfg.id_col, F.col("label").cast("int").alias("y")]).checkpoint()
-    return {"model": model, "holdout": cal, "metrics": V.evaluate(cal), "best_threshold": V.best_threshold(cal),
+    return {"model": model, "ensemble": ensemble, "holdout": cal, "metrics": V.evaluate(cal), "best_threshold": V.best_threshold(cal),
             "conformal": conformal_quantile(cal)}
 
 

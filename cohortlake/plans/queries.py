@@ -1291,6 +1291,43 @@ def q_encoded_width(spark, sf):
     return enc.agg(F.count_if("wrong").alias("n_wrong_width"), F.count("*").alias("n_rows"))
 
 
+from ..operators import tree_attribution as TA  # noqa: E402
+from . import boosted as BO  # noqa: E402
+
+
+@query("boosted_rounds", BO.SCORES_SQL)
+def q_boosted_rounds(spark, sf):
+    """H1/H2 learner: held-out scores of an ensemble and of its prefixes; the oracle fits the same trees in SQL."""
+    from ..operators import boosting
+    _, scores = boosting.train(BO.rows(spark, sf), [BO.FIT])
+    return scores.select("id", "rounds", "y", _r("p"))
+
+
+@query("boosted_table_scoring", BO.sql() + f"select id, round(m, 6) as margin from m{BO.FIT.rounds} where not tr")
+def q_boosted_table_scoring(spark, sf):
+    """A12 + J8: the fitted trees written as a table, read back, and every held-out row scored from that table."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from ..operators import boosting
+    from ..operators.boosted_model import BoostedTreesModel
+    rows = BO.rows(spark, sf)
+    path = scratch_path(spark, "boosted")
+    MD.PipelineModel(stages=[BoostedTreesModel.of(spark, boosting.train(rows, [BO.FIT])[0][BO.FIT.key])]).write().save(path)
+    held = rows.where("weight = 0").select("id", array_to_vector("features").alias("features"))
+    p = vector_to_array("probability")
+    return MD.load_model(path, strict=True).transform(held).select("id", F.round(F.log(p[1] / p[0]), 6).alias("margin"))
+
+
+@query("boosted_attribution", BO.ATTRIBUTION_SQL)
+def q_boosted_attribution(spark, sf):
+    """Exact contributions of the fitted trees for every held-out row, all training rows as background; their sum against SQL's margins."""
+    from ..operators import boosting
+    rows = BO.rows(spark, sf)
+    e = boosting.train(rows, [BO.FIT])[0][BO.FIT.key]
+    ex = TA.explainer(boosting.tree_arrays(boosting.ensemble_table(spark, e)), e.base, rows.where("weight > 0"))
+    phi = TA.attribute(rows.where("weight = 0"), ex, "id")
+    return phi.select("id", F.round(F.aggregate("contributions", F.lit(0.0), lambda a, b: a + b), 6).alias("total"), F.round(F.lit(ex.base_value), 6).alias("base_value"))
+
+
 @query("model_sweep", "select t.task, a.algorithm, case when a.algorithm = 'catboost' then 'failed' else 'ok' end as status, true as plausible "
        "from (values ('response'), ('mortality')) t(task), (values ('lightgbm'), ('xgboost'), ('tabnet'), ('catboost')) a(algorithm)")
 def q_model_sweep(spark, sf):
