@@ -115,7 +115,8 @@ def contract(tree: DataFrame, weights: list[str]) -> DataFrame:
     """Subtree totals of ``weights`` (longs) for every node of ``tree`` (node, parent: null at roots, kids: number of children).
 
     Returns (node, weights...).  ``up`` weights are those of nodes spliced out
-    between a node and its present parent.
+    between a node and its present parent.  Both sides of each join shrink
+    from round to round; a shuffle for all of them keeps them off the driver.
     """
     up, add = ({w: f"{p}_{w}" for w in weights} for p in ("up", "add"))
     # the round's number is a column: rounds then share their generated code
@@ -129,11 +130,11 @@ def contract(tree: DataFrame, weights: list[str]) -> DataFrame:
         raked = active.where(leaf).select("node", *weights)
         rank = [F.xxhash64("turn", c) for c in ("node", "parent", "child")]
         peak = (F.col("left") == 1) & F.col("parent").isNotNull() & (rank[0] > rank[1]) & (rank[0] > rank[2])
-        rest = active.where(~leaf).join(met, "node").select(
+        rest = active.where(~leaf).join(met.hint("merge"), "node").select(
             "node", "parent", F.col("left").alias("kids"), (F.col("turn") + 1).alias("turn"), *[(F.col(w) + F.col(f"got_{w}")).alias(w) for w in weights], *up.values(), F.when(peak, F.col("child")).alias("into"))
         moved = rest.where("into is not null").select(F.col("into").alias("node"), F.col("node").alias("gone"), F.col("parent").alias("to"),
                                                       *[F.col(w).alias(add[w]) for w in weights], *[F.col(up[w]).alias(f"up_{add[w]}") for w in weights])
-        after = cut(rest.where("into is null").drop("into").join(moved, "node", "left"))
+        after = cut(rest.where("into is null").drop("into").join(moved.hint("merge"), "node", "left"))
         spliced = after.where("gone is not null").select(F.col("node").alias("into"), "gone", *[(F.col(add[w]) + F.col(up[w])).alias(add[w]) for w in weights])
         rounds.append((raked, spliced))
         active = after.select("node", F.coalesce("to", "parent").alias("parent"), "kids", "turn", *weights, *[
@@ -145,7 +146,7 @@ def contract(tree: DataFrame, weights: list[str]) -> DataFrame:
         if known is None:
             known = raked
             continue
-        both = known.join(spliced, known.node == spliced.into, "left").select(F.explode(F.filter(F.array(
+        both = known.join(spliced.hint("merge"), known.node == spliced.into, "left").select(F.explode(F.filter(F.array(
             F.struct("node", *weights), F.when(F.col("gone").isNotNull(), F.struct(F.col("gone").alias("node"), *[(F.col(w) + F.col(add[w])).alias(w) for w in weights]))),
             lambda x: x.isNotNull())).alias("t")).select("t.*")
         known = cut(both).unionByName(raked)
