@@ -12,8 +12,8 @@ unary chains: nodes with one child left whose priority in this round is
 above those of parent and child are spliced out, their weight moving to
 the child's link.  Each round leaves at most about two thirds of the
 nodes, so rounds follow the logarithm of nodes or depth, whatever the
-tree's shape.  Then the rounds are taken back: a spliced node's total is
-its child's, known by then, plus what its removal had recorded.
+tree's shape.  Then the spliced nodes are expanded: such a node's total is
+its child's plus what its removal had recorded.
 
 Hot keys: conversations are ranked in range partitions of (conversation,
 turn), prefix sums run in blocks of ``BLOCK`` places, node facts and
@@ -32,9 +32,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -120,37 +121,42 @@ def contract(tree: DataFrame, weights: list[str]) -> DataFrame:
     """
     up, add = ({w: f"{p}_{w}" for w in weights} for p in ("up", "add"))
     # the round's number is a column: rounds then share their generated code
-    active = cut(tree.select("node", "parent", F.col("kids").cast("long").alias("kids"), F.lit(0).cast("long").alias("turn"), *weights, *[F.lit(0).cast("long").alias(u) for u in up.values()]))
-    rounds = []
-    while active.count():
+    active, left = _counted(tree.select("node", "parent", F.col("kids").cast("long").alias("kids"), F.lit(0).cast("long").alias("turn"), *weights, *[F.lit(0).cast("long").alias(u) for u in up.values()]))
+    raked, spliced = [active.limit(0).select("node", *weights)], []
+    while left:
         leaf = F.col("kids") == 0
         met = active.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(
             *[F.sum(F.when(leaf, F.col(w) + F.col(up[w])).otherwise(0)).alias(f"got_{w}") for w in weights],
             F.count_if(~leaf).alias("left"), F.min(F.when(~leaf, F.col("node"))).alias("child"))
-        raked = active.where(leaf).select("node", *weights)
+        raked.append(active.where(leaf).select("node", *weights))
         rank = [F.xxhash64("turn", c) for c in ("node", "parent", "child")]
         peak = (F.col("left") == 1) & F.col("parent").isNotNull() & (rank[0] > rank[1]) & (rank[0] > rank[2])
         rest = active.where(~leaf).join(met.hint("merge"), "node").select(
             "node", "parent", F.col("left").alias("kids"), (F.col("turn") + 1).alias("turn"), *[(F.col(w) + F.col(f"got_{w}")).alias(w) for w in weights], *up.values(), F.when(peak, F.col("child")).alias("into"))
         moved = rest.where("into is not null").select(F.col("into").alias("node"), F.col("node").alias("gone"), F.col("parent").alias("to"),
                                                       *[F.col(w).alias(add[w]) for w in weights], *[F.col(up[w]).alias(f"up_{add[w]}") for w in weights])
-        after = cut(rest.where("into is null").drop("into").join(moved.hint("merge"), "node", "left"))
-        spliced = after.where("gone is not null").select(F.col("node").alias("into"), "gone", *[(F.col(add[w]) + F.col(up[w])).alias(add[w]) for w in weights])
-        rounds.append((raked, spliced))
+        after, left = _counted(rest.where("into is null").drop("into").join(moved.hint("merge"), "node", "left"))
+        spliced.append(after.where("gone is not null").select("gone", F.col("node").alias("into"), *[(F.col(add[w]) + F.col(up[w])).alias(add[w]) for w in weights]))
         active = after.select("node", F.coalesce("to", "parent").alias("parent"), "kids", "turn", *weights, *[
             (F.col(up[w]) + F.coalesce(add[w], F.lit(0)) + F.coalesce(f"up_{add[w]}", F.lit(0))).alias(up[w]) for w in weights])
-    if not rounds:
-        return active.select("node", *weights)
-    known = None
-    for raked, spliced in reversed(rounds):  # each round's nodes from those that outlived it
-        if known is None:
-            known = raked
-            continue
-        both = known.join(spliced.hint("merge"), known.node == spliced.into, "left").select(F.explode(F.filter(F.array(
-            F.struct("node", *weights), F.when(F.col("gone").isNotNull(), F.struct(F.col("gone").alias("node"), *[(F.col(w) + F.col(add[w])).alias(w) for w in weights]))),
-            lambda x: x.isNotNull())).alias("t")).select("t.*")
-        known = cut(both).unionByName(raked)
-    return known
+    settled = reduce(DataFrame.unionByName, raked)
+    if not spliced:
+        return settled
+    # a spliced node's total is that of the node it went into, plus what was noted; that one may itself have been spliced
+    # in a later round, so these links are doubled until all lead to raked nodes
+    links = cut(reduce(DataFrame.unionByName, spliced))
+    for _ in range((len(spliced) - 1).bit_length()):
+        onward = links.select(F.col("gone").alias("into"), F.col("into").alias("to"), *[F.col(add[w]).alias(w) for w in weights])
+        links = cut(links.join(onward.hint("merge"), "into", "left").select("gone", F.coalesce("to", "into").alias("into"), *[(F.col(add[w]) + F.coalesce(w, F.lit(0))).alias(add[w]) for w in weights]))
+    ends = settled.withColumnRenamed("node", "into")
+    return settled.unionByName(links.join(ends.hint("merge"), "into").select(F.col("gone").alias("node"), *[(F.col(w) + F.col(add[w])).alias(w) for w in weights]))
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written to the checkpoint folder, and its rows, counted on the way."""
+    seen = Observation()
+    df = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return df, seen.get["n"]
 
 
 def id_digests(ends: DataFrame) -> DataFrame:
