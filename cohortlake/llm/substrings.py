@@ -30,7 +30,8 @@ stream; nothing but the first document of a group is kept in memory.
 Defined cases: a null or empty text has no words and no windows; a text of
 fewer words than a window loses nothing; rows that repeat an id are one
 document's for the comparison (none of them is smaller than the other) and
-give a row each; rows without id are kept whole and take no part; other
+give a row each; where their texts differ, each text has positions of its
+own within the document, so that no mark of one meets another; rows without id are kept whole and take no part; other
 columns are ignored; an empty table gives no rows.
 """
 
@@ -41,10 +42,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, CODES, mix, pieces, shuffle_partitions, signed, spans, word_hashes, words
+from .common import ASCII_SPACE, CODES, cut, mix, pieces, shuffle_partitions, signed, spans, word_hashes, words
 
 WINDOW = 13
 
@@ -182,7 +183,9 @@ def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, names) to (name, hash, doc_id, first, more, kind): windows with a shared anchor, compared within the batch.
+    """(doc_id, text, names, offset) to (name, hash, doc_id, first, more, kind): windows with a shared anchor, compared within the batch.
+
+    Positions count from the row's offset.
 
     A window that the batch itself shows in a smaller document is settled; runs of such windows are one row, its first window and the number of further ones.
     """
@@ -191,7 +194,7 @@ def window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         if not batch.num_rows:
             continue
         ids = _ids(batch.column(0))
-        listed = batch.column(2)
+        listed, offsets = batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
         sizes = listed.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = listed.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         upto = np.concatenate([[0], np.cumsum(sizes)])
@@ -204,7 +207,7 @@ def window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
             first, name = first[take], name[take]
             whole = mix(spans(mix(word_hashes(data, starts, ends, CODES[1])), first, first + window)) if len(first) else name
             base = np.searchsorted(row, np.arange(r1 - r0))  # each row's first word
-            pos = first - base[row[first]]
+            pos = first - base[row[first]] + offsets[r0:r1][row[first]]
             doc = ids[r0:r1][row[first]]
             order = np.lexsort((pos, doc, whole, name))
             name, whole, doc, pos = name[order], whole[order], doc[order], pos[order]
@@ -256,15 +259,17 @@ def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def keep_words(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, marks) to one row per text: words, removed words, and the kept words or their SHA-256."""
+    """(doc_id, text, marks, offset) to one row per text: words, removed words, and the kept words or their SHA-256."""
     for batch in batches:
         out: list[list] = [[], [], []]
-        for x, marks in zip(batch.column(1), batch.column(2)):
+        for x, marks, offset in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist()):
             kept = (x.as_py() or "").encode().split()
             n = len(kept)
             if marks.is_valid and len(marks):
                 cover = np.zeros(n + 1, np.int64)
                 first, more = (marks.values.field(k).to_numpy(zero_copy_only=False) for k in ("first", "more"))
+                mine = (first >= offset) & (first < offset + n)
+                first, more = first[mine] - offset, more[mine]
                 np.add.at(cover, first, 1)
                 np.add.at(cover, first + more + window, -1)
                 kept = [kept[i] for i in np.flatnonzero(np.cumsum(cover[:n]) == 0).tolist()]
@@ -283,10 +288,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = rows.where(F.col("doc_id").isNotNull()).mapInArrow(lambda b: anchor_rows(b, window), "name long, doc_id long, kind int")
     shared = (anchors.repartition(n, deal).sortWithinPartitions("name", "doc_id").mapInArrow(shared_anchors, "doc_id long, name long")
               .groupBy("doc_id").agg(F.collect_list("name").alias("names")))
+    several = text_offsets(rows, window)
+    offset = F.coalesce(F.element_at(F.map_from_entries("offsets"), F.xxhash64("text")), F.lit(0)).cast("int").alias("offset")
     # both joins take the same left side as it is (rows without a match are passed over inside), so the texts are dealt once
-    found = rows.join(shared, "doc_id", "left").select("doc_id", "text", "names") \
+    found = rows.join(shared.join(several, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "names", offset) \
         .mapInArrow(lambda b: window_rows(b, window), "name long, hash long, doc_id long, first int, more int, kind int")
     marks = (found.repartition(n, deal).sortWithinPartitions("name", "hash", "doc_id").mapInArrow(repeated_windows, "doc_id long, first int, more int")
              .groupBy("doc_id").agg(F.collect_list(F.struct("first", "more")).alias("marks")))
-    return rows.join(marks, "doc_id", "left").select("doc_id", "text", "marks") \
+    return rows.join(marks.join(several, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "marks", offset) \
         .mapInArrow(lambda b: keep_words(b, window, texts), "doc_id long, n_words long, n_removed long, kept string")
+
+
+def text_offsets(rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, offsets: [(text's hash, first position)]) of the ids that stand on different texts; written, as both joins read it."""
+    text = rows.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), (F.length(F.coalesce("text", F.lit(""))) + window).cast("long").alias("n"))
+    ids = text.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("doc_id")
+    each = text.join(ids, "doc_id", "left_semi").groupBy("doc_id", "h").agg(F.max("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut(each.select("doc_id", F.struct("h", before.alias("at")).alias("o")).groupBy("doc_id").agg(F.collect_list("o").alias("offsets")))

@@ -193,3 +193,13 @@ def test_texts_without_lexicon_terms_are_alike_only_if_equal():
     make = M.Fingerprinter(["common", "words"])
     a, b, again = (make.slots(t) for t in (b"rare one", b"rare two", b"one, rare"))
     assert a == again and M.likeness(a, b) == 0.0 and M.likeness(a, again) == 1.0 and set(make.slots(b" ,")) == {"0"}
+
+
+def test_an_id_on_different_texts(spark):
+    """Marks of one text never meet another text of the same id; nothing that stands nowhere else is removed."""
+    from cohortlake.llm.substrings import remove_repeats
+    shared, other = prose(71, 40), prose(72, 90)
+    rows = [(1, shared), (2, prose(73, 20) + " " + shared), (2, "short text"), (2, other), (2, other), (3, other + " " + prose(74, 5)), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in remove_repeats(df).collect())
+    assert got == sorted([(1, 40, 0, shared), (2, 60, 40, prose(73, 20)), (2, 2, 0, "short text"), (2, 90, 0, other), (2, 90, 0, other), (3, 95, 90, prose(74, 5)), (3, 0, 0, "")])
