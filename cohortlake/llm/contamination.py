@@ -24,6 +24,8 @@ ignored; an empty table gives no rows; long texts are searched whole.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +109,12 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that contain an item; rows without id stay."""
-    leaks = cut(contained_items(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("__leak")).distinct())
-    return docs.join(_sent(leaks, leaks.count()), docs[id_col].cast("long") == F.col("__leak"), "left_anti")
+    """``docs`` without the rows whose text contains an item; judged by text, as an id may stand on different ones or be missing."""
+    free = (n for n in itertools.count() if f"__leak{n}" not in docs.columns)
+    key, leak = f"__leak{next(free)}", f"__leak{next(free)}"
+    texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias(key), F.col(text_col).alias("text"))
+    leaks = cut(contained_items(texts, items, key, "text", **options).select(F.col("doc_id").alias(leak)).distinct())
+    return docs.join(_sent(leaks, leaks.count()), F.xxhash64(docs[text_col].cast("string")) == F.col(leak), "left_anti")
 
 
 def oracle(containment: float = CONTAINMENT, shingle: int = SHINGLE) -> str:

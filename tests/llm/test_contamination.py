@@ -66,3 +66,12 @@ def test_main_path_has_no_python(spark):
     docs, items = frame(spark, [(1, prose(1, 30))]), frame(spark, [(1, prose(1, 10))], "item_id long, text string")
     plan = B.contained_items(docs, items)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_rows_go_by_their_text(spark):
+    """An id on a clean and a contaminated text keeps the clean one; a contaminated row without id goes; reserved-looking columns stay."""
+    from cohortlake.llm.contamination import drop_contaminated
+    item = " ".join(f"word{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "all clean here, nothing else at all", 5), (1, "before " + item + " after", 6), (None, item, 7), (None, "clean without id", 8), (2, None, 9), (2, item, 1)], "doc_id long, text string, __leak0 int")
+    kept = drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r[2] for r in kept.collect()) == [5, 8, 9]
