@@ -29,7 +29,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -111,13 +111,20 @@ class Encoder:
     """Ids of whole texts of moderate length, and of byte strings within one split."""
 
     def __init__(self, path: str):
-        self.tokenizer = library(path)
-        self.model = self.tokenizer.model
+        self.path = path
         self.quick = quick(path)
         self.special = special_strings(path)
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        return library(self.path)  # loaded for texts that need it only
+
+    @cached_property
+    def model(self):
+        return self.tokenizer.model
+
     def text(self, s: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
         if not s:
