@@ -141,3 +141,32 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], bucket_fn=prob
         lo, hi = at(math.floor(h) + 1), at(min(math.floor(h) + 2, n))
         out.append(lo + (h - math.floor(h)) * (hi - lo))
     return out
+
+
+def exact_quantiles_by(df: DataFrame, group: str, col: str, qs: Sequence[float], bucket_fn=signed_log_bucket) -> dict:
+    """``exact_quantiles`` of ``col`` for every value of ``group`` (few: columns of a table) in one pass; groups without values are absent."""
+    import math
+    vals = df.select(group, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    d = vals.groupBy(group, "_x").agg(F.count(F.lit(1)).alias("c")).persist()
+    try:
+        n = {r[group]: r.n for r in d.groupBy(group).agg(F.sum("c").alias("n")).collect()}
+        if not n:
+            return {}
+        ranks = {g: sorted({r for q in qs for h in [(k - 1) * float(q)] for r in (math.floor(h) + 1, min(math.floor(h) + 2, k))}) for g, k in n.items()}
+        wanted = F.element_at(F.create_map(*[F.lit(x) for g, rs in ranks.items() for x in (g, rs)]), F.col(group))
+        c = cumulative_before(d, "_x", ["c"], bucket_fn(F.col("_x")), [group])
+        hit = F.exists(wanted, lambda r: (F.col("c_before") < r) & (r <= F.col("c_before") + F.col("c")))
+        found: dict = {}
+        for r in c.filter(hit).select(group, "_x", "c_before", "c").collect():  # <= 2 rows per quantile and group
+            found.setdefault(r[group], []).append((r["_x"], r.c_before, r.c))
+    finally:
+        d.unpersist()
+    out = {}
+    for g, k in n.items():
+        at = lambda r, g=g: next(x for x, before, cnt in found[g] if before < r <= before + cnt)
+        out[g] = []
+        for q in qs:
+            h = (k - 1) * float(q)
+            lo, hi = at(math.floor(h) + 1), at(min(math.floor(h) + 2, k))
+            out[g].append(lo + (h - math.floor(h)) * (hi - lo))
+    return out

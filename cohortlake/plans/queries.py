@@ -940,6 +940,7 @@ def q_input_completeness(spark, sf):
 
 from ..session import scratch_path  # noqa: E402
 from ..sources import readers as RD  # noqa: E402
+from ..sources import json_array as JA  # noqa: E402
 from ..sources import writers as WR  # noqa: E402
 from pyspark.sql import types as TT  # noqa: E402
 
@@ -972,6 +973,19 @@ def q_case_csv_scan(spark, sf):
     return H.case_cohort(cases, docs, _patient_flags(spark, sf), ecog_col="ecog_all_null")
 
 
+@query("case_array_scan", ORACLE["case_canonical"])
+def q_case_array_scan(spark, sf):
+    """A2 + A3: the case documents as one JSON array in one file, read by byte ranges and harmonized."""
+    base = scratch_path(spark, "case-array")
+    X.case_raw(spark, sf).write.option("header", "true").csv(f"{base}/cases.csv")
+    doc = X.nested_cases(spark, sf)
+    line = doc.select(F.lit(1).alias("o"), F.concat(F.to_json(F.struct(*doc.columns)), F.lit(",")).alias("value"))
+    both = spark.createDataFrame([(0, "["), (2, "null]")], "o int, value string")
+    line.unionByName(both).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{base}/cases.json")
+    docs = JA.read_json_array(spark, f"{base}/cases.json", RD.CASE_DOCUMENT_SCHEMA)
+    return H.case_cohort(RD.first_existing_csv(spark, [f"{base}/cases.csv"]), docs, _patient_flags(spark, sf), ecog_col="ecog_all_null")
+
+
 @query("study_files_scan", _cte(e="eav_raw") + "select cast(seq as varchar) as seq, sample_id, patient_id, study_id, "
        "attr, value, study_id as study_dir from e")
 def q_study_files_scan(spark, sf):
@@ -1110,6 +1124,18 @@ def q_run_report_scan(spark, sf):
     return got.select("task", "algorithm", _r("auc"), _r("brier"), "threshold", "status")
 
 
+@query("run_report_commits", _FOLDS_SQL + "select task, algorithm, round(auc, 9) as auc, round(brier, 9) as brier, threshold, status from runs where algorithm <> 'tabnet'")
+def q_run_report_commits(spark, sf):
+    """A13 with commits: each family's runs appended under a run id, one of them twice (a retry), one staged by a writer that died before its commit."""
+    path = scratch_path(spark, "committed-runs")
+    runs = _runs(spark, sf).select(*[f.name for f in _RUN_REPORT_SCHEMA.fields]).checkpoint()
+    for name in ("lightgbm", "xgboost", "xgboost"):
+        WR.commit_run_reports(runs.filter(F.col("algorithm") == name), path, name)
+    runs.filter(F.col("algorithm") == "tabnet").write.parquet(f"{path}/{WR.ROWS}/tabnet~died")
+    got = RD.read_committed_runs(spark, path, _RUN_REPORT_SCHEMA)
+    return got.select("task", "algorithm", _r("auc"), _r("brier"), "threshold", "status")
+
+
 _NESTED_SQL = (_FOLDS_SQL + ", nr as (select task, algorithm, round(auc, 9) as auc, round(brier, 9) as brier, case when algorithm = 'xgboost' then null "
                "when algorithm = 'tabnet' then 1.5 else threshold end as threshold from runs) ")
 
@@ -1188,6 +1214,18 @@ def q_median_imputation(spark, sf):
     return P.median_impute(tr, f, ["n_chars"]).select("doc_id", "fold", "n_chars")
 
 
+@query("fitted_median_imputation", _DOCS_NULLED + "select doc_id, cast(fold as integer) as fold, coalesce(cast(n_chars as double), (select median(cast(n_chars as double)) from tr)) as n_chars, "
+       "coalesce(cast(quality as double), (select median(cast(quality as double)) from tr)) as quality from f")
+def q_fitted_median_imputation(spark, sf):
+    """G1 inside a fitted pipeline that was saved and loaded: medians of the training folds, for every row."""
+    from pyspark.ml import Pipeline, PipelineModel
+    f, tr = _docs_with_folds(spark, sf)
+    path = scratch_path(spark, "median-pipeline")
+    Pipeline(stages=[P.ExactMedianImputer(inputCols=["n_chars", "quality"], outputCols=["n_chars_full", "quality_full"])]).fit(tr).write().save(path)
+    full = PipelineModel.load(path).transform(f)
+    return full.select("doc_id", "fold", F.col("n_chars_full").alias("n_chars"), F.col("quality_full").alias("quality"))
+
+
 @query("unknown_fill", _DOCS_NULLED + "select doc_id, coalesce(lang, 'Unknown') as lang from f")
 def q_unknown_fill(spark, sf):
     """G2."""
@@ -1390,6 +1428,29 @@ def q_streaming_scoring(spark, sf):
                       _r("mortality_probability"), "mortality_label", "drug_name")
 
 
+_NUMERIC_UPLOAD = [c for c in (f.name for f in ST.FEATURES if f.numeric) if c in _UPLOAD_COLS]
+
+
+@query("streaming_rejects", _upload_sql() + _NORM_CTE + ", sc as (select row_id, " + _RESP_P + " as p, " + _MORT_P + " as pm from nz), why as (select row_id, case when "
+       f"cast(split_part(row_id, ':', 2) as bigint) % 17 = 0 then '{ST.TOO_LONG}' " + " ".join(f"when {c} = 'junk' then '{c} is not a number'" for c in _NUMERIC_UPLOAD)
+       + " end as reason from up) select row_id, reason, case when reason is null then round(p, 9) end as probability, case when reason is null then round(pm, 9) end as mortality_probability "
+       "from why join sc using (row_id)")
+def q_streaming_rejects(spark, sf):
+    """J13 + A8: files with over-long rows and cells that are no numbers; bad rows are set aside with their reason, the others scored."""
+    base = scratch_path(spark, "stream-rejects")
+    up = _upload(spark, sf)
+    long = F.substring_index("row_id", ":", -1).cast("long") % 17 == 0
+    up.filter(~long).repartition(4, "row_id").write.option("header", "true").csv(f"{base}/in")
+    line = F.concat_ws(",", "row_id", *[F.lit("1")] * len(up.columns)).alias(",".join(up.columns))
+    up.filter(long).select(line).write.mode("append").option("header", "true").option("sep", "\u0001").option("quote", "").csv(f"{base}/in")
+    ST.score_uploads(spark, f"{base}/in", up.columns, f"{base}/scores", f"{base}/rejected", f"{base}/ckpt", RESPONSE_SCORER, MORTALITY_SCORER, max_files_per_trigger=3,
+                     response_algorithm="linear", mortality_algorithm="linear")
+    good = ST.read_batches(spark, f"{base}/scores").select("row_id", F.lit(None).cast("string").alias("reason"), _r("probability"), _r("mortality_probability"))
+    bad = ST.read_batches(spark, f"{base}/rejected")
+    none = F.lit(None).cast("double")
+    return good.unionByName(bad.select(F.substring_index("line", ",", 1).alias("row_id"), "reason", none.alias("probability"), none.alias("mortality_probability")))
+
+
 # ---------------------------------------------------------------- oversampling
 
 from ..operators import oversample as OV  # noqa: E402

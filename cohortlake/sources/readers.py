@@ -191,6 +191,30 @@ def read_run_reports(spark: SparkSession, path: str, multi_line: bool = True) ->
                       F.col("best_threshold.threshold").alias("threshold"))
 
 
+def committed_attempts(spark: SparkSession, path: str) -> list[str]:
+    """One attempt of each committed run under ``path`` (a name per run: a listing, not data)."""
+    from .writers import COMMITS
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{COMMITS}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = sorted(f.getPath().getName() for f in fs.listStatus(folder))
+    first: dict[str, str] = {}
+    for n in names:
+        if "~" in n and not n.startswith("."):
+            first.setdefault(n.rsplit("~", 1)[0], n)
+    return list(first.values())
+
+
+def read_committed_runs(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """A7 over ``writers.commit_run_reports``: the rows of committed runs, each once."""
+    from .writers import ROWS
+    found = committed_attempts(spark, path)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(fmt).load([f"{path.rstrip('/')}/{ROWS}/{n}" for n in found])
+
+
 def read_upload(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An uploaded CSV with a typed schema; over-long rows and bad casts are flagged, not raised.
 

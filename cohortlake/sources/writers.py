@@ -46,3 +46,29 @@ def append_run_reports(runs: DataFrame, path: str, fmt: str = "json") -> str:
     """Append run rows to the runs table."""
     runs.write.mode("append").format(fmt).save(path)
     return path
+
+
+#: Folder of the empty files that make appended runs visible, beside the staged rows.
+COMMITS, ROWS = "_commits", "rows"
+
+
+def commit_run_reports(runs: DataFrame, path: str, run_id: str, fmt: str = "parquet") -> str:
+    """A13 with a commit: the rows of one run, visible as a whole or not at all, once however often they are appended.
+
+    The rows are staged in a folder of their own for each attempt; then one
+    empty file, whose creation is atomic, names run and attempt.  Readers
+    (``readers.read_committed_runs``) take one attempt of each run that has
+    such a file, so an attempt that died before is never seen, a repeated one
+    adds nothing, and writers at the same time touch different files.
+    """
+    import uuid
+    spark = runs.sparkSession
+    if not run_id or any(c in run_id for c in "~/\\:"):
+        raise ValueError("run_id must be a plain name")
+    attempt = f"{run_id}~{uuid.uuid4().hex}"
+    base = path.rstrip("/")
+    runs.write.mode("error").format(fmt).save(f"{base}/{ROWS}/{attempt}")
+    jvm = spark._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{base}/{COMMITS}/{attempt}")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, False).close()
+    return attempt

@@ -2,6 +2,7 @@
 import math
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -40,29 +41,30 @@ def test_entry_smoke(spark):
     assert len(rows) == 18
 
 
-def norm(df: pd.DataFrame):
-    out = []
-    for rec in df[sorted(df.columns)].itertuples(index=False):
-        row = []
-        for v in rec:
-            if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
-                row.append(None)
-            elif isinstance(v, float):
-                row.append(round(v, 6))
-            elif hasattr(v, "item"):
-                v = v.item()
-                row.append(round(v, 6) if isinstance(v, float) else v)
-            else:
-                row.append(v)
-        out.append(tuple(str(x) for x in row))
-    return sorted(out)
+def norm(table):
+    """Rows of an Arrow table or pandas frame as sorted tuples; a number is a number whatever its width, floats to six digits."""
+    if isinstance(table, pd.DataFrame):
+        table = pa.Table.from_pandas(table, preserve_index=False)
+
+    def plain(v):
+        if v is None or (isinstance(v, float) and math.isnan(v)):
+            return None
+        return round(v, 6) + 0.0 if isinstance(v, float) else v
+    names = sorted(table.column_names)
+    columns = []
+    for n in names:
+        c = table.column(n)
+        if pa.types.is_decimal(c.type):
+            c = c.cast(pa.float64())
+        columns.append([str(plain(v)) for v in c.to_pylist()])
+    return sorted(zip(*columns))
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_oracle_sf0001(spark, duck, name):
     if name in SLOW:
         pytest.skip("model fitting")
-    s = entry.queries()[name](spark, SF_SMALL).toPandas()
-    d = duck.execute(entry.oracle_sql()[name]).df()
-    assert sorted(s.columns) == sorted(d.columns)
+    s = entry.queries()[name](spark, SF_SMALL).toArrow()
+    d = duck.execute(entry.oracle_sql()[name]).to_arrow_table()
+    assert sorted(s.column_names) == sorted(d.column_names)
     assert norm(s) == norm(d)
