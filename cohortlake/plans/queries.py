@@ -353,6 +353,7 @@ def q_readiness(spark, sf):
 # ---------------------------------------------------------------- evaluation
 
 from ..operators import evaluate as V  # noqa: E402
+from ..operators import hazards as HZ  # noqa: E402
 from ..operators import sampling as S  # noqa: E402
 from ..operators import uncertainty as U  # noqa: E402
 
@@ -524,6 +525,48 @@ def q_event_time(spark, sf):
                     _r("survival"))
 
 
+_EVENTS = (_cte(c="case_raw") + ", ev as (select coalesce(" + O.num("days_to_death") + ", " + O.num("days_to_last_follow_up") + ") as t, "
+           + O.case_mortality('vital_status', 'days_to_death', 'days_to_last_follow_up') + " as e, age_at_diagnosis_days / 365.25 as age from c), "
+           "u as (select t, e, age, age - avg(age) over () as x from ev where t is not null and e is not null and age is not null)")
+
+
+def _newton_sql(steps: int) -> str:
+    """Newton steps with Efron's ties for the one covariate x of u, from b0; the last one's sums are in o{steps}."""
+    out = ", b0 as (select 0.0::double as b)"
+    for k in range(steps + 1):
+        out += (f", g{k} as materialized (select t, sum(e) as d, sum(e * x) as sx, any_value(b) as b, " + ", ".join(f"sum(w{m}) as s{i}, sum(e * w{m}) as e{i}" for i, m in enumerate(("", " * x", " * x * x")))
+                + f" from (select u.*, b, exp(b * x) as w from u, b{k}) group by t), q{k} as (select *, " + ", ".join(f"sum(s{i}) over (order by t desc) as r{i}" for i in range(3))
+                + f" from g{k}), l{k} as (select *, unnest(generate_series(0, d::bigint - 1)) / d as f from q{k} where d > 0), "
+                f"o{k} as materialized (select any_value(b) as b, sum(b * sx / d - ln(r0 - f * e0)) as value, sum(sx / d - (r1 - f * e1) / (r0 - f * e0)) as slope, "
+                f"sum((r2 - f * e2) / (r0 - f * e0) - ((r1 - f * e1) / (r0 - f * e0)) ** 2) as info from l{k}), b{k + 1} as (select b + slope / info as b from o{k})")
+    return out
+
+
+def _events(spark, sf) -> DataFrame:
+    """(duration, event, age in years) of the cases."""
+    return X.case_raw(spark, sf).select(
+        F.coalesce(T.to_number(F.col("days_to_death")), T.to_number(F.col("days_to_last_follow_up"))).alias("duration"),
+        L.case_mortality(F.col("vital_status"), F.col("days_to_death"), F.col("days_to_last_follow_up")).alias("event"),
+        (F.col("age_at_diagnosis_days") / 365.25).alias("age"))
+
+
+@query("proportional_hazards_fit", _EVENTS + _newton_sql(7) + " select 'age' as covariate, round(o7.b, 7) as coefficient, round(exp(o7.b), 7) as hazard_ratio, "
+       "round(1 / sqrt(o7.info), 7) as standard_error, round(o7.value, 5) as log_likelihood, round(o0.value, 5) as null_log_likelihood, "
+       "(select count(*) from u) as n, (select count(*) from u where e > 0) as events from o7, o0")
+def q_hazards_fit(spark, sf):
+    """The fit on age; the oracle takes Newton steps in SQL."""
+    fit = HZ.fit_hazards(_events(spark, sf), ["age"])
+    return fit.summary(spark).select("covariate", F.round("coefficient", 7).alias("coefficient"), F.round("hazard_ratio", 7).alias("hazard_ratio"), F.round("standard_error", 7).alias("standard_error"), F.round(F.lit(fit.log_likelihood), 5).alias("log_likelihood"),
+                                     F.round(F.lit(fit.null_log_likelihood), 5).alias("null_log_likelihood"), F.lit(fit.n).cast("long").alias("n"), F.lit(fit.events).cast("long").alias("events"))
+
+
+@query("concordance_index", _EVENTS + ", p as (select a.age > b.age as more, a.age = b.age as same from u as a, u as b where a.e > 0 and (b.t > a.t or (b.t = a.t and b.e = 0))) "
+       "select count(*)::double as pairs, count_if(more)::double as concordant, count_if(same)::double as tied, round((count_if(more) + 0.5 * count_if(same)) / count(*), 9) as concordance from p")
+def q_concordance(spark, sf):
+    """Harrell's index of age; the oracle compares all pairs."""
+    return HZ.concordance(_events(spark, sf), F.col("age")).select("pairs", "concordant", "tied", _r("concordance"))
+
+
 # ---------------------------------------------------------------- sampling
 
 def _rank_sql(src: str, strata: str, seed: str, id_col: str = "row_id") -> str:
