@@ -92,3 +92,48 @@ def test_final_fit_best_params(spark):
     ff = M.final_fit(df, cfg)
     assert ff["holdout"].count() == 60
     assert ff["best_threshold"].first().threshold is not None
+
+
+def test_knn_over_many_blocks_with_groups_and_missing_vectors(spark, monkeypatch):
+    """Blocks of a few rows; a null vector has null distances, after all others, and is last of its group's neighbours."""
+    monkeypatch.setattr(OV, "BLOCK", 16)
+    monkeypatch.setattr(OV, "PART_BLOCKS", 2)
+    rng = np.random.default_rng(13)
+    pts = np.round(rng.normal(0, 0.01, (130, 8)), 3)
+    rows = [(f"r{i:03d}", None if i == 7 else [float(x) for x in p], i % 2 if i < 126 else 2) for i, p in enumerate(pts)]
+    df = spark.createDataFrame([*rows, ("none", [0.0] * 8, None)], "id string, v array<double>, g int")
+    got = {}
+    for r in OV.knn_exact(df, "id", "v", k=5, by="g").collect():
+        got.setdefault(r.id, []).append((r.nn_rank, r.nn_id, r.dist))
+    assert set(got) == {r[0] for r in rows}
+    for i, (name, v, g) in enumerate(rows):
+        def dist(j):
+            if v is None or rows[j][1] is None:
+                return np.inf
+            total = 0.0
+            for a, b in zip(v, rows[j][1]):  # in order, as Spark and SQL add (sum() compensates)
+                total += (a - b) * (a - b)
+            return total ** 0.5
+        want = sorted((dist(j), rows[j][0]) for j in range(130) if j != i and rows[j][2] == g)[:5]
+        assert [(n, d) for _, n, d in sorted(got[name])] == [(n, None if d == np.inf else d) for d, n in want], name
+
+
+def test_knn_shuffles_no_pairs_of_vectors(spark, monkeypatch):
+    """Vectors meet in a cartesian product of blocks; its rows are pairs of blocks, and shuffles after it hold keys and distances."""
+    monkeypatch.setattr(OV, "BLOCK", 16)
+    seen = []
+    search = OV._search
+
+    def counted(dim, k):
+        run = search(dim, k)
+
+        def both(batches):
+            for out in run(batches):
+                assert out.schema.names == ["ord", "nord", "dist"] and out.num_rows <= 16 * (k + 1)
+                yield out
+        seen.append(dim)
+        return both
+    monkeypatch.setattr(OV, "_search", counted)
+    rng = np.random.default_rng(17)
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(rng.normal(0, 1, (200, 6)))], "id long, v array<double>")
+    assert OV.knn_exact(df, "id", "v", k=5).count() == 1000 and seen == [6]
