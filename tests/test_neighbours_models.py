@@ -137,3 +137,13 @@ def test_knn_shuffles_no_pairs_of_vectors(spark, monkeypatch):
     rng = np.random.default_rng(17)
     df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(rng.normal(0, 1, (200, 6)))], "id long, v array<double>")
     assert OV.knn_exact(df, "id", "v", k=5).count() == 1000 and seen == [6]
+
+
+def test_nested_cv_of_the_network(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(rng.random() * 10), "a" if i % 3 else "b", int(rng.random() < 0.4)) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, x double, c string, y int")
+    res = M.nested_cv(df, M.RunConfig(task="response", algorithm="tabnet", label="y", numeric=["x"], categorical=["c"], oversample=False))
+    got = res["oof"].collect()
+    assert sorted(r.row_id for r in got) == list(range(120)) and all(0 <= r.p <= 1 for r in got)
+    assert {r.fold for r in res["fold_metrics"].collect()} == {0, 1, 2}
