@@ -1018,13 +1018,10 @@ def q_case_csv_scan(spark, sf):
 
 @query("case_array_scan", ORACLE["case_canonical"])
 def q_case_array_scan(spark, sf):
-    """A2 + A3: the case documents as one JSON array in one file, read by byte ranges and harmonized."""
+    """A2 + A3: the case documents as a JSON array (one for each ``X.ARRAY_DOCUMENTS`` documents), read by byte ranges and harmonized."""
     base = scratch_path(spark, "case-array")
     X.case_raw(spark, sf).write.option("header", "true").csv(f"{base}/cases.csv")
-    doc = X.nested_cases(spark, sf)
-    line = doc.select(F.lit(1).alias("o"), F.concat(F.to_json(F.struct(*doc.columns)), F.lit(",")).alias("value"))
-    both = spark.createDataFrame([(0, "["), (2, "null]")], "o int, value string")
-    line.unionByName(both).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{base}/cases.json")
+    X.write_json_arrays(X.nested_cases(spark, sf), f"{base}/cases.json", "case_id")
     docs = JA.read_json_array(spark, f"{base}/cases.json", RD.CASE_DOCUMENT_SCHEMA)
     return H.case_cohort(RD.first_existing_csv(spark, [f"{base}/cases.csv"]), docs, _patient_flags(spark, sf), ecog_col="ecog_all_null")
 

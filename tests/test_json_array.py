@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from cohortlake.plans import fixtures as X
 from cohortlake.sources import json_array as A
 from cohortlake.sources import readers as RD
 
@@ -49,3 +50,15 @@ def test_missing_and_empty(spark, tmp_path):
     assert A.read_json_array(spark, str(tmp_path / "none.json"), RD.CASE_DOCUMENT_SCHEMA).collect() == []
     (tmp_path / "e.json").write_text("")
     assert A.read_json_array(spark, str(tmp_path / "e.json"), RD.CASE_DOCUMENT_SCHEMA).collect() == []
+
+
+def test_arrays_of_bounded_size_are_written_and_read_back(spark, tmp_path, monkeypatch):
+    """More documents than one array holds go to several files, none of which is written by one task with all of them."""
+    monkeypatch.setattr(X, "ARRAY_DOCUMENTS", 10)
+    docs = spark.range(95).selectExpr("id as case_id", "concat('a \"{[', id) as name")
+    X.write_json_arrays(docs, str(tmp_path / "cases.json"), "case_id")
+    assert len(list((tmp_path / "cases.json").glob("file=*/*.txt"))) == 10
+    got = A.read_json_array(spark, str(tmp_path / "cases.json"), docs.schema)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+    X.write_json_arrays(docs.limit(0), str(tmp_path / "none.json"), "case_id")
+    assert A.read_json_array(spark, str(tmp_path / "none.json"), docs.schema).count() == 0
