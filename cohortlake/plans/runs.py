@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import DROP_FEATURES_BY_TASK, TASK_LABEL
 from ..operators import evaluate as V
 from ..operators import sampling as S
+from ..session import checkpoint_root
 
 RUN = ["task", "algorithm"]
 FOLD_METRICS = V.METRIC_NAMES + ["auc", "brier"]
@@ -36,7 +37,8 @@ def dropped_note(task: F.Column) -> F.Column:
 
 def runs_table(scores: DataFrame) -> DataFrame:
     """One row per (task, algorithm) shaped like a run report."""
-    fm = fold_metrics(scores)
+    checkpoint_root(scores.sparkSession)
+    fm = fold_metrics(scores).checkpoint()  # a row per run and fold, used twice
     summary = V.fold_summary(fm, RUN, FOLD_METRICS)
     ci = V.auc_ci(fm, RUN)
     test = S.holdout_split(scores, "y", "row_id", by=RUN).filter(F.col("split") == "test")
@@ -46,7 +48,7 @@ def runs_table(scores: DataFrame) -> DataFrame:
     label_col = F.lit(None).cast("string")
     for t, lab in TASK_LABEL.items():
         label_col = F.when(F.col("task") == t, F.lit(lab)).otherwise(label_col)
-    return (n.join(summary, RUN).join(ci, RUN).join(best.select(*RUN, "threshold", "f1"), RUN)
+    runs = (n.join(summary, RUN).join(ci, RUN).join(best.select(*RUN, "threshold", "f1"), RUN)
             .join(cal.select(*RUN, *[F.col(m).alias(f"cal_{m}") for m in FOLD_METRICS]), RUN)
             .select(*RUN, "n_rows", label_col.alias("label_col"), dropped_note(F.col("task")).alias("notes"),
                     F.col("auc_mean").alias("auc"), F.col("brier_mean").alias("brier"),
@@ -55,3 +57,4 @@ def runs_table(scores: DataFrame) -> DataFrame:
                     F.col("upper").alias("ci_upper"), "threshold", F.col("f1").alias("threshold_f1"),
                     *[F.col(f"cal_{m}") for m in FOLD_METRICS],
                     F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")))
+    return runs.checkpoint()  # a row per run: ranking, selection and reports read it again and again
