@@ -68,3 +68,13 @@ def test_oracle_sf0001(spark, duck, name):
     d = duck.execute(entry.oracle_sql()[name]).to_arrow_table()
     assert sorted(s.column_names) == sorted(d.column_names)
     assert norm(s) == norm(d)
+
+
+def test_a_file_of_one_row_group_is_spread_over_tasks(spark, duck, monkeypatch):
+    """More rows than a task should have are dealt out before the recodes; the rows stay the same."""
+    monkeypatch.setattr(X, "_SCANS", {})
+    monkeypatch.setattr(X, "TASK_ROWS", 30)
+    orders = X.table(spark, SF_SMALL, "orders")
+    assert orders.rdd.getNumPartitions() == -(-orders.count() // 30) > 1
+    got = entry.queries()["registry_canonical"](spark, SF_SMALL).toArrow()
+    assert norm(got) == norm(duck.execute(entry.oracle_sql()["registry_canonical"]).to_arrow_table())
