@@ -1,4 +1,4 @@
-"""Operator 11, conversation prefix trie with totals by parallel tree contraction.
+"""Operator 11, conversation prefix trie with totals by chains of nodes.
 
 Every distinct sequence of first turns is a node.  A node's key is made of
 sums over its turns of hashes of (place, role, text), 128 bits in four
@@ -6,14 +6,14 @@ lanes; sums run over blocks of places, so a conversation of any length is
 split among tasks.  Parents need no lookup: a parent's lanes are its
 child's less the last turn's.
 
-Totals over subtrees come by contraction.  A round rakes all leaves (adds
-them to their parents, pre-aggregated before the shuffle) and compresses
-unary chains: nodes with one child left whose priority in this round is
-above those of parent and child are spliced out, their weight moving to
-the child's link.  Each round leaves at most about two thirds of the
-nodes, so rounds follow the logarithm of nodes or depth, whatever the
-tree's shape.  Then the spliced nodes are expanded: such a node's total is
-its child's plus what its removal had recorded.
+Totals over subtrees come from the turns' paths, by a fixed number of jobs
+whatever the tree's shape.  Nodes of one smallest member c are a chain: they
+are the last nodes of c's path, since members only get fewer on the way
+down.  A conversation that goes through a node has its chain wholly below
+that node, but for the node's own chain, of which the upper part stands
+above.  So a node's total is the sum of the chains of all conversations
+through it, less what its own chain has above it.  ``contract`` has totals of
+trees that come without paths, by rounds.
 
 Hot keys: conversations are ranked in range partitions of (conversation,
 turn), prefix sums run in blocks of ``BLOCK`` places, node facts and
@@ -159,6 +159,27 @@ def _counted(df: DataFrame) -> tuple[DataFrame, int]:
     return df, seen.get["n"]
 
 
+def chain_totals(nodes: DataFrame, path: DataFrame, weights: list[str]) -> DataFrame:
+    """Subtree totals (node, weights...) of ``nodes`` (node, conv_id: smallest member, depth, weights: longs) of a trie; ``path``: (conv_id, depth, node) of every turn.
+
+    Chains and paths are split into blocks of depths, so none is one task's.
+    """
+    block = F.floor(F.col("depth") / BLOCK).alias("block")
+    chains = nodes.select("*", block)
+    upto = Window.partitionBy("conv_id", "block").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    sums = chains.groupBy("conv_id", "block").agg(*[F.sum(w).alias(w) for w in weights])
+    sums = sums.select("conv_id", "block", *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"b_{w}") for w in weights])
+    above = chains.select("node", "conv_id", "block", *[F.coalesce(F.sum(w).over(upto), F.lit(0)).alias(f"u_{w}") for w in weights]).join(sums, ["conv_id", "block"]) \
+        .select("node", *[(F.col(f"u_{w}") + F.col(f"b_{w}")).alias(f"above_{w}") for w in weights])
+    # a chain ends with its conversation, whose every block of turns gets the chain's sums
+    whole = nodes.groupBy("conv_id").agg(*[F.sum(w).alias(w) for w in weights], F.max("depth").alias("last"))
+    by_block = whole.select("conv_id", *weights, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / BLOCK))).alias("block"))
+    through = path.select("conv_id", "node", block).join(by_block, ["conv_id", "block"]).groupBy("node").agg(*[F.sum(w).alias(w) for w in weights])
+    root = whole.agg(*[F.sum(w).alias(w) for w in weights]).select(root_key().alias("node"), *weights)
+    return above.join(through.unionByName(root), "node").select("node", *[(F.col(w) - F.col(f"above_{w}")).alias(w) for w in weights])
+
+
 def id_digests(ends: DataFrame) -> DataFrame:
     """(node, conv_id) to (node, SHA-256 of its ids in numeric order, comma-joined); strings are joined in range partitions."""
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +242,8 @@ def trie(turns: DataFrame, sizes: DataFrame) -> DataFrame:
     kids = by_salt.groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("kids"))
     tree = cut(nodes.join(kids, "node", "left").join(parents, "node", "left").select(
         "*", F.coalesce("kids", F.lit(0)).alias("n_children")).drop("kids"))
-    totals = contract(tree.select("node", "parent", F.col("n_children").alias("kids"), F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"),
-                                  ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens")), ["n_leaves", "saved_tokens"])
+    totals = chain_totals(tree.select("node", "conv_id", "depth", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"),
+                                      ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens")), path, ["n_leaves", "saved_tokens"])
     ends = path.groupBy("conv_id").agg(F.max_by("node", "depth").alias("node")).unionByName(sizes.where("n_turns = 0").select("conv_id", root_key().alias("node")))
     shas = id_digests(cut(ends))
     return tree.join(totals, "node").join(shas, "node", "left").select(

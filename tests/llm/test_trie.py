@@ -101,3 +101,19 @@ def test_query_equals_dictionary(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert collected(queries.QUERIES["op11_conversation_trie"](spark, sf)) == brute(rows, True)
+
+
+def test_totals_take_no_more_jobs_for_deep_chains(spark):
+    """Chains that hang one below the other: as many jobs as for a flat table, and the same totals as by hand."""
+    flat = [(c, 0, "user", f"hello {c}") for c in range(20)]
+    deep = [(c, t, "user", f"both {t}" if t < c else f"own {c}") for c in range(20) for t in range(c + 2)]
+    jobs = []
+    for name, rows in (("flat", flat), ("deep", deep)):
+        spark.sparkContext.setJobGroup(f"trie {name}", name)
+        try:
+            got = collected(trie.prefix_trie(spark.createDataFrame(rows, SCHEMA).repartition(3)))
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trie {name}")))
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        assert got == brute(rows, False)
+    assert jobs[1] <= jobs[0] + 5
