@@ -37,6 +37,32 @@ def test_wrappers_of_a_host_with_copies_and_two_layouts(spark):
     assert got == want
 
 
+def test_recurring_texts_are_counted_over_all_pages(spark):
+    """A note that is the same on 22 or on 28 of a host's 100 pages, the others' own: a quarter decides, whichever pages some draw would hit."""
+    rows, want = [], {}
+    for h in range(16):
+        for i in range(100):
+            key = h * 100 + i
+            body, note = prose(key, 30), "buy now" if i < (22 if h % 2 else 28) else prose(key + 10_000, 6)
+            rows.append((key, f"http://h{h}.example/{i}", f"<body><ul><li>Home</ul><div><p>{body}</p></div><h6>{note}</h6></body>"))
+            want[key] = f"{body} {note}" if h % 2 else body
+    got = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
+
+
+def test_recurring_share_of_few_pages_is_exact():
+    assert W.recurs([(1, 9), (3, 1)]) and not W.recurs([(1, 10), (3, 1)]) and not W.recurs([(3, 1)])
+    assert W.recurs([(1, 72), (28, 1)]) and not W.recurs([(1, 78), (22, 1)])
+    assert not W.recurs([(2, 5000)]) and W.recurs([(100, 100)])  # 10,000 pages: pairs don't come back among 40, a stock of 100 does
+
+
+def test_trees_are_sent_whole():
+    root = W.parse("<body class=x><nav>a</nav><article><p>b<p>c<br>d</article><div class=ad>e</div></body>")
+    again = W.unpack(W.pack(root))
+    assert [(n.text, h) for n, h in W.node_hashes(again)] == [(n.text, h) for n, h in W.node_hashes(root)] and W.without(again, None) == W.without(root, None) == ("b c d", 0)
+    assert list(W._texts(W.unpack(W.pack(root, outside=True)))) == ["a", "e"]
+
+
 def test_stock_menus_outside_an_article_are_template():
     stock = ["one two", "three four", "five six"]
     sources = [f"<ul>{''.join(f'<li>{w}' for w in stock[i % 3].split())}</ul><div>{prose(i, 30)}</div>" for i in range(12)]
