@@ -111,6 +111,23 @@ def test_tree_matching_counts():
     assert W.match(long_a, long_b) >= 2 + 2 * 200
 
 
+def test_long_lists_are_aligned_whole(monkeypatch):
+    """A heading that moved from the end to the front of 100 paragraphs: the paragraphs match, not the heading alone."""
+    a, b = (W.parse(f"<div>{x}</div>") for x in ("<h1>t</h1>" + "<p>x" * 100, "<p>x" * 100 + "<h1>t</h1>"))
+    pairs = []
+    assert W.match(a, b, pairs) == 2 + 2 * 100 and len(pairs) == 100
+    import random
+    draw = random.Random(7)
+    some = lambda n: W.parse("".join(draw.choice(["<p>x</p>", "<p>x<div>y</div></p>", "<ul><li>z<li>w</ul>", "<h1>t</h1>", "<div><p>q</div>"]) for _ in range(n)))
+    for _ in range(40):
+        a, b, found = some(draw.randrange(30)), some(draw.randrange(30)), []
+        for align, known, cells in ((64, 9999, 9999), (0, 9999, 9999), (0, 2, 3)):  # loops, arrays, arrays with little kept
+            monkeypatch.setattr(W, "ALIGN", align), monkeypatch.setattr(W, "KNOWN", known), monkeypatch.setattr(W, "CELLS", cells)
+            pairs = []
+            found.append((W.match(a, b, pairs), [(id(p), id(q)) for p, q in pairs]))
+        assert found[0] == found[1] == found[2]
+
+
 def test_pages_awkward(spark):
     rows = [(1, None, None, "x"), (2, "http://h/", "", "x"), (3, None, "<p>a</p>", "x"), (None, "nonsense", "<p>b</p>", "x"), (5, "http://h/", "<p>" + "w " * 50_000, "x"), (5, "http://h/", "<p>q", "x")]
     got = W.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
