@@ -118,6 +118,36 @@ def test_knn_over_many_blocks_with_groups_and_missing_vectors(spark, monkeypatch
         assert [(n, d) for _, n, d in sorted(got[name])] == [(n, None if d == np.inf else d) for d, n in want], name
 
 
+def test_knn_leaves_far_blocks_out_unread(spark, monkeypatch):
+    """Points spread over two entries: a block meets those around it, not a band of all that are as far along one direction."""
+    monkeypatch.setattr(OV, "BLOCK", 16)
+    monkeypatch.setattr(OV, "PART_BLOCKS", 16)
+    met = spark.sparkContext.accumulator(0)
+    search = OV._search
+
+    def counted(*args):
+        run = search(*args)
+
+        def count(batches):
+            for b in batches:
+                met.add(b.num_rows)
+                yield from run(iter([b]))
+        return count
+
+    monkeypatch.setattr(OV, "_search", counted)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.uniform(0, [1000, 150, 1], (1500, 3)), 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in OV.knn_exact(df, "id", "v", k=5).collect():
+        got.setdefault(r.id, []).append((r.nn_rank, r.nn_id))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert {i: [n for _, n in sorted(v)] for i, v in got.items()} == {i: np.lexsort((np.arange(len(x)), d[i]))[:5].tolist() for i in range(len(x))}
+    blocks = -(-1500 // 16)
+    assert blocks <= met.value < blocks * blocks / 4
+
+
 def test_knn_shuffles_no_pairs_of_vectors(spark, monkeypatch):
     """Vectors meet in a cartesian product of blocks; its rows are pairs of blocks, and shuffles after it hold keys and distances."""
     monkeypatch.setattr(OV, "BLOCK", 16)
