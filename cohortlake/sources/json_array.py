@@ -20,7 +20,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,17 +33,32 @@ from .readers import path_exists
 _ESCAPED = re.compile(r"\\.", re.S)
 
 
+def _parts(text: str) -> list[str]:
+    """The text between its quotes, escaped characters aside."""
+    return (_ESCAPED.sub("", text) if "\\" in text else text).split('"')
+
+
 def _delta(parts: list[str]) -> int:
-    return sum(p.count("{") + p.count("[") - p.count("]") for p in parts)
+    text = "".join(parts)
+    return text.count("{") + text.count("[") - text.count("]")
 
 
 def _change(line: str, inside: bool) -> tuple[int, bool]:
     """Change of depth by a line and the "}" after it, and whether a string is open then."""
-    parts = _ESCAPED.sub("", line).split('"')
+    parts = _parts(line)
     ends_inside = inside ^ (len(parts) % 2 == 0)
     return _delta(parts[1 if inside else 0::2]) - (not ends_inside), ends_inside
 
 
+def _both_changes(lines: pa.Array) -> tuple[int, int, bool]:
+    """Change of depth by many lines, each with its "}", begun outside and inside a string, and whether their quotes are odd."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines)
+    parts = _parts(pc.binary_join(whole, "}")[0].as_py() + "}")
+    outer, inner = ("".join(p) for p in (parts[0::2], parts[1::2]))
+    of = lambda t: t.count("{") + t.count("[") - t.count("]") - t.count("}")
+    return of(outer), of(inner), len(parts) % 2 == 0
+
+
 def _opening(line: str) -> int:
     """Where the first object of a line that begins between elements opens; -1 if nowhere."""
     first = line.find("{")
@@ -64,14 +81,19 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(path, start, line) to a row per range: parity of quotes, change of depth from outside and from inside a string, depth of elements."""
     found: dict[tuple[str, int], list] = {}
     for b in batches:
-        for path, start, line in zip(*(c.to_pylist() for c in b.columns)):
+        path_of, start_of = b.column(0).dictionary_encode().indices.to_numpy(), b.column(1).to_numpy()
+        ends = [*(np.flatnonzero((np.diff(path_of) != 0) | (np.diff(start_of) != 0)) + 1).tolist(), b.num_rows]
+        for at, end in zip([0, *ends], ends):  # runs of lines of one range
+            if at == end:
+                continue
+            path, start, lines = b.column(0)[at].as_py(), int(start_of[at]), b.column(2).slice(at, end - at)
             s = found.get((path, start))
             if s is None:
-                s = found[path, start] = [False, 0, 0, (1 if line.lstrip("﻿").lstrip().startswith("[") else 0) if start == 0 else None]
-            odd = s[0]
-            out, ends = _change(line, odd)       # begun outside
-            into, _ = _change(line, not odd)     # begun inside
-            s[0], s[1], s[2] = ends, s[1] + out, s[2] + into
+                s = found[path, start] = [False, 0, 0, (1 if lines[0].as_py().lstrip("﻿").lstrip().startswith("[") else 0) if start == 0 else None]
+            outer, inner, odd = _both_changes(lines)
+            if s[0]:  # quotes before were odd: what began outside goes on inside
+                outer, inner = inner, outer
+            s[0], s[1], s[2] = s[0] ^ odd, s[1] + outer, s[2] + inner
     yield pa.RecordBatch.from_pylist([{"path": p, "start": a, "odd": int(s[0]), "outside": s[1], "inside": s[2], "base": s[3]} for (p, a), s in found.items()],
                                      pa.schema([("path", pa.string()), ("start", pa.int64()), ("odd", pa.int32()), ("outside", pa.int64()), ("inside", pa.int64()), ("base", pa.int32())]))
 
@@ -85,10 +107,13 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = None  # the range being read
     path = start = None
     inside, depth, base, parts, kind = False, 0, 0, [], WHOLE
-    out: list[dict] = []
+    out: list[tuple] = []
 
     def emit(k: int) -> None:
-        out.append({"path": path, "start": start, "kind": k, "opens": int(k == TAIL), "json": "".join(parts)})
+        out.append((path, start, k, int(k == TAIL), "".join(parts)))
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(_PIECES), _PIECES)], schema=_PIECES)
 
     def close() -> None:  # what a range leaves open
         if at is not None and parts:
@@ -108,7 +133,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     change, inside = _change(line, inside)
                     depth += change
                     continue
-                depth += _delta(_ESCAPED.sub("", line[:first]).split('"')[0::2])
+                depth += _delta(_parts(line[:first])[0::2])
                 line = line[first:]
             parts.append(line + "}")
             change, inside = _change(line, inside)
@@ -117,10 +142,10 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 emit(kind)
                 parts, kind = [], WHOLE
         if len(out) > 1000:
-            yield pa.RecordBatch.from_pylist(out, _PIECES)
-            out = []
+            yield batch()
+            out.clear()
     close()
-    yield pa.RecordBatch.from_pylist(out, _PIECES)
+    yield batch()
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -46,6 +46,25 @@ def test_equals_json(spark, tmp_path, small_ranges, indent, ascii_only):
     assert rows(RD.read_case_documents(spark, str(tmp_path / "a.json"))) == want(docs)
 
 
+def test_many_lines_change_as_each_in_turn():
+    """A batch is summed at once, with both beginnings, as line by line."""
+    import random
+
+    import pyarrow as pa
+    draw = random.Random(2)
+    for _ in range(500):
+        lines = ["".join(draw.choice(["{", "[", "]", '"', '\\"', "a", ","]) for _ in range(draw.randrange(12))) for _ in range(draw.randrange(1, 5))]
+
+        def each(inside):
+            depth = 0
+            for line in lines:
+                change, inside = A._change(line, inside)
+                depth += change
+            return depth, inside
+        outer, inner, odd = A._both_changes(pa.array(lines))
+        assert (outer, odd) == each(False) and (inner, not odd) == each(True)
+
+
 def test_missing_and_empty(spark, tmp_path):
     assert A.read_json_array(spark, str(tmp_path / "none.json"), RD.CASE_DOCUMENT_SCHEMA).collect() == []
     (tmp_path / "e.json").write_text("")
